@@ -29,7 +29,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvex.llm.simhash import near_duplicates
+
+    found = near_duplicates(_docs(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvex.llm.spotsigs import fingerprint_documents
+
+    return fingerprint_documents(_docs(spark, sf_dir)).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op10_fingerprints": op10_fingerprints}
 
 _STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 SQL = {
