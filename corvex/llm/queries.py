@@ -33,7 +33,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvex.llm.simhash import near_duplicates
 
     found = near_duplicates(_docs(spark, sf_dir))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvex.llm.pii_crf import KINDS, find_personal_data
+
+    found = find_personal_data(_docs(spark, sf_dir))
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +51,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_docs(spark, sf_dir)).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints}
 
 _STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 SQL = {
