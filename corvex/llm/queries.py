@@ -17,6 +17,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_docs(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvex.llm.decontamination import find_overlaps
+
+    return find_overlaps(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvex.llm.bpe import digest_documents
 
@@ -41,8 +47,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_personal_data(_docs(spark, sf_dir))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +57,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_docs(spark, sf_dir)).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints}
 
 _STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 SQL = {

@@ -47,13 +47,13 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 class Words:
-    """Words (runs of anything but `[\\x20\\x09-\\x0D]`) of several texts: starts, ends, text number and hash of each."""
+    """Words (runs of anything but `[\\x20\\x09-\\x0D]`) of several texts, or runs between other `signs`: starts, ends, text number and hash of each."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, signs: np.ndarray = IS_WHITE):
         self.bytes = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
         if lower:
             self.bytes = LOWER[self.bytes]
-        white = IS_WHITE[self.bytes]
+        white = signs[self.bytes]
         self.starts = np.flatnonzero(white[:-1] & ~white[1:]) + 1
         self.ends = np.flatnonzero(~white[:-1] & white[1:]) + 1
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
