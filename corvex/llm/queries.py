@@ -29,6 +29,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvex.llm.quality import classify
+
+    return classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvex.llm.token_count import count_tokens
 
@@ -57,7 +63,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_docs(spark, sf_dir)).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints}
 
 _STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 SQL = {
