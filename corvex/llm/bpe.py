@@ -148,9 +148,17 @@ def _mapped(docs: DataFrame, text_col: str, added: dict[str, T.DataType], make,
 
 
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs with their token ids (array<int>); a null text has no tokens. Equals the library's encode without added special tokens."""
+    """docs with their token ids (array<int>), n_tokens, and round_trip, whether decoding the ids gives the text again.
+
+    These replace columns of the same names. A null text has no tokens. Equals the library's encode without added special tokens.
+    """
+
+    def make(texts: list[str]) -> dict:
+        ids = [load(path).encode(t) for t in texts]
+        return {out_col: ids, "n_tokens": [len(x) for x in ids], "round_trip": [load(path).decode(x) == t for x, t in zip(ids, texts, strict=True)]}
+
     ready = docs.withColumn(text_col, text_of(text_col))
-    return _mapped(ready, text_col, {out_col: T.ArrayType(T.IntegerType())}, lambda texts: {out_col: [load(path).encode(t) for t in texts]})
+    return _mapped(ready, text_col, {out_col: T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "round_trip": T.BooleanType()}, make)
 
 
 def decode_documents(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
