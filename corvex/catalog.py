@@ -1,4 +1,6 @@
 """All queries of the library by name, with the equivalent DuckDB SQL where SQL can express them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from corvex.plans import scalars  # noqa: F401
+from corvex.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
