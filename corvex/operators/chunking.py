@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,10 +105,8 @@ def split_recursive(text: str, size: int = 900, overlap: int = 120, separators:
 
 def split_chunks(parents: DataFrame, text_col: str = "content", size: int = 900, overlap: int = 120) -> DataFrame:
     """parents with piece and piece_index: whole below `size` words, else cut by split_recursive (Arrow batches)."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<string>")
+    @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [t] if len(t.split()) < size else split_recursive(t, size, overlap))
 
