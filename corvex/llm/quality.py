@@ -174,7 +174,8 @@ def train(rows: DataFrame, toxic: np.ndarray, shards: int = 4, rounds: int = 4)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, labelled: int = LABELLED, trained: int = TRAINED) -> DataFrame:
-    """doc_id, score (the scorer's probability of "bad"), weak_bad (the posterior of the votes) and keep (both under threshold).
+    """doc_id, score (the scorer's probability of "bad"), weak_bad (the posterior of the votes) and keep: its label
+    where the document has one, else both under threshold.
 
     labels: doc_id, quality and toxic (0 or 1); several rows of one document count as bad if one is. Null and empty texts
     draw no votes and are judged like any other. Without labels the heuristics alone decide. Rows without an id are
@@ -200,7 +201,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     codes = np.array([r["pattern"] for r in seen], np.int64)
     bad, _ = estimate(codes[:, None] // 3 ** np.arange(7) % 3, np.array([r["count"] for r in seen], float))
     posterior = spark.createDataFrame([(int(c), float(b)) for c, b in zip(codes, bad)], "pattern long, weak_bad double")
-    judged = cut(cast.join(F.broadcast(posterior), "pattern").groupBy("doc_id").agg(F.max("weak_bad").alias("weak_bad")), "posteriors")
+    judged = cut(cast.join(F.broadcast(posterior), "pattern").groupBy("doc_id").agg(F.max("weak_bad").alias("weak_bad"), F.max(F.floor(F.col("pattern") / 3**6)).alias("human")), "posteriors")
     n = max(1, sum(r["count"] for r in seen))
     weights = train(judged.where(part(n, trained)).join(own.where(part(n, trained)), "doc_id").select("doc_id", "text", F.col("weak_bad").alias("bad")), lexicon)
     scorer = spark.sparkContext.broadcast((weights, lexicon))
@@ -216,4 +217,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], ["doc_id", "score"])
 
     scored = own.mapInArrow(score, f"doc_id {id_type}, score double")
-    return scored.join(judged, "doc_id", "left").select("doc_id", "score", F.coalesce("weak_bad", F.lit(0.0)).alias("weak_bad")).withColumn("keep", (F.col("score") < threshold) & (F.col("weak_bad") < threshold))
+    ready = scored.join(judged, "doc_id", "left").withColumn("weak_bad", F.coalesce("weak_bad", F.lit(0.0)))
+    learned = (F.col("score") < threshold) & (F.col("weak_bad") < threshold)
+    keep = F.when(F.col("human") == BAD, False).when(F.col("human") == GOOD, True).otherwise(learned)
+    return ready.select("doc_id", "score", "weak_bad", keep.alias("keep"))
