@@ -66,7 +66,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 24, block: int
     return ranked(out, "query_id", "score", "vec_id", k)
 
 
-def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int = 24, tables: int = 24, bits: int = 6, seed: int = 5) -> DataFrame:
+def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int = 24, tables: int = 72, bits: int = 6, seed: int = 5) -> DataFrame:
     """Approximate vector_top_k: rows that share a random-hyperplane bucket with the question in any table, then exact cosine."""
     size = len(vectors.select("embedding").head()[0])
     planes = np.random.default_rng(seed).normal(size=(tables * bits, size))
