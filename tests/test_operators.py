@@ -174,3 +174,39 @@ def test_webs_syntax(spark):
     df = spark.createDataFrame([(1, "red fox", ["red", "fox"]), (2, "red dog", ["red", "dog"]), (3, "blue fox", ["blue", "fox"])], "i int, content string, terms array<string>")
     ids = lambda q: sorted(r.i for r in df.where(search.websearch_match(q)).collect())
     assert ids("red -dog") == [1] and ids("dog or blue") == [2, 3] and ids('"blue fox"') == [3] and ids("") == []
+
+
+def test_connector(spark, tmp_path):
+    from corvex.sources.connector import ChangeLog
+
+    spark.dataSource.register(ChangeLog)
+    log = tmp_path / "changes.jsonl"
+    log.write_text('{"source_id": "a", "kind": "put", "payload": 1}\n{"source_id": "b", "kind": "delete"}\n')
+    assert [(r.offset, r.source_id) for r in spark.read.format("corvex_changes").load(str(log)).collect()] == [(0, "a"), (1, "b")]
+
+
+def test_payload(spark):
+    from corvex.functions import payload
+
+    assert payload.table_of('{"headers": ["1", "2"], "rows": [["a", null]]}') == ([], [["a", ""]])
+    assert payload.table_of('[{"x": 1}, {"y": 2}]') == (["x", "y"], [["1", ""], ["", "2"]])
+    assert payload.table_of('[["h"], [{"text": " v "}]]') == (["h"], [["v"]])
+    assert payload.table_of("no") == ([], [])
+    df = spark.createDataFrame([('{"b": 1, "a": [2]}',), ('{"a":[2],"b":1}',), ("x",), (None,)], "t string")
+    got = [r.h for r in df.select(payload.nested_request_hash("t").alias("h")).collect()]
+    assert got[0] == got[1] and got[2] is None and got[3] is None
+    v = [r.v for r in df.select(payload.hash_embedder(8)("t").alias("v")).collect()]
+    assert len(v[0]) == 8 and abs(sum(x * x for x in v[0]) - 1) < 1e-5 and v[3] == [0.0] * 8
+
+
+def test_item_passes(spark):
+    from corvex.operators import pdf_items
+
+    rows = [(1, 0, "text", "My Paper", 1), (1, 1, "author", "Jane Roe", 1), (1, 2, "section_header", "1. Introduction", 1), (1, 3, "text", "Some long plain words follow here in a row of text", 1), (1, 4, "text", "1.1 Data And Methods", 1),
+            (1, 5, "formula", "x = y + (", 2), (1, 6, "text", "z )", 2), (1, 7, "page_footer", "7", 2), (1, 8, "section_header", "REFERENCES", 3), (1, 9, "text", "[1] A book", 3)]
+    items = spark.createDataFrame(rows, "doc_id long, item_index int, label string, text string, page_no int")
+    got = pdf_items.items_to_blocks(items, spark.createDataFrame([(1, "My Paper")], "doc_id long, title string")).orderBy("order_index").collect()
+    assert [(r.block_type, r.content, r.section_path) for r in got] == [
+        ("front_matter", "My Paper", []), ("front_matter", "Jane Roe", []), ("heading", "1. Introduction", ["1. Introduction"]), ("paragraph", "Some long plain words follow here in a row of text", ["1. Introduction"]),
+        ("heading", "1.1 Data And Methods", ["1. Introduction", "1.1 Data And Methods"]), ("equation", "x = y + ( z )", ["1. Introduction", "1.1 Data And Methods"]),
+        ("heading", "REFERENCES", ["REFERENCES"]), ("reference", "[1] A book", ["REFERENCES"])]
