@@ -56,7 +56,7 @@ def table_chunks(chunks: DataFrame) -> DataFrame:
     """Row chunks of a section's table: caption, headers, row; the section's first block stands for the caption."""
     w = Window.partitionBy("node_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     caption = F.first("content").over(w)
-    return chunks.withColumn("caption", caption).where("content_kind = 'table_row'").select("chunk_id", F.concat_ws("\n", F.left("caption", F.lit(80)), F.concat(F.lit("Row: "), F.btrim("content"))).alias("content"))
+    return chunks.withColumn("caption", caption).where("content_kind = 'table_row'").select("chunk_id", F.concat_ws("\n", "caption", F.concat(F.lit("Row: "), F.btrim("content"))).alias("content"))
 
 
 def embedding_text(title: Column, path: Column, node_type: Column, content: Column) -> Column:

@@ -162,9 +162,9 @@ _SUSPECT = f"""CASE WHEN t = '' OR t = 'Abstract' THEN false WHEN t = 'Transacti
   WHEN regexp_matches(t, '^\\[[0-9]+\\]\\s+') THEN true WHEN len(w) <= 3 AND t = upper(t) AND NOT contains(t, ' ') THEN true WHEN len(w) <= 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^\\p{{Lu}}'))) = 0 THEN true WHEN t LIKE 'SUMMARY OF%' OR (contains(t, 'OF') AND t = upper(t)) THEN true ELSE false END"""
 
 
-@query("e21_suspicious_headings", f"WITH {LINES_SQL}, h AS (SELECT document_id, order_index, content AS t, list_filter(string_split_regex(content, '{_WS}+'), lambda x: x <> '') AS w FROM lines WHERE NOT contains(content, 'ß')) SELECT document_id, order_index, {_SUSPECT} AS suspicious FROM h")
+@query("e21_suspicious_headings", f"WITH {LINES_SQL}, h AS (SELECT document_id, order_index, replace(content, 'ß', 'ss') AS t, list_filter(string_split_regex(replace(content, 'ß', 'ss'), '{_WS}+'), lambda x: x <> '') AS w FROM lines) SELECT document_id, order_index, {_SUSPECT} AS suspicious FROM h")
 def suspicious_headings(spark, sf):
-    return lines(spark, sf).where(~F.contains("content", F.lit("ß"))).select("document_id", "order_index", V.suspicious_heading(F.col("content")).alias("suspicious"))
+    return lines(spark, sf).select("document_id", "order_index", V.suspicious_heading(F.replace("content", F.lit("ß"), F.lit("ss"))).alias("suspicious"))
 
 
 @query("e06_representation_audit", f"WITH {CHUNKS_SQL}, a AS (SELECT document_id, count(*) AS blocks, count(*) FILTER (content_kind = 'equation') AS equations, count(*) FILTER (content_kind = 'table_row') AS table_rows, count(*) FILTER (page_number = 1 AND contains(lower(content), 'university')) AS leaks FROM chunks GROUP BY document_id) SELECT document_id, blocks, equations, table_rows, concat_ws(',', CASE WHEN leaks > 0 THEN 'front_matter_leakage:' || leaks END, CASE WHEN equations > 0 THEN 'equations_without_explanations' END, CASE WHEN table_rows = 0 THEN 'table_coverage_weak' END) AS warnings FROM a")
@@ -206,7 +206,7 @@ def prose_children(spark, sf):
     return children.unionByName(C.parent_chunks(c).select("node_id", F.lit(None).cast("long").alias("chunk_id"), F.lit("parent").alias("role"), "content"))
 
 
-@query("j04_table_chunks", f"WITH {CHUNKS_SQL}, t AS (SELECT chunk_id, content_kind, content, first_value(content) OVER (PARTITION BY node_id ORDER BY chunk_index) AS caption FROM chunks) SELECT chunk_id, left(caption, 80) || chr(10) || 'Row: ' || trim(content) AS content FROM t WHERE content_kind = 'table_row'")
+@query("j04_table_chunks", f"WITH {CHUNKS_SQL}, t AS (SELECT chunk_id, content_kind, content, first_value(content) OVER (PARTITION BY node_id ORDER BY chunk_index) AS caption FROM chunks) SELECT chunk_id, caption || chr(10) || 'Row: ' || trim(content) AS content FROM t WHERE content_kind = 'table_row'")
 def table_chunks(spark, sf):
     return C.table_chunks(chunks(spark, sf))
 
@@ -250,22 +250,23 @@ def citation_rows(spark, sf):
     return chunks(spark, sf).withColumn("source_id", F.row_number().over(w)).where("source_id <= 3").select("chunk_id", "source_id", F.left("content", F.lit(200)).alias("snippet"), F.concat_ws(" > ", "title", "section_title").alias("path"), "page_number")
 
 
-@query("i37_prompts", f"WITH {CHUNKS_SQL} SELECT chunk_id, 'Question: ' || section_title || chr(10) || 'Sources:' || chr(10) || '[source:1] Document: ' || title || chr(10) || content AS prompt FROM chunks WHERE chunk_index % 5 = 0")
+@query("i37_prompts", f"WITH {CHUNKS_SQL} SELECT chunk_id, 'Question: ' || section_title || chr(10) || 'Sources:' || chr(10) || '[source:1] Document: ' || title || chr(10) || content AS prompt FROM chunks")
 def prompts(spark, sf):
     from corvex.functions.prompts import grounded_prompt
 
     block = F.concat(F.lit("[source:1] Document: "), "title", F.lit("\n"), "content")
-    return chunks(spark, sf).where("chunk_index % 5 = 0").select("chunk_id", grounded_prompt(F.col("section_title"), F.array(block)).alias("prompt"))
+    return chunks(spark, sf).select("chunk_id", grounded_prompt(F.col("section_title"), F.array(block)).alias("prompt"))
 
 
 # layout items and parsers
 
 def items(spark, sf):
-    """Lines as layout items: some marked as headers, formulas or page furniture, some with heading numbers."""
-    label = F.when(F.col("order_index") % 13 == 12, "page_footer").when(F.col("order_index") % 9 == 1, "section_header").when(F.col("order_index") % 9 == 5, "formula").otherwise("text")
-    number = F.when(F.col("order_index") % 9 == 1, F.concat(F.floor(F.col("order_index") / 9) + 1, F.lit(". "))).when(F.col("order_index") % 9 == 3, F.concat(F.floor(F.col("order_index") / 9) + 1, F.lit(".1 "))).when(F.col("order_index") % 9 == 5, "x = y + (").otherwise("")
-    short = F.when(F.col("order_index") % 3 == 0, F.left("content", F.lit(40))).otherwise(F.col("content"))
-    return lines(spark, sf).select(F.col("document_id").alias("doc_id"), F.col("order_index").alias("item_index"), label.alias("label"), F.concat(number, short).alias("text"), (F.floor(F.col("order_index") / 20) + 1).cast("int").alias("page_no"))
+    """Sentences of the lines as layout items: some marked as headers, formulas or page furniture, some with heading numbers."""
+    each = lines(spark, sf).select("document_id", "order_index", F.posexplode(F.split("content", r"\. ")).alias("at", "text"))
+    n = F.col("order_index") + F.col("at")
+    label = F.when(n % 13 == 12, "page_footer").when(n % 9 == 1, "section_header").when(n % 9 == 5, "formula").otherwise("text")
+    number = F.when(n % 9 == 1, F.concat(F.floor(n / 9) + 1, F.lit(". "))).when(n % 9 == 3, F.concat(F.floor(n / 9) + 1, F.lit(".1 "))).when(n % 9 == 5, "x = y + (").otherwise("")
+    return each.select(F.col("document_id").alias("doc_id"), (F.col("order_index") * 100000 + F.col("at")).alias("item_index"), label.alias("label"), F.concat(number, "text").alias("text"), (F.floor(F.col("order_index") / 20) + 1).cast("int").alias("page_no"))
 
 
 def titles(spark, sf):
@@ -277,11 +278,13 @@ def item_kinds(spark, sf):
     return P.classify_items(items(spark, sf)).select("doc_id", "item_index", "kind")
 
 
-@query("k03_suppressed_titles", f"WITH {LINES_SQL}, h AS (SELECT document_id, order_index, lower(left(content, 2)) = lower(left(lang_title, 2)) AS same FROM (SELECT l.*, d.title AS lang_title FROM lines l JOIN docs d USING (document_id))), n AS (SELECT *, sum(same::INT) OVER (PARTITION BY document_id ORDER BY order_index) AS nth FROM h) SELECT document_id, order_index FROM n WHERE NOT (same AND nth = 1)")
+@query("k03_suppressed_titles", f"WITH {LINES_SQL}, t AS (SELECT document_id, arg_min(content, order_index) AS first FROM lines GROUP BY document_id), h AS (SELECT document_id, order_index, lower(trim(regexp_replace(content, '{_WS}+', ' ', 'g'))) = lower(trim(regexp_replace(first, '{_WS}+', ' ', 'g'))) AS same FROM lines JOIN t USING (document_id)), n AS (SELECT *, sum(same::INT) OVER (PARTITION BY document_id ORDER BY order_index) AS nth FROM h) SELECT document_id, order_index FROM n WHERE NOT (same AND nth = 1)")
 def suppressed_titles(spark, sf):
-    rows = lines(spark, sf).select(F.col("document_id").alias("doc_id"), F.col("order_index").alias("item_index"), F.left("content", F.lit(2)).alias("text"), F.lit("heading").alias("kind"), F.lit(1).alias("page_no"))
-    short = titles(spark, sf).select("doc_id", F.left("title", F.lit(2)).alias("title"))
-    return P.suppress_title(rows, short).select(F.col("doc_id").alias("document_id"), F.col("item_index").alias("order_index"))
+    """The first line of a document is its title; later repeats of it stay."""
+    own = lines(spark, sf)
+    rows = own.select(F.col("document_id").alias("doc_id"), F.col("order_index").alias("item_index"), T.normalize_whitespace(F.col("content")).alias("text"), F.lit("heading").alias("kind"), F.lit(1).alias("page_no"))
+    first = own.groupBy(F.col("document_id").alias("doc_id")).agg(F.min_by("content", "order_index").alias("title"))
+    return P.suppress_title(rows, first).select(F.col("doc_id").alias("document_id"), F.col("item_index").alias("order_index"))
 
 
 @query("k04_page_artifacts")
@@ -294,9 +297,9 @@ def promoted_subsections(spark, sf):
     return P.promote_subsections(P.classify_items(items(spark, sf))).select("doc_id", "item_index", "kind")
 
 
-@query("k08_continued_headers", f"WITH {CHUNKS_SQL} SELECT document_id AS doc_id, chunk_index AS item_index, last_value(CASE WHEN chunk_index % 4 = 0 THEN left(content, 10) END IGNORE NULLS) OVER (PARTITION BY document_id, section ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS headers FROM chunks")
+@query("k08_continued_headers", f"WITH {CHUNKS_SQL} SELECT document_id AS doc_id, chunk_index AS item_index, last_value(CASE WHEN chunk_index % 4 = 0 THEN content END IGNORE NULLS) OVER (PARTITION BY document_id, section ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS headers FROM chunks")
 def continued_headers(spark, sf):
-    rows = chunks(spark, sf).select(F.col("document_id").alias("doc_id"), F.col("section").alias("table_id"), F.col("chunk_index").alias("item_index"), F.when(F.col("chunk_index") % 4 == 0, F.left("content", F.lit(10))).alias("headers"))
+    rows = chunks(spark, sf).select(F.col("document_id").alias("doc_id"), F.col("section").alias("table_id"), F.col("chunk_index").alias("item_index"), F.when(F.col("chunk_index") % 4 == 0, F.col("content")).alias("headers"))
     return P.carry_headers(rows).select("doc_id", "item_index", "headers")
 
 

@@ -94,14 +94,14 @@ def table_data(spark, sf):
     return lines(spark, sf).select("document_id", "order_index", Y.table_data(data).alias("t")).select("document_id", "order_index", F.array_join("t.headers", ",").alias("headers"), "t.n_rows", F.array_join("t.first_row", ",").alias("first_row"))
 
 
-@query("j06_algorithm_chunks", f"WITH {CHUNKS_SQL} SELECT chunk_id, 'Algorithm ' || (chunk_index // 9 + 1) AS algorithm_label, content FROM chunks WHERE chunk_index % 9 = 8")
+@query("j06_algorithm_chunks", f"WITH {CHUNKS_SQL} SELECT chunk_id, 'Algorithm ' || (chunk_index // 9 + 1) AS algorithm_label, content FROM chunks WHERE content_kind = 'paragraph'")
 def algorithm_chunks(spark, sf):
-    return chunks(spark, sf).where("chunk_index % 9 = 8").select("chunk_id", F.concat(F.lit("Algorithm "), F.floor(F.col("chunk_index") / 9) + 1).alias("algorithm_label"), "content")
+    return chunks(spark, sf).where("content_kind = 'paragraph'").select("chunk_id", F.concat(F.lit("Algorithm "), F.floor(F.col("chunk_index") / 9) + 1).alias("algorithm_label"), "content")
 
 
-@query("j07_figure_chunks", f"WITH {CHUNKS_SQL}, f AS (SELECT chunk_id, content FROM chunks WHERE chunk_index % 8 = 6) SELECT chunk_id, 'parent' AS role, content FROM f UNION ALL SELECT chunk_id, 'child', content FROM f")
+@query("j07_figure_chunks", f"WITH {CHUNKS_SQL}, f AS (SELECT chunk_id, content FROM chunks WHERE content_kind = 'equation') SELECT chunk_id, 'parent' AS role, content FROM f UNION ALL SELECT chunk_id, 'child', content FROM f")
 def figure_chunks(spark, sf):
-    f = chunks(spark, sf).where("chunk_index % 8 = 6").select("chunk_id", "content")
+    f = chunks(spark, sf).where("content_kind = 'equation'").select("chunk_id", "content")
     return f.select("chunk_id", F.explode(F.array(F.lit("parent"), F.lit("child"))).alias("role"), "content")
 
 

@@ -176,12 +176,12 @@ def group_rule(spark, sf):
     return access.group_visible(d, entries, table(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_regionkey").alias("group_id")))
 
 
-@query("c08_neighbours", f"WITH {CHUNKS_SQL}, linked AS (SELECT chunk_id, document_id, chunk_index, lag(chunk_id) OVER w AS prev, lead(chunk_id) OVER w AS nxt FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)), seeds AS (SELECT * FROM linked WHERE chunk_index % 10 = 4) SELECT chunk_id FROM chunks WHERE chunk_id IN (SELECT prev FROM seeds UNION SELECT nxt FROM seeds)")
+@query("c08_neighbours", f"WITH {CHUNKS_SQL}, linked AS (SELECT chunk_id, document_id, chunk_index, content_kind, lag(chunk_id) OVER w AS prev, lead(chunk_id) OVER w AS nxt FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)), seeds AS (SELECT * FROM linked WHERE content_kind = 'equation') SELECT chunk_id FROM chunks WHERE chunk_id IN (SELECT prev FROM seeds UNION SELECT nxt FROM seeds)")
 def neighbours(spark, sf):
     from corvex.operators.graph import link_chunks
 
-    linked = link_chunks(chunks(spark, sf).select("chunk_id", "document_id", "chunk_index"))
-    seeds = linked.where("chunk_index % 10 = 4")
+    linked = link_chunks(chunks(spark, sf).select("chunk_id", "document_id", "chunk_index", "content_kind"))
+    seeds = linked.where("content_kind = 'equation'")
     ids = seeds.select(F.col("previous_chunk_id").alias("chunk_id")).union(seeds.select("next_chunk_id")).where("chunk_id IS NOT NULL").distinct()
     return linked.join(ids, "chunk_id", "left_semi").select("chunk_id")
 
@@ -189,20 +189,20 @@ def neighbours(spark, sf):
 NODES_SQL = CHUNKS_SQL + """, nodes AS (SELECT node_id, any_value(document_id) AS parent_node_id, min(chunk_index) AS block_order, any_value(document_id) AS document_id FROM chunks GROUP BY node_id)"""
 
 
-@query("c09_siblings", f"WITH {NODES_SQL} SELECT s.node_id AS seed, n.node_id AS sibling FROM nodes s JOIN nodes n ON n.parent_node_id = s.parent_node_id AND n.node_id <> s.node_id WHERE s.node_id % 100000 = 1")
+@query("c09_siblings", f"WITH {NODES_SQL} SELECT s.node_id AS seed, n.node_id AS sibling FROM nodes s JOIN nodes n ON n.parent_node_id = s.parent_node_id AND n.node_id <> s.node_id WHERE s.block_order = 0")
 def siblings(spark, sf):
     from corvex.operators.graph import sections, siblings_of
 
     nodes = sections(chunks(spark, sf))
-    return siblings_of(nodes.where("node_id % 100000 = 1"), nodes).select("seed", "sibling")
+    return siblings_of(nodes.where("block_order = 0"), nodes).select("seed", "sibling")
 
 
-@query("c10_ancestors", f"WITH RECURSIVE {CHUNKS_SQL}, edges AS (SELECT chunk_id AS id, node_id + 10000000000 AS parent FROM chunks WHERE chunk_index % 10 = 0 UNION SELECT node_id + 10000000000, parent_node_id + 20000000000 FROM chunks), walk AS (SELECT id AS seed, id, 0 AS depth FROM edges WHERE id < 10000000000 UNION ALL SELECT seed, parent, depth + 1 FROM walk JOIN edges USING (id) WHERE depth < 2) SELECT DISTINCT seed, id AS ancestor, depth FROM walk WHERE depth > 0")
+@query("c10_ancestors", f"WITH RECURSIVE {CHUNKS_SQL}, edges AS (SELECT chunk_id AS id, node_id + 10000000000 AS parent FROM chunks UNION SELECT node_id + 10000000000, parent_node_id + 20000000000 FROM chunks), walk AS (SELECT id AS seed, id, 0 AS depth FROM edges WHERE id < 10000000000 UNION ALL SELECT seed, parent, depth + 1 FROM walk JOIN edges USING (id) WHERE depth < 2) SELECT DISTINCT seed, id AS ancestor, depth FROM walk WHERE depth > 0")
 def ancestors(spark, sf):
     from corvex.operators.graph import ancestors_of
 
     c = chunks(spark, sf)
-    edges = c.where("chunk_index % 10 = 0").select(F.col("chunk_id").alias("id"), (F.col("node_id") + 10000000000).alias("parent")).union(c.select(F.col("node_id") + 10000000000, F.col("parent_node_id") + 20000000000)).distinct()
+    edges = c.select(F.col("chunk_id").alias("id"), (F.col("node_id") + 10000000000).alias("parent")).union(c.select(F.col("node_id") + 10000000000, F.col("parent_node_id") + 20000000000)).distinct()
     return ancestors_of(edges.where("id < 10000000000").select("id"), edges, 2)
 
 
@@ -282,10 +282,10 @@ def heading_path(spark, sf):
     return heading_stack(lines(spark, sf).select("document_id", "order_index", level.alias("level")), "document_id", "order_index", "level", "order_index", 2).select("document_id", "order_index", "level1", "level2")
 
 
-@query("f07_header_carry", f"WITH {CHUNKS_SQL} SELECT chunk_id, last_value(CASE WHEN chunk_index % 6 = 0 THEN left(content, 20) END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS headers FROM chunks")
+@query("f07_header_carry", f"WITH {CHUNKS_SQL} SELECT chunk_id, last_value(CASE WHEN chunk_index % 6 = 0 THEN content END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS headers FROM chunks")
 def header_carry(spark, sf):
     w = Window.partitionBy("document_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
-    return chunks(spark, sf).select("chunk_id", F.last(F.when(F.col("chunk_index") % 6 == 0, F.left("content", F.lit(20))), ignorenulls=True).over(w).alias("headers"))
+    return chunks(spark, sf).select("chunk_id", F.last(F.when(F.col("chunk_index") % 6 == 0, F.col("content")), ignorenulls=True).over(w).alias("headers"))
 
 
 @query("f08_nearest_siblings", f"WITH {NODES_SQL} SELECT seed, sibling FROM (SELECT s.node_id AS seed, n.node_id AS sibling, row_number() OVER (PARTITION BY s.node_id ORDER BY abs(n.block_order - s.block_order), n.block_order) AS rn FROM nodes s JOIN nodes n ON n.parent_node_id = s.parent_node_id AND n.node_id <> s.node_id) WHERE rn <= 2")
@@ -320,22 +320,22 @@ def term_sets(spark, sf):
 
 # state tables
 
-@query("l01_replace_by_document", f"WITH {LINES_SQL}, fresh AS (SELECT document_id, order_index, 'fresh ' || content AS content FROM lines WHERE document_id % 10 = 0 AND order_index < 3) SELECT document_id, order_index, content FROM lines WHERE document_id NOT IN (SELECT document_id FROM fresh) UNION ALL SELECT * FROM fresh")
+@query("l01_replace_by_document", f"WITH {LINES_SQL}, fresh AS (SELECT document_id, order_index, 'fresh ' || content AS content FROM lines WHERE document_id IN (SELECT document_id FROM docs WHERE status = 'processing')) SELECT document_id, order_index, content FROM lines WHERE document_id NOT IN (SELECT document_id FROM fresh) UNION ALL SELECT * FROM fresh")
 def replace_by_document(spark, sf):
     old = lines(spark, sf).select("document_id", "order_index", "content")
-    return replace_by_key(old, old.where("document_id % 10 = 0 AND order_index < 3").withColumn("content", F.concat(F.lit("fresh "), "content")), ["document_id"])
+    return replace_by_key(old, old.join(documents(spark, sf).where("status = 'processing'"), "document_id", "left_semi").withColumn("content", F.concat(F.lit("fresh "), "content")), ["document_id"])
 
 
-@query("l02_upsert", "SELECT c_custkey, coalesce(n.v, o.v) AS v FROM (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey, 'new' AS v FROM customer WHERE c_custkey % 5 = 0) n USING (c_custkey)")
+@query("l02_upsert", "SELECT c_custkey, coalesce(n.v, o.v) AS v FROM (SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_acctbal >= 0) o FULL JOIN (SELECT c_custkey, 'new' AS v FROM customer WHERE c_mktsegment = 'BUILDING') n USING (c_custkey)")
 def upsert_rows(spark, sf):
     c = table(spark, sf, "customer")
-    return upsert(c.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("v")), c.where("c_custkey % 5 = 0").select("c_custkey", F.lit("new").alias("v")), ["c_custkey"])
+    return upsert(c.where("c_acctbal >= 0").select("c_custkey", F.col("c_mktsegment").alias("v")), c.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("new").alias("v")), ["c_custkey"])
 
 
-@query("l03_insert_ignore", "SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 3 = 0")
+@query("l03_insert_ignore", "SELECT c_custkey, c_mktsegment AS v FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 0")
 def insert_ignore_rows(spark, sf):
     c = table(spark, sf, "customer")
-    return insert_ignore(c.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("v")), c.where("c_custkey % 5 = 0").select("c_custkey", F.lit("new").alias("v")), ["c_custkey"])
+    return insert_ignore(c.where("c_acctbal >= 0").select("c_custkey", F.col("c_mktsegment").alias("v")), c.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("new").alias("v")), ["c_custkey"])
 
 
 @query("l05_job_state", f"WITH {JOBS_SQL} SELECT document_id, arg_max(status, (created_at, job_id)) AS status, min(created_at) FILTER (status = 'processing') AS started_at, max(created_at) FILTER (status IN ('succeeded', 'dead_letter', 'failed', 'cancelled')) AS finished_at, count(*) FILTER (status = 'retrying') AS attempts FROM jobs GROUP BY document_id")

@@ -112,13 +112,13 @@ def _has(name: str) -> str:
 
 
 _QUEST = "('Compare ', 'Summary of ', 'What is the main challenge of ', 'Why ', 'Who is the CEO of ', 'Which table value 12 ', 'The equation in May ', 'Step of the algorithm ', 'According to figure ', 'Tell me ')"
-_ASKED_SQL = f"asked AS (SELECT conv_id, turn, (list_value{_QUEST})[(conv_id + turn) % 10 + 1] || left(text, 60) || CASE WHEN turn % 3 = 0 THEN ' \"quoted part\"' ELSE '' END AS x FROM conversations)"
+_ASKED_SQL = f"asked AS (SELECT conv_id, turn, (list_value{_QUEST})[(conv_id + turn) % 10 + 1] || text || CASE WHEN turn % 3 = 0 THEN ' \"quoted part\"' ELSE '' END AS x FROM conversations)"
 
 
 def _asked(spark, sf):
     leads = [s.strip("' ") + " " for s in _QUEST.strip("()").split(", ")]
     lead = F.element_at(F.array(*map(F.lit, leads)), ((F.col("conv_id") + F.col("turn")) % 10 + 1).cast("int"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(lead, F.left("text", F.lit(60)), F.when(F.col("turn") % 3 == 0, ' "quoted part"').otherwise("")).alias("x"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.concat(lead, F.col("text"), F.when(F.col("turn") % 3 == 0, ' "quoted part"').otherwise("")).alias("x"))
 
 
 _NUMBER, _DATE = f"regexp_matches(x, '{Q.NUMBER}')", f"regexp_matches(lower(x), '{Q.DATE}')"
@@ -260,9 +260,9 @@ def audio_retrieval(spark, sf):
     return seeds.unionByName(beside).join(c.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi").groupBy("query_id", "conv_id", "turn").agg(F.max("score").alias("score"))
 
 
-@query("d23_neighbour_lookup", f"WITH {CHUNKS_SQL}, l AS (SELECT chunk_id, chunk_index, lag(chunk_id) OVER w AS p, lead(chunk_id) OVER w AS n FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)) SELECT DISTINCT unnest([p, n]) AS chunk_id FROM l WHERE chunk_index % 4 = 1 EXCEPT SELECT NULL")
+@query("d23_neighbour_lookup", f"WITH {CHUNKS_SQL}, l AS (SELECT chunk_id, content_kind, lag(chunk_id) OVER w AS p, lead(chunk_id) OVER w AS n FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)) SELECT DISTINCT unnest([p, n]) AS chunk_id FROM l WHERE content_kind = 'table_row' EXCEPT SELECT NULL")
 def neighbour_lookup(spark, sf):
-    linked = link_chunks(chunks(spark, sf)).where("chunk_index % 4 = 1")
+    linked = link_chunks(chunks(spark, sf)).where("content_kind = 'table_row'")
     return linked.select(F.explode(F.array_compact(F.array("previous_chunk_id", "next_chunk_id"))).alias("chunk_id")).distinct()
 
 

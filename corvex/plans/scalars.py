@@ -12,18 +12,20 @@ _NORM = f"trim(regexp_replace(x, '{_WS}+', ' ', 'g'))"
 _WORDS = f"list_filter(string_split_regex(x, '{_WS}+'), lambda w: w <> '')"
 _TERMS_ALL = f"list_filter(list_transform({_WORDS}, lambda w: lower(trim(w, '.,!?;:-_()[]{{}}''\"'))), lambda w: length(w) > 2)"
 
-#: A line with a label, number or lead word in front, so that every detector meets lines that it accepts.
+#: A sentence with a label, number or lead word in front, so that every detector meets lines that it accepts.
 _LEADS = ("Table IV: ", "Figure 3a. ", "Algorithm 2 ", "1.2 ", "A. ", "where ", "Step 3 ", "IV. ", "2. ", "Abstract - ", "keywords ", "x = y + ")
 
 
 def _marked(spark, sf):
     lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("order_index") % len(_LEADS) + 1).cast("int"))
     tail = F.when(F.col("document_id") % 3 == 0, " (12)").otherwise("")
-    return lines(spark, sf).select("document_id", "order_index", F.concat(lead, F.left("content", F.lit(90)), tail).alias("x"))
+    each = lines(spark, sf).select("document_id", (F.col("order_index") * 100000).alias("base"), F.posexplode(F.split("content", r"\. ")).alias("at", "sentence"))
+    return each.select("document_id", (F.col("base") + F.col("at")).alias("order_index"), "sentence").select("document_id", "order_index", F.concat(lead, "sentence", tail).alias("x"))
 
 
-_MARKED_SQL = LINES_SQL + f""", marked AS (SELECT document_id, order_index, (['{"','".join(_LEADS)}'])[order_index % {len(_LEADS)} + 1] || left(content, 90)
-  || CASE WHEN document_id % 3 = 0 THEN ' (12)' ELSE '' END AS x FROM lines)"""
+_MARKED_SQL = LINES_SQL + f""", sentences AS (SELECT document_id, order_index * 100000 + generate_subscripts(string_split(content, '. '), 1) - 1 AS order_index, unnest(string_split(content, '. ')) AS sentence FROM lines),
+  marked AS (SELECT document_id, order_index::INT AS order_index, (['{"','".join(_LEADS)}'])[order_index % {len(_LEADS)} + 1] || sentence
+  || CASE WHEN document_id % 3 = 0 THEN ' (12)' ELSE '' END AS x FROM sentences)"""
 
 
 def _scalar(name: str, columns: dict, sql: dict[str, str], marked: bool = False):
@@ -100,11 +102,11 @@ _scalar("i34_chunk_kinds", {"chunk_type": lambda x: F.when(F.rlike(x, F.lit("^(T
 
 
 @query("i07_redact_payload", f"""WITH {DOCS_SQL}, pairs AS (
-  SELECT document_id, unnest(['title', 'Api_Key', 'monkey', 'note']) AS k, unnest([title, lang, status, left(text, 400)]) AS x FROM docs)
+  SELECT document_id, unnest(['title', 'Api_Key', 'monkey', 'note']) AS k, unnest([title, lang, status, text]) AS x FROM docs)
 SELECT document_id, k, CASE WHEN contains(lower(k), 'token') OR contains(lower(k), 'secret') OR contains(lower(k), 'password') OR contains(lower(k), 'authorization') OR contains(lower(k), 'key') THEN '[redacted-secret]'
   WHEN length({_REDACT}) > 200 THEN left({_REDACT}, 200) || '...' ELSE {_REDACT} END AS v FROM pairs""")
 def redact_payload(spark, sf):
-    payload = F.create_map(F.lit("title"), "title", F.lit("Api_Key"), "lang", F.lit("monkey"), "status", F.lit("note"), F.left("text", F.lit(400)))
+    payload = F.create_map(F.lit("title"), "title", F.lit("Api_Key"), "lang", F.lit("monkey"), "status", F.lit("note"), "text")
     return documents(spark, sf).select("document_id", F.explode(T.redact_payload(payload)).alias("k", "v"))
 
 
