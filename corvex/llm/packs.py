@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corvex.llm.common import cut, text_of
 
-PACK_BYTES, PACK_ROWS = 8 << 20, 4096
+PACK_BYTES, PACK_ROWS = 4 << 20, 4096
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:

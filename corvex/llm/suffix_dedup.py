@@ -136,7 +136,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text is empty. Rows without an id lose nothing and take nothing; rows that share an id take nothing from each other.
     An empty table gives an empty table.
     """
-    shards = shard_count(docs)
+    shards = shard_count(docs, 512)
     packs = build_packs(docs, id_col, text_col)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
