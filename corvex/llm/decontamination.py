@@ -102,7 +102,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     seed, item_of, item_at = seed[order], rows["item_id"].to_numpy()[order], rows["at"].to_numpy()[order]
     gate = np.zeros(1 << max(16, min(26, 4 * len(seed)).bit_length() + 4), bool)
     gate[seed & U(len(gate) - 1)] = True
-    item_rows = tests.toPandas()  # the items of those seeds and ones too short to have any
+    item_rows = tests.join(test_seeds.select("item_id").distinct(), "item_id", "left_semi").toPandas()  # bounded by their seeds
     item_words = Words([t.encode() for t in item_rows["text"]], signs=SIGNS)
     items = {int(i): item_words.hashes[a:b] for i, a, b in zip(item_rows["item_id"], item_words.offsets, item_words.offsets[1:])}
     sent = spark.sparkContext.broadcast((seed, item_of, item_at, gate, items))

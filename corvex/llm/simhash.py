@@ -159,7 +159,8 @@ def link_fingerprints(distinct: DataFrame, distance: int, masks: list[np.ndarray
     """Links (a, b) between keys of distinct fingerprints (columns key, fp), with the components of all pairs that the forest finds."""
     spark = distinct.sparkSession
     n, trees_n = distinct.count(), len(masks)
-    sampled = distinct.orderBy(F.xxhash64("key")).limit(SAMPLE).collect()  # of at most SAMPLE fingerprints
+    share = int((1 << 30) * min(1.0, SAMPLE / max(1, n)))
+    sampled = distinct.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share).orderBy("key").collect()  # about SAMPLE fingerprints at most
     sample = np.frombuffer(b"".join(r["fp"] for r in sampled), U).reshape(-1, len(masks[0]))
     depth = min(MOST_DEPTH, max(0, n // LEAF).bit_length())
     forest = spark.sparkContext.broadcast([VantageTree(sample, m, depth, seed) for seed, m in enumerate(masks)])  # trees * 2**MOST_DEPTH nodes at most
