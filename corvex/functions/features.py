@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvex.functions.text import one_of
@@ -39,9 +39,14 @@ def query_features(question: Column) -> dict[str, Column]:
     return out
 
 
-def query_class(question: Column) -> Column:
-    """The first class whose signs the question shows."""
-    f, low = query_features(question), F.lower(question)
+def feature_struct(question: Column) -> Column:
+    """The features as one struct, to be computed once for each question and then read."""
+    return F.struct(*(c.alias(n) for n, c in query_features(question).items()))
+
+
+def query_class(question: Column, f: Column | dict[str, Column]) -> Column:
+    """The first class whose signs the question (with features f) shows."""
+    low = F.lower(question)
     numeric = f["has_number"] | f["has_date"] | f["has_table"] | f["has_equation"] | one_of(low, NUMERIC_PHRASES)
     return (
         F.when(f["has_unanswerable"], "unsupported_probe").when(f["has_conclusion"], "conclusion").when(f["has_summary"], "summary")
@@ -49,9 +54,8 @@ def query_class(question: Column) -> Column:
     )
 
 
-def strategy(question: Column, top_k: int = 5, per_document: int = 2, budget: int = 2200, vector_weight: float = 1.0, fts_weight: float = 0.85) -> Column:
-    """What the class changes: weights, limits, diversity, rewriting."""
-    f, c = query_features(question), query_class(question)
+def strategy(question: Column, f: Column, c: Column, top_k: int = 5, per_document: int = 2, budget: int = 2200, vector_weight: float = 1.0, fts_weight: float = 0.85) -> Column:
+    """What the class c of a question with features f changes: weights, limits, diversity, rewriting."""
     exact, dated = c.isin("fact", "numeric_detail"), f["has_number"] | f["has_date"]
     structured = f["has_table"] | f["has_equation"] | f["has_algorithm"]
     weight = F.when(c == "fact", 0.95).when(c == "numeric_detail", 0.85).when(c == "summary", 1.0).when(c.isin("why", "conclusion"), 1.05).otherwise(vector_weight)
@@ -66,3 +70,10 @@ def strategy(question: Column, top_k: int = 5, per_document: int = 2, budget: in
         F.when(c.isin(*SUPPORTED), F.lit(2)).otherwise(F.lit(1)).alias("diversity"), c.isin(*SUPPORTED).alias("prefer_diversity"),
         F.when(c == "summary", F.lit(3)).when(c.isin("compare", "why", "conclusion"), F.lit(2)).otherwise(F.lit(0)).alias("min_new_terms"),
     )
+
+
+def with_strategy(questions: DataFrame, column: str) -> DataFrame:
+    """questions with columns f (features), query_class and s (strategy), each computed once and read by the next."""
+    q = F.col(column)
+    ready = questions.withColumn("f", feature_struct(q)).withColumn("query_class", query_class(q, F.col("f")))
+    return ready.withColumn("s", strategy(q, F.col("f"), F.col("query_class")))

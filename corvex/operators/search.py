@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvex.functions import text as T
-from corvex.functions.features import query_features
 
 QUERY_BLOCK = 2048
 #: How much of a seed's score each relation keeps.
@@ -169,9 +168,8 @@ def fuse(vector: DataFrame, lexical: DataFrame, weights: DataFrame | None = None
     return scored.select("query_id", "chunk_id", "vector_rank", "fts_rank", "fused", F.row_number().over(w).alias("rank"))
 
 
-def structural_boost(question, section, content, kind):
-    """What a candidate gains from section and content overlap, quoted phrases and kinds that the question asks for."""
-    f, terms = query_features(question), T.terms(question)
+def structural_boost(question, f, terms, section, content, kind):
+    """What a candidate gains from section and content overlap, quoted phrases and kinds that the question (features f, terms) asks for."""
     section_terms = T.terms(section)
     section_n, content_n = F.size(F.array_intersect(terms, section_terms)), F.size(F.array_intersect(terms, F.slice(T.ranked_terms(content), 1, SLOT_TEXT)))
     hinted = F.size(F.array_intersect(f["section_terms"], section_terms))
@@ -185,9 +183,8 @@ def structural_boost(question, section, content, kind):
     return F.when(F.size(terms) > 0, F.round(total, 6)).otherwise(F.lit(0.0))
 
 
-def rerank_gain(question, content):
+def rerank_gain(terms, content):
     """A quarter of the share of the question's terms that the content holds."""
-    terms = T.terms(question)
     return F.round(F.size(F.array_intersect(terms, T.terms(content))) * 0.25 / F.greatest(F.lit(1), F.size(terms)), 6)
 
 

@@ -138,7 +138,7 @@ _CLASS = f"""CASE WHEN {_has('unanswerable')} THEN 'unsupported_probe' WHEN {_ha
 
 @query("d10_query_class", f"WITH {_ASKED_SQL} SELECT conv_id, turn, {_CLASS} AS query_class FROM asked")
 def query_class(spark, sf):
-    return _asked(spark, sf).select("conv_id", "turn", Q.query_class(F.col("x")).alias("query_class"))
+    return Q.with_strategy(_asked(spark, sf), "x").select("conv_id", "turn", "query_class")
 
 
 @query("d11_query_strategy", f"""WITH {_ASKED_SQL}, c AS (SELECT *, {_CLASS} AS c FROM asked) SELECT conv_id, turn, c AS query_class,
@@ -148,7 +148,7 @@ def query_class(spark, sf):
   CASE WHEN c IN ('fact','numeric_detail','unsupported_probe') THEN 2 ELSE 5 END::INT AS top_k, CASE WHEN c IN ('fact','numeric_detail','unsupported_probe') THEN 1 WHEN c = 'summary' THEN 3 ELSE 2 END::INT AS per_document,
   CASE WHEN c = 'summary' THEN 2970 ELSE 2200 END::INT AS budget, CASE WHEN c IN ('summary','compare','why','conclusion') THEN 2 ELSE 1 END::INT AS diversity FROM c""")
 def query_strategy(spark, sf):
-    return _asked(spark, sf).select("conv_id", "turn", Q.strategy(F.col("x")).alias("s")).select("conv_id", "turn", "s.query_class", "s.vector_weight", "s.fts_weight", "s.allow_rewrite", "s.top_k", "s.per_document", "s.budget", "s.diversity")
+    return Q.with_strategy(_asked(spark, sf), "x").select("conv_id", "turn", "s.query_class", "s.vector_weight", "s.fts_weight", "s.allow_rewrite", "s.top_k", "s.per_document", "s.budget", "s.diversity")
 
 
 @query("d12_rewrite_trigger", f"WITH {CHUNKS_SQL}, {FUSED_SQL} SELECT query_id, max(fused) < 0.018 OR count(DISTINCT chunk_id // 100000) < 2 AS rewrite FROM ranked GROUP BY query_id")
@@ -158,13 +158,17 @@ def rewrite_trigger(spark, sf):
 
 def candidates(spark, sf):
     """Fused candidates with their question and chunk."""
-    return fused(spark, sf).join(questions(spark, sf).select("query_id", "question"), "query_id").join(chunks(spark, sf), "chunk_id")
+    asked = Q.with_strategy(questions(spark, sf).select("query_id", "question"), "question").withColumn("q_terms", T.terms(F.col("question")))
+    return fused(spark, sf).join(asked, "query_id").join(chunks(spark, sf), "chunk_id")
+
+
+def _boost():
+    return S.structural_boost(*map(F.col, ("question", "f", "q_terms", "section_title", "content", "content_kind")))
 
 
 @query("d08_structural_boosts")
 def structural_boosts(spark, sf):
-    c = candidates(spark, sf)
-    return c.select("query_id", "chunk_id", "fused", S.structural_boost(F.col("question"), F.col("section_title"), F.col("content"), F.col("content_kind")).alias("boost"))
+    return candidates(spark, sf).select("query_id", "chunk_id", "fused", _boost().alias("boost"))
 
 
 _SET = "list_distinct(list_filter(list_transform(string_split_regex({x}, '" + _WS + "+'), lambda w: lower(trim(w, '.,!?;:-_()[]{}''\"'))), lambda w: length(w) > 2))"
@@ -172,7 +176,7 @@ _SET = "list_distinct(list_filter(list_transform(string_split_regex({x}, '" + _W
 
 @query("d16_rerank", f"WITH {CHUNKS_SQL}, {FUSED_SQL}, t AS (SELECT query_id, chunk_id, fused, {_SET.replace('{x}', 'question')} AS a, {_SET.replace('{x}', 'content')} AS b FROM ranked JOIN questions USING (query_id) JOIN chunks USING (chunk_id)) SELECT query_id, chunk_id, round(fused + round(len(list_intersect(a, b)) * 0.25::DOUBLE / greatest(1, len(a)), 6), 6) AS score FROM t")
 def rerank(spark, sf):
-    return candidates(spark, sf).select("query_id", "chunk_id", F.round(F.col("fused") + S.rerank_gain(F.col("question"), F.col("content")), 6).alias("score"))
+    return candidates(spark, sf).select("query_id", "chunk_id", F.round(F.col("fused") + S.rerank_gain(F.col("q_terms"), F.col("content")), 6).alias("score"))
 
 
 def relations(spark, sf):
@@ -204,12 +208,12 @@ def graph_gate(spark, sf):
 
 def context(spark, sf):
     """The whole retrieval: fusion, boosts, expansion, reranking, near-duplicate removal, assembly."""
-    boosted = candidates(spark, sf).select("query_id", "chunk_id", F.round(F.col("fused") + S.structural_boost(F.col("question"), F.col("section_title"), F.col("content"), F.col("content_kind")), 8).alias("score"))
+    boosted = candidates(spark, sf).select("query_id", "chunk_id", F.round(F.col("fused") + _boost(), 8).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     wide = S.expand_graph(boosted.withColumn("rank", F.row_number().over(order)), relations(spark, sf))
-    q = questions(spark, sf).select("query_id", "question", Q.strategy(F.col("question")).alias("s"))
+    q = Q.with_strategy(questions(spark, sf).select("query_id", "question"), "question").withColumn("q_terms", T.terms(F.col("question")))
     ready = wide.join(q, "query_id").join(chunks(spark, sf), "chunk_id")
-    score = F.round(F.col("score") + S.rerank_gain(F.col("question"), F.col("content")), 6)
+    score = F.round(F.col("score") + S.rerank_gain(F.col("q_terms"), F.col("content")), 6)
     rows = ready.withColumn("score", score).withColumn("rank", F.row_number().over(order))
     path = F.concat_ws(" > ", "title", "section_title")
     group = F.when(F.col("content_kind").isin("table_row", "equation"), F.concat_ws(":", "content_kind", "node_id"))

@@ -210,3 +210,10 @@ def test_item_passes(spark):
         ("front_matter", "My Paper", []), ("front_matter", "Jane Roe", []), ("heading", "1. Introduction", ["1. Introduction"]), ("paragraph", "Some long plain words follow here in a row of text", ["1. Introduction"]),
         ("heading", "1.1 Data And Methods", ["1. Introduction", "1.1 Data And Methods"]), ("equation", "x = y + ( z )", ["1. Introduction", "1.1 Data And Methods"]),
         ("heading", "REFERENCES", ["REFERENCES"]), ("reference", "[1] A book", ["REFERENCES"])]
+
+
+def test_ranked_terms(spark):
+    from corvex.functions.text import ranked_terms
+
+    df = spark.createDataFrame([("beta, alpha beta! of (alpha) gamma alpha",), ("",), (None,)], "t string")
+    assert [r.x for r in df.select(ranked_terms("t").alias("x")).collect()] == [["alpha", "beta", "gamma"], [], []]
