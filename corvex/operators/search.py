@@ -87,10 +87,15 @@ def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int = 24, tables: int =
     return ranked(both.select("query_id", "vec_id", F.round(dot / (norm(F.col("a")) * norm(F.col("b"))), 6).alias("score")), "query_id", "score", "vec_id", k)
 
 
-def postings(chunks: DataFrame, text_col: str = "content") -> DataFrame:
-    """chunk_id, term and its positions: the inverted index of lower-cased words without signs."""
+def postings(chunks: DataFrame, text_col: str = "content", asked: DataFrame | None = None) -> DataFrame:
+    """chunk_id, term and its positions: the inverted index of lower-cased words without signs.
+
+    With `asked` (questions with terms), only of their terms: a semi-join before the shuffle, so the rest never moves.
+    """
     word = F.lower(T.strip_signs(F.col("word")))
     each = chunks.select("chunk_id", F.posexplode(T.words(F.col(text_col))).alias("at", "word")).select("chunk_id", word.alias("term"), "at").where(F.char_length("term") > 2)
+    if asked is not None:
+        each = each.join(asked.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
     return each.groupBy("chunk_id", "term").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
 

@@ -68,12 +68,12 @@ LEXICAL_SQL = _POST + f""", {QUESTIONS_SQL}, asked AS (SELECT query_id, len(list
 
 @query("d06_lexical_rank", f"WITH {CHUNKS_SQL}, {LEXICAL_SQL} SELECT * FROM lex")
 def lexical_rank(spark, sf):
-    return S.lexical_top_k(questions(spark, sf), S.postings(chunks(spark, sf)))
+    return S.lexical_top_k(questions(spark, sf), S.postings(chunks(spark, sf), asked=questions(spark, sf)))
 
 
 @query("d06_cover_density")
 def cover_density(spark, sf):
-    return S.cover_density(questions(spark, sf), S.postings(chunks(spark, sf)))
+    return S.cover_density(questions(spark, sf), S.postings(chunks(spark, sf), asked=questions(spark, sf)))
 
 
 def _first_chunks(spark, sf):
@@ -94,7 +94,7 @@ def fused(spark, sf):
     e = table(spark, sf, "embeddings")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
     near = S.vector_top_k(asked, e.join(firsts.select("vec_id"), "vec_id", "left_semi")).join(firsts, "vec_id").select("query_id", "chunk_id", "rank")
-    return S.fuse(near, S.lexical_top_k(questions(spark, sf), S.postings(chunks(spark, sf))))
+    return S.fuse(near, S.lexical_top_k(questions(spark, sf), S.postings(chunks(spark, sf), asked=questions(spark, sf))))
 
 
 @query("d07_rank_fusion", f"WITH {CHUNKS_SQL}, {FUSED_SQL} SELECT query_id, chunk_id, vector_rank::INT AS vector_rank, fts_rank, fused, rank FROM ranked")
