@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corvex.llm.common import cut, text_of
 
-PACK_BYTES, PACK_ROWS = 4 << 20, 4096
+PACK_BYTES, PACK_ROWS = 8 << 20, 4096
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -66,8 +66,11 @@ def runs(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, list[b
         yield start, texts[start:]
 
 
-def build_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """pack (long), ids (array<long>) and blob of all rows of docs; a null text is empty. Written to the shared folder."""
+def build_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pack_bytes: int = PACK_BYTES) -> DataFrame:
+    """pack (long), ids (array<long>) and blob of all rows of docs; a null text is empty. Written to the shared folder.
+
+    Small packs need less memory, large ones ask for fewer keys in all.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -83,7 +86,7 @@ def build_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
-                if size >= PACK_BYTES or len(ids) >= PACK_ROWS:
+                if size >= pack_bytes or len(ids) >= PACK_ROWS:
                     yield out()
                     ids, texts, size, number = [], [], 0, number + 1
         if ids:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from corvex.llm.packs import build_packs, bundles, by_shard, runs, shard_count, squeeze, texts_of, unsqueeze
 from corvex.llm.vec import U, prefix_sums, span_hashes
 
-WIDTH, K, SHALLOW = 50, 18, 16
+WIDTH, K, SHALLOW, PACK_BYTES = 50, 18, 16, 4 << 20
 STEPS = WIDTH - K + 1  # K-grams of a window
 KEY_BITS = ~U(0xFFFF)
 
@@ -137,7 +137,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives an empty table.
     """
     shards = shard_count(docs, 512)
-    packs = build_packs(docs, id_col, text_col)
+    packs = build_packs(docs, id_col, text_col, PACK_BYTES)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
