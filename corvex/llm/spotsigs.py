@@ -21,9 +21,19 @@ el los las del y se por con para su al lo no""".split()
 CHAIN, SKIP, DOCUMENTS_PER_BUCKET, MOST_BUCKETS = 2, 8, 256, 10_000
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern for exactly these words, branching on one letter at a time, so that a word is tried against few branches."""
+    heads = sorted({w[0] for w in words if w})
+    if not heads:
+        return ""
+    parts = [h + _any_of([w[1:] for w in words if w.startswith(h)]) for h in heads]
+    body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    return f"(?:{body})?" if "" in words else body
+
+
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The sorted distinct signature hashes of a text; one that has none is its own signature as a whole."""
-    common = "(?:" + "|".join(COMMON) + ")(?= )"
+    common = _any_of(COMMON) + "(?= )"
     step = f"(?: {common}){{0,{SKIP}}} (?!{common})[^ ]+"
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     found = F.regexp_extract_all(plain, F.lit(f"(?<= )(?=({common}{step * chain}) )"), F.lit(1))
