@@ -22,6 +22,9 @@ from corvex.llm.vec import U, Words, mix, prefix_sums, span_hashes
 
 LABELLED, TRAINED, BUCKETS, LEXICON = 40_000, 40_000, 1 << 18, 1_000
 PREFIXES = (4, 5)
+#: A document has toxic words if at least so many of its words, and at least this share of them, are in the lexicon: a
+#: long clean one meets a word beginning of the lexicon now and then.
+TOXIC_WORDS, TOXIC_SHARE = 2, 0.008
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: The labellers, in the order of the digits of a vote pattern; the last is the human label.
 LABELLERS = ("signs", "capitals", "repetition", "separators", "toxic words", "plain prose", "human")
@@ -71,7 +74,8 @@ def votes(words: Words, raw: np.ndarray, stems: np.ndarray, begin: np.ndarray, t
         for own in (stems, *begin):
             at = np.minimum(np.searchsorted(toxic, own), len(toxic) - 1)
             hit |= toxic[at] == own
-    out[:, 4] = np.where(np.bincount(words.doc, hit, n) > 0, BAD, ABSTAIN)
+    hits = np.bincount(words.doc, hit, n)
+    out[:, 4] = np.where((hits >= TOXIC_WORDS) & (hits >= TOXIC_SHARE * words.counts), BAD, ABSTAIN)
     out[:, 5] = np.where((out[:, :5] == ABSTAIN).all(1) & (per_doc(signed) < 0.05), GOOD, ABSTAIN)
     return out
 
@@ -83,7 +87,7 @@ def _read(texts: list[bytes], toxic: np.ndarray) -> tuple[Words, np.ndarray, np.
     return words, stems, votes(words, raw, stems, begin, toxic)
 
 
-def toxic_words(labelled: DataFrame, least: int = 10, rate: float = 0.004, odds: float = 50.0) -> np.ndarray:
+def toxic_words(labelled: DataFrame, least: int = 5, rate: float = 0.004, odds: float = 20.0) -> np.ndarray:
     """Sorted hashes of words and word beginnings at `odds` times the rate of the other documents in toxic ones (at most LEXICON).
 
     In toxic documents a word counts once for each different word before it, so that copies of one text count once; it
@@ -174,8 +178,8 @@ def train(rows: DataFrame, toxic: np.ndarray, shards: int = 4, rounds: int = 4)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, labelled: int = LABELLED, trained: int = TRAINED) -> DataFrame:
-    """doc_id, score (the scorer's probability of "bad"), weak_bad (the posterior of the votes) and keep: its label
-    where the document has one, else both under threshold.
+    """doc_id, score (the scorer's probability of "bad"), weak_bad (the posterior of the votes), learned (both under
+    threshold) and keep: its label where the document has one, else learned.
 
     labels: doc_id, quality and toxic (0 or 1); several rows of one document count as bad if one is. Null and empty texts
     draw no votes and are judged like any other. Without labels the heuristics alone decide. Rows without an id are
@@ -218,6 +222,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     scored = own.mapInArrow(score, f"doc_id {id_type}, score double")
     ready = scored.join(judged, "doc_id", "left").withColumn("weak_bad", F.coalesce("weak_bad", F.lit(0.0)))
-    learned = (F.col("score") < threshold) & (F.col("weak_bad") < threshold)
-    keep = F.when(F.col("human") == BAD, False).when(F.col("human") == GOOD, True).otherwise(learned)
-    return ready.select("doc_id", "score", "weak_bad", keep.alias("keep"))
+    ready = ready.withColumn("learned", (F.col("score") < threshold) & (F.col("weak_bad") < threshold))
+    keep = F.when(F.col("human") == BAD, False).when(F.col("human") == GOOD, True).otherwise(F.col("learned"))
+    return ready.select("doc_id", "score", "weak_bad", "learned", keep.alias("keep"))
