@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -183,6 +184,30 @@ def test_op4_odd(spark, odd):
     assert quality.classify(empty(spark), labels).count() == 0
 
 
+def test_op2_finds_every_placement_of_substitutions(spark):
+    """Items of 1 to 20 tokens with a fifth substituted, of 15 to 20 with two and three, at every placement; cut items and passages of one id."""
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 21)}
+    docs, want = [], set()
+    for n, item in items.items():
+        for count in {n // 5, *((2, 3) if 15 <= n <= 20 else ())}:
+            for places in itertools.combinations(range(n), count):
+                want.add((len(docs), n))
+                docs.append((len(docs), " ".join(["before", "it", *("zzz" if k in places else w for k, w in enumerate(item)), "and", "after"])))
+        for cut in {n // 5} - {0}:
+            want |= {(len(docs), n), (len(docs) + 1, n)}
+            docs += [(len(docs), " ".join(item[cut:])), (len(docs) + 1, " ".join(item[: n - cut]))]
+        if n < 17:
+            docs.append((len(docs), " ".join(item[: n - n // 5 - 1]) + " beyond"))
+    want |= {(-1, 50), (-2, 50), (-3, 50)}
+    first, second = " ".join(f"a{k}" for k in range(16)), " ".join(f"b{k}" for k in range(16))
+    docs += [(-1, first), (-2, second), (-3, f"{second} {first}")]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()] + [(50, first), (50, second), (50, second)], "item_id long, text string")
+    for limit in (1 << 20, 0):
+        got = collections.Counter((r.doc_id, r.item_id) for r in decontamination.find_overlaps(frame, bench, broadcast_seeds=limit).collect())
+        assert set(got) == want and set(got.values()) == {1}
+
+
 # 6
 
 def brute_components(fps, distance):
