@@ -2,23 +2,25 @@
 
 A signature is a common word (the anchor) with the chain of content words that follow it, common words between them
 skipped. A document's fingerprint is the set of its signatures. Two fingerprints are compared by the Jaccard measure,
-which their sizes bound from above, so pairs from length partitions too far apart are settled without an intersection.
+which their sizes bound from above: near_pairs joins sets of the same and of neighbouring length partitions alone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvex.llm.common import text_of
+from corvex.llm.common import cut, text_of
 
 # Frequent function words of English, French, German and Spanish.
 COMMON = """the of and to in a is that was it for on be with as by this are at from or an
 la le les des du et un une que qui en pour dans est sur pas au par
 der die das und den von zu mit sich ist auf ein eine dem nicht im es
 el los las del y se por con para su al lo no""".split()
-CHAIN, SKIP, DOCUMENTS_PER_BUCKET, MOST_BUCKETS = 2, 8, 256, 10_000
+CHAIN, DOCUMENTS_PER_BUCKET, MOST_BUCKETS = 2, 256, 10_000
 
 
 def _any_of(words: list[str]) -> str:
@@ -34,10 +36,15 @@ def _any_of(words: list[str]) -> str:
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The sorted distinct signature hashes of a text; one that has none is its own signature as a whole."""
     common = _any_of(COMMON) + "(?= )"
-    step = f"(?: {common}){{0,{SKIP}}} (?!{common})[^ ]+"
+    run = f"(?: {common})++"  # all common words in a row are read once, and share the chain behind them
+    step = f"(?:{run})?+ [^ ]+"
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    found = F.regexp_extract_all(plain, F.lit(f"(?<= )(?=({common}{step * chain}) )"), F.lit(1))
-    hashed = F.transform(found, lambda x: F.xxhash64(F.regexp_replace(x, f"(?<= ){common} ", "")))
+    found = F.regexp_extract_all(plain, F.lit(f"(?=({run}(?:{step * chain}(?= ))?)){run}"), F.lit(1))
+    anchors = lambda x: F.array_distinct(F.split(F.ltrim(F.regexp_extract(x, run, 0)), " "))
+    content = lambda x: F.regexp_replace(x, f" {common}", "")
+    each = F.transform(found, lambda x: F.struct(F.concat(x, F.lit(" ")).alias("x")))
+    each = F.transform(each, lambda y: F.struct(anchors(y["x"]).alias("anchors"), F.rtrim(content(y["x"])).alias("content")))
+    hashed = F.flatten(F.transform(F.filter(each, lambda y: y["content"] != ""), lambda y: F.transform(y["anchors"], lambda w: F.xxhash64(F.concat(w, y["content"])))))
     return F.when(F.size(hashed) > 0, F.array_sort(F.array_distinct(hashed))).otherwise(F.array(F.xxhash64(text)))
 
 
@@ -83,7 +90,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("NOT __to.guard").drop("__to")
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.01) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
     """The fingerprint of each text and of its edited text, whose last half comes from the start of the next document.
 
     Returns doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next. A null text is the
@@ -100,3 +107,28 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "doc_id", n.cast("long").alias("n_chars"), "edited_text", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs"), least).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs"), least).alias("near_next"),
     )
+
+
+def near_pairs(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs (a, b, likeness) with a likeness of at least `least` (above 0), a < b or both alike; none is missed.
+
+    Sets that are equal count once: each further document of a set makes one pair with the set's smallest id, which stands
+    for the set in all other pairs. Sets meet where they share one of their rarest signatures (of n the first
+    n - ceil(least * n) + 1) in the same or a neighbouring length partition, and are compared as a whole then.
+    """
+    width = -math.log(least) + 1e-9
+    own = docs.select(F.col(id_col).alias("doc_id"), signatures(text_of(text_col)).alias("sigs")).where("doc_id IS NOT NULL")
+    own = cut(own.withColumn("key", F.xxhash64("sigs")), "signatures")
+    sets = cut(own.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs")), "sets")
+    single = sets.select("key", "n", F.explode("sigs").alias("sig"))
+    ranked = single.join(single.groupBy("sig").agg(F.count("*").alias("held")), "sig")
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("held", "sig")))
+    rare = cut(ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("key", "n", "sig", F.floor(F.log("n") / width).alias("length")), "rare")
+    small = rare.select(F.col("key").alias("a"), F.col("n").alias("n_a"), "sig", "length")
+    large = rare.select(F.col("key").alias("b"), F.col("n").alias("n_b"), "sig", F.explode(F.array("length", F.col("length") - 1)).alias("length"))
+    met = small.join(large, ["sig", "length"]).where((F.col("n_a") >= F.col("n_b") * least - 1e-9) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))))
+    side = lambda k: sets.select(F.col("key").alias(k), F.col("first").alias(f"first_{k}"), F.col("sigs").alias(f"sigs_{k}"))
+    pairs = met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b")))
+    pairs = pairs.where(F.col("likeness") >= least - 1e-9).select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"), "likeness")
+    same = own.select("key", "doc_id").join(sets.select("key", "first"), "key").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("likeness"))
+    return pairs.unionByName(same)
