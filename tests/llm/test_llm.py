@@ -131,12 +131,32 @@ def test_op3_equals_library(spark):
 
 def test_op3_forced_cuts():
     model = bpe.load(BYTE)
+    pairs = {(a, b) for t in model.ids for a, b in zip(t, t[1:])}
     for text in ("hello world", "x~~q", "日本"):
-        assert b"".join(model.cuts(text.encode())) == text.encode()
-    assert all((a, b) in model.joined for t in model.ids for a, b in zip(t, t[1:]))
+        raw = text.encode()
+        assert model.cuts(np.frombuffer(raw, np.uint8)).tolist() == [i == 0 or (raw[i - 1], raw[i]) not in pairs for i in range(len(raw))]
     assert model.decode([model.ids[b"\xe6"]]) == "�"
 
 
+def test_op3_stretches_and_matrices():
+    """White space of every kind and run, special tokens, and fragments on both sides of the widest matrix, in one slice."""
+    from tokenizers import Tokenizer
+
+    library, model, rng = Tokenizer.from_file(BYTE), bpe.load(BYTE), random.Random(1)
+    signs = [" ", "  ", "\n", "\t", "\u00a0", "\x85", "\u2003", "\x1c", "'s", "'", "a", "b ", "Z", "1", "９", "é", "日", "!", "?", "<|endoftext|>", "\r\n", "\u0301", "\u3000", "x" * 63, "x" * 64, "x" * 65, "ab" * 300]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    assert [x.tolist() for x in model.encode_all(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_op3_odd(spark, odd):
+    got = bpe.digest_documents(odd, BYTE)
+    assert got.columns == ["doc_id", "text", "fp", "key", "n_tokens", "ids_sha256", "decoded_sha256"]
+    rows = got.collect()
+    assert len(rows) == 10 and all(r.decoded_sha256 == sha(r.text or "") for r in rows)
+    by = collections.Counter((r.doc_id, r.n_tokens) for r in rows)
+    assert by[3, 0] == by[4, 0] == 1 and by[7, 30000 + 1] + by[7, 30000] == 1 and sum(r.doc_id == 5 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
+
+
 def test_op5_equals_library(spark, odd):
     from tokenizers import Tokenizer
 
