@@ -3,7 +3,8 @@
 Overlapping heuristic labellers vote "bad", "good" or abstain on every document; expectation-maximisation (Dawid and
 Skene's model with abstention as an outcome of its own) estimates how accurate each is from the counts of vote patterns
 over the whole corpus, and gives every pattern a posterior. The posteriors label the training rows of a hashed linear
-scorer, which reads the words and the votes of the heuristics (not the human labels) and so judges any document.
+scorer, which reads the words and the votes of the heuristics. Human labels are one labeller of the fit; no document is
+judged by its own label: the scorer and the posterior of the heuristics alone decide.
 
 Fitting reads bounded samples: LABELLED labelled rows for the lexicon of toxic words, TRAINED rows for the scorer.
 """
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from corvex.llm.common import cut, slices, text_of
 from corvex.llm.vec import U, Words, mix, prefix_sums, span_hashes
 
-LABELLED, TRAINED, BUCKETS, LEXICON = 40_000, 40_000, 1 << 18, 1_000
+LABELLED, TRAINED, BUCKETS = 40_000, 40_000, 1 << 18
 PREFIXES = (4, 5)
-#: A document has toxic words if at least so many of its words, and at least this share of them, are in the lexicon: a
-#: long clean one meets a word beginning of the lexicon now and then.
-TOXIC_WORDS, TOXIC_SHARE = 2, 0.008
+#: A document has toxic words if at least this share of its words is in the lexicon, of which one at least as a whole word
+#: or two by their beginnings; or if it holds so many different words of the lexicon, however long it is.
+TOXIC_SHARE, TOXIC_DISTINCT = 0.008, 3
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: The labellers, in the order of the digits of a vote pattern; the last is the human label.
 LABELLERS = ("signs", "capitals", "repetition", "separators", "toxic words", "plain prose", "human")
@@ -69,13 +70,14 @@ def votes(words: Words, raw: np.ndarray, stems: np.ndarray, begin: np.ndarray, t
         out[(np.bincount(words.doc[1:], twice, n) > 0.3 * words.counts) & (words.counts >= 6), 2] = BAD
     single = (words.ends - words.starts == 1) & signed
     out[:, 3] = np.where(per_doc(single) > 0.1, BAD, ABSTAIN)
-    hit = np.zeros(len(stems), bool)
+    found = np.zeros((2, len(stems)), bool)  # as whole words, by their beginnings
     if len(toxic):
-        for own in (stems, *begin):
-            at = np.minimum(np.searchsorted(toxic, own), len(toxic) - 1)
-            hit |= toxic[at] == own
-    hits = np.bincount(words.doc, hit, n)
-    out[:, 4] = np.where((hits >= TOXIC_WORDS) & (hits >= TOXIC_SHARE * words.counts), BAD, ABSTAIN)
+        for row, own in zip((0, *[1] * len(begin)), (stems, *begin)):
+            found[row] |= toxic[np.minimum(np.searchsorted(toxic, own), len(toxic) - 1)] == own
+    hits, whole = (np.bincount(words.doc, x, n) for x in (found.any(0), found[0]))
+    _, first = np.unique(mix(stems[found[0]] + words.doc[found[0]].astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
+    distinct = np.bincount(words.doc[found[0]][first], minlength=n)
+    out[:, 4] = np.where(((hits >= TOXIC_SHARE * count) & ((whole > 0) | (hits > 1))) | (distinct >= TOXIC_DISTINCT), BAD, ABSTAIN)
     out[:, 5] = np.where((out[:, :5] == ABSTAIN).all(1) & (per_doc(signed) < 0.05), GOOD, ABSTAIN)
     return out
 
@@ -87,46 +89,54 @@ def _read(texts: list[bytes], toxic: np.ndarray) -> tuple[Words, np.ndarray, np.
     return words, stems, votes(words, raw, stems, begin, toxic)
 
 
-def toxic_words(labelled: DataFrame, least: int = 5, rate: float = 0.004, odds: float = 20.0) -> np.ndarray:
-    """Sorted hashes of words and word beginnings at `odds` times the rate of the other documents in toxic ones (at most LEXICON).
+def toxic_words(labelled: DataFrame, least: int = 4, rate: float = 0.004, odds: float = 20.0) -> np.ndarray:
+    """Sorted hashes of words and word beginnings at `odds` times the rate of the other documents in toxic ones.
 
-    In toxic documents a word counts once for each different word before it, so that copies of one text count once; it
-    needs `least` such contexts, and `rate` of the number of toxic rows. labelled: text and toxic of at most LABELLED rows.
+    In toxic documents a word counts as often as documents hold it, but once at most for each different word before it, so
+    that copies of one text count once; it has to reach `least` and `rate` of the number of toxic rows. These are at most as many as the words of an
+    average toxic row, divided by the rate. labelled: text and toxic (not null) of at most LABELLED rows.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text", 1 << 22):
+        for batch, texts in slices(batches, "text"):
             toxic = batch.column(batch.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False) > 0
             words = Words(texts)
             stems, begin = stem_hashes(words)
             before = np.concatenate(([U(0)], words.hashes[:-1])) if len(stems) else stems
-            every, doc, before = np.concatenate([stems, *begin]), np.tile(words.doc, 1 + len(PREFIXES)), np.tile(before, 1 + len(PREFIXES))
-            keep = every != 0
-            every, doc, before = every[keep], doc[keep], before[keep]
-            bad = toxic[doc]
-            _, first = np.unique(mix(every[~bad] + doc[~bad].astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
-            word, good = np.unique(every[~bad][first], return_counts=True)
-            pair, at = np.unique(mix(every[bad] * U(3) + before[bad]), return_index=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([word, every[bad][at]]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(word), U), pair]).view(np.int64)), pa.array(np.concatenate([good, np.zeros(len(pair), np.int64)]))],
-                ["word", "context", "good"])
+            for every in (stems, *begin):
+                known, bad = np.flatnonzero(every != 0), np.flatnonzero((every != 0) & toxic[words.doc])
+                _, first = np.unique(mix(every[known] + words.doc[known].astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
+                word, of = np.unique(every[known][first], return_inverse=True)
+                held = np.bincount(of, toxic[words.doc[known][first]], len(word)).astype(np.int64)
+                pair, at = np.unique(mix(every[bad] * U(3) + before[bad]), return_index=True)
+                none = np.zeros(len(pair), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([word, every[bad][at]]).view(np.int64)), pa.array(np.concatenate([np.zeros(len(word), U), pair]).view(np.int64)),
+                     pa.array(np.concatenate([np.bincount(of, minlength=len(word)) - held, none])), pa.array(np.concatenate([held, none]))],
+                    ["word", "context", "good", "held"])
 
     rows = labelled.agg(F.sum((F.col("toxic") > 0).cast("long")), F.count("*")).head()
     bad_rows, good_rows = (rows[0] or 0) + 1, rows[1] - (rows[0] or 0) + 1
-    pairs = labelled.mapInArrow(count, "word long, context long, good long").groupBy("word", "context").agg(F.sum("good").alias("good"))
-    found = pairs.groupBy("word").agg(F.count_if(F.col("context") != 0).alias("bad"), F.sum("good").alias("good"))
+    pairs = labelled.mapInArrow(count, "word long, context long, good long, held long").groupBy("word", "context").agg(F.sum("good").alias("good"), F.sum("held").alias("held"))
+    found = pairs.groupBy("word").agg(F.least(F.count_if(F.col("context") != 0), F.sum("held")).alias("bad"), F.sum("good").alias("good"))
     score = (F.col("bad") / bad_rows) / ((F.col("good") + 0.5) / good_rows)
-    best = found.where(F.col("bad") >= max(least, rate * bad_rows)).where(score >= odds).orderBy(F.desc("bad"), "word").limit(LEXICON).collect()
+    best = found.where(F.col("bad") >= max(least, rate * bad_rows)).where(score >= odds).select("word").collect()
     return np.sort(np.array([r["word"] for r in best], np.int64).view(U))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Dawid and Skene's EM over vote patterns: the posterior of "bad" of each pattern, and P(vote | class) as (labeller, class, vote).
+def posterior(patterns: np.ndarray, prior: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The probability of "bad" given the votes (pattern, labeller) of as many labellers as the patterns have."""
+    score = np.einsum("plv,lcv->pc", np.eye(3)[patterns], np.log(table[: patterns.shape[1]])) + np.log(prior)
+    return 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -500, 500)))
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dawid and Skene's EM over vote patterns: the posterior of "bad" of each pattern, the prior of (good, bad), and P(vote | class) as (labeller, class, vote).
 
     The start is the majority of the votes; human labels count threefold there.
     """
     if not len(patterns):
-        return np.zeros(0), np.zeros((0, 2, 3))
+        return np.zeros(0), np.full(2, 0.5), np.full((patterns.shape[1], 2, 3), 1 / 3)
     weight = np.ones(patterns.shape[1])
     weight[-1] = 3
     lean = ((patterns == BAD) * weight).sum(1) - ((patterns == GOOD) * weight).sum(1)
@@ -137,9 +147,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tupl
         prior = (share.sum(1) + 1) / (counts.sum() + 2)
         table = np.einsum("cp,plv->lcv", share, one) + 0.5
         table /= table.sum(2, keepdims=True)
-        score = np.einsum("plv,lcv->pc", one, np.log(table)) + np.log(prior)
-        bad = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -500, 500)))
-    return bad, table
+        bad = posterior(patterns, prior, table)
+    return bad, prior, table
 
 
 def _features(words: Words, stems: np.ndarray, cast: np.ndarray, i: int) -> np.ndarray:
@@ -178,19 +187,22 @@ def train(rows: DataFrame, toxic: np.ndarray, shards: int = 4, rounds: int = 4)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, labelled: int = LABELLED, trained: int = TRAINED) -> DataFrame:
-    """doc_id, score (the scorer's probability of "bad"), weak_bad (the posterior of the votes), learned (both under
-    threshold) and keep: its label where the document has one, else learned.
+    """doc_id, score (the scorer's probability of "bad"), weak_bad (the posterior of the heuristics' votes) and keep: whether
+    both are under threshold.
 
-    labels: doc_id, quality and toxic (0 or 1); several rows of one document count as bad if one is. Null and empty texts
-    draw no votes and are judged like any other. Without labels the heuristics alone decide. Rows without an id are
-    scored too; repeated ids stay rows.
+    labels: doc_id, quality and toxic (0 or 1). A label says bad if one of its values does, good if both are known and good,
+    else nothing; several rows of one document say bad if one does. Null and empty texts draw no votes and are judged like
+    any other. Without labels the heuristics alone decide. Rows without an id are scored like others and are no part of the
+    fit's training rows; repeated ids are rows of their own, which share a label. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    human = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.when((F.col("toxic") > 0) | (F.col("quality") < 1), BAD).otherwise(GOOD)).alias("human"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    vote_of = F.when((F.col("toxic") > 0) | (F.col("quality") < 1), BAD).when(F.col("toxic").isNotNull() & F.col("quality").isNotNull(), GOOD).otherwise(ABSTAIN)
+    human = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(vote_of).alias("human"), F.max("toxic").alias("toxic"))
     own = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    n_labels = max(1, human.count())
+    known = human.where("toxic IS NOT NULL")
+    n_labels = max(1, known.count())
     part = lambda n, most: F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / n))
-    lexicon = toxic_words(human.where(part(n_labels, labelled)).join(own.where(part(n_labels, labelled)), "doc_id").select("text", "toxic"))
+    lexicon = toxic_words(known.where(part(n_labels, labelled)).join(own.where(part(n_labels, labelled)), "doc_id").select("text", "toxic"))
     sent = spark.sparkContext.broadcast(lexicon)
     id_type = own.schema["doc_id"].dataType.simpleString()
 
@@ -202,26 +214,25 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     cast = own.mapInArrow(vote, f"doc_id {id_type}, heuristic long").join(human.select("doc_id", "human"), "doc_id", "left")
     cast = cut(cast.select("doc_id", (F.col("heuristic") + F.coalesce("human", F.lit(ABSTAIN)) * 3**6).alias("pattern")), "votes")
     seen = cast.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3**7 patterns
+    digits = lambda codes, n: codes[:, None] // 3 ** np.arange(n) % 3
     codes = np.array([r["pattern"] for r in seen], np.int64)
-    bad, _ = estimate(codes[:, None] // 3 ** np.arange(7) % 3, np.array([r["count"] for r in seen], float))
-    posterior = spark.createDataFrame([(int(c), float(b)) for c, b in zip(codes, bad)], "pattern long, weak_bad double")
-    judged = cut(cast.join(F.broadcast(posterior), "pattern").groupBy("doc_id").agg(F.max("weak_bad").alias("weak_bad"), F.max(F.floor(F.col("pattern") / 3**6)).alias("human")), "posteriors")
+    bad, prior, table = estimate(digits(codes, 7), np.array([r["count"] for r in seen], float))
+    goal = spark.createDataFrame([(int(c), float(b)) for c, b in zip(codes, bad)], "pattern long, bad double")
     n = max(1, sum(r["count"] for r in seen))
-    weights = train(judged.where(part(n, trained)).join(own.where(part(n, trained)), "doc_id").select("doc_id", "text", F.col("weak_bad").alias("bad")), lexicon)
-    scorer = spark.sparkContext.broadcast((weights, lexicon))
+    goals = cast.where(part(n, trained)).where("doc_id IS NOT NULL").join(F.broadcast(goal), "pattern").groupBy("doc_id").agg(F.max("bad").alias("bad"))
+    weights = train(goals.join(own.where(part(n, trained)), "doc_id").select("doc_id", "text", "bad"), lexicon)
+    weak = posterior(digits(np.arange(3**6), 6), prior, table)
+    scorer = spark.sparkContext.broadcast((weights, lexicon, weak))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, lexicon = scorer.value
+        weights, lexicon, weak = scorer.value
         for batch, texts in slices(batches, "text"):
             words, stems, cast = _read(texts, lexicon)
             bucket = (stems % U(BUCKETS - 16)).astype(np.int64) + 16
             _, first = np.unique(words.doc * BUCKETS + bucket, return_index=True)  # distinct buckets of each document
             total = np.bincount(words.doc[first], weights[bucket[first]], len(texts)) + weights[0] + ((cast != ABSTAIN) * weights[1:7]).sum(1)
             value = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], ["doc_id", "score"])
+            weak_bad = weak[(cast * 3 ** np.arange(6)).sum(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value), pa.array(weak_bad), pa.array((value < threshold) & (weak_bad < threshold))], ["doc_id", "score", "weak_bad", "keep"])
 
-    scored = own.mapInArrow(score, f"doc_id {id_type}, score double")
-    ready = scored.join(judged, "doc_id", "left").withColumn("weak_bad", F.coalesce("weak_bad", F.lit(0.0)))
-    ready = ready.withColumn("learned", (F.col("score") < threshold) & (F.col("weak_bad") < threshold))
-    keep = F.when(F.col("human") == BAD, False).when(F.col("human") == GOOD, True).otherwise(F.col("learned"))
-    return ready.select("doc_id", "score", "weak_bad", "learned", keep.alias("keep"))
+    return own.mapInArrow(score, f"doc_id {id_type}, score double, weak_bad double, keep boolean")

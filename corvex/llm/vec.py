@@ -11,18 +11,21 @@ IS_WHITE = np.zeros(256, bool)
 IS_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+KEPT_POWERS = 1 << 21
 _powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
+    """Powers of an odd base and of its inverse modulo 2**64; kept up to KEPT_POWERS, computed anew for a longer text."""
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        _powers.clear()
+        made = []
         for base in (_BASE, _INVERSE):
-            out = np.ones(size, U)
-            out[1:] = U(base)
-            _powers.append(np.multiply.accumulate(out))
+            out = np.full(max(1 << 16, 1 << (n - 1).bit_length()) if n <= KEPT_POWERS else n, U(base))
+            out[0] = 1
+            made.append(np.multiply.accumulate(out, out=out))
+        if n > KEPT_POWERS:
+            return made[0], made[1]
+        _powers[:] = made
     return _powers[0][:n], _powers[1][:n]
 
 
