@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from corvex.llm.common import cut, slices, text_of
 from corvex.llm.components import components
-from corvex.llm.vec import U, mix
+from corvex.llm.vec import U, Words, mix
 
-SAMPLE, LEAF, MOST_DEPTH, OWN_BLOCK, VISIT_BLOCK = 20_000, 128, 12, 1024, 8192
+SAMPLES_PER_LEAF, LEAF, MOST_DEPTH, OWN_BLOCK, VISIT_BLOCK, SET_BLOCK = 4, 128, 16, 1024, 8192, 8 << 20
 
 
 def simhash(text: bytes, width: int = 3, seed: int = 42, size: int = 1) -> np.ndarray:
@@ -43,6 +43,11 @@ def simhash(text: bytes, width: int = 3, seed: int = 42, size: int = 1) -> np.nd
     k = min(width, len(words))
     whole, starts = b" ".join(words), (ends - sizes)[: len(words) - k + 1].tolist()
     hashes = np.array([xxhash.xxh64_intdigest(whole[i:j], seed) for i, j in zip(starts, ends[k - 1 :].tolist(), strict=True)], U)
+    return majority(hashes, size)
+
+
+def majority(hashes: np.ndarray, size: int) -> np.ndarray:
+    """64 * size bits, each 1 if it is set in over half of the hashes; 64-bit hashes are mixed on where more bits are asked."""
     bits = np.zeros((size, 64), np.int64)
     for i in range(0, len(hashes), 1 << 14):
         part = hashes[i : i + (1 << 14)]
@@ -52,6 +57,38 @@ def simhash(text: bytes, width: int = 3, seed: int = 42, size: int = 1) -> np.nd
     return np.packbits(bits * 2 > len(hashes), axis=1, bitorder="little").view(U).ravel()
 
 
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's word shingles; of fewer words the whole sequence is the one shingle."""
+    words = Words(texts)
+    h = words.hashes
+    rolled = np.zeros(max(0, len(h) - width + 1), U)
+    for j in range(width):
+        rolled = rolled * U(0x9E3779B97F4A7C15) + h[j : j + len(rolled)]
+    out = []
+    for a, b in zip(words.offsets.tolist(), words.offsets[1:].tolist()):
+        own = rolled[a : b - width + 1]
+        if 0 < b - a < width:
+            own = np.zeros(1, U)
+            for x in h[a:b]:
+                own = own * U(0x9E3779B97F4A7C15) + x
+            own += U(b - a)
+        out.append(np.unique(mix(own)) if b > a else np.zeros(0, U))
+    return out
+
+
+def set_fingerprints(docs: DataFrame, width: int, size: int) -> DataFrame:
+    """doc_id, key (long, a hash of the text's shingle set), fp (binary, of the set) and grams (binary: 32-bit hashes of the set, sorted)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text"):
+            sets = shingle_sets(texts, width)
+            key = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], U).view(np.int64)
+            grams = [np.unique((x >> U(32)).astype(np.uint32)).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array([majority(x, size).tobytes() for x in sets], pa.binary()), pa.array(grams, pa.binary())], ["doc_id", "key", "fp", "grams"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, fp binary, grams binary")
+
+
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, size: int = 1) -> DataFrame:
     """doc_id, key (long) and fp (binary) of docs (doc_id, text); the key is the fingerprint's 64 bits, or a hash of longer ones."""
 
@@ -159,10 +196,11 @@ def link_fingerprints(distinct: DataFrame, distance: int, masks: list[np.ndarray
     """Links (a, b) between keys of distinct fingerprints (columns key, fp), with the components of all pairs that the forest finds."""
     spark = distinct.sparkSession
     n, trees_n = distinct.count(), len(masks)
-    share = int((1 << 30) * min(1.0, SAMPLE / max(1, n)))
-    sampled = distinct.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share).orderBy("key").collect()  # about SAMPLE fingerprints at most
-    sample = np.frombuffer(b"".join(r["fp"] for r in sampled), U).reshape(-1, len(masks[0]))
-    depth = min(MOST_DEPTH, max(0, n // LEAF).bit_length())
+    # no mask tells more than 2**bits points apart; nodes and sample are bounded by MOST_DEPTH, beyond which leaves grow
+    depth = min(MOST_DEPTH, max(0, n // LEAF).bit_length(), min(int(np.bitwise_count(m).sum()) for m in masks))
+    share = int((1 << 30) * min(1.0, (SAMPLES_PER_LEAF << max(12, depth)) / max(1, n)))
+    sampled = distinct.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share).select("key", "fp").toPandas().sort_values("key")
+    sample = np.frombuffer(b"".join(map(bytes, sampled["fp"])), U).reshape(-1, len(masks[0]))
     forest = spark.sparkContext.broadcast([VantageTree(sample, m, depth, seed) for seed, m in enumerate(masks)])  # trees * 2**MOST_DEPTH nodes at most
 
     def visits(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -224,21 +262,81 @@ def link_fingerprints(distinct: DataFrame, distance: int, masks: list[np.ndarray
     return distinct.select("key", "fp").mapInArrow(deal, "cell long, key long, fp binary, own boolean").groupBy("cell").applyInArrow(check, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, seed: int = 42, size: int = 1, trees: int = 0, bits: int = 13) -> DataFrame:
+def _one_class(grams: list[np.ndarray], fp: np.ndarray, distance: int, similarity: float) -> np.ndarray:
+    """The number of the first member of each member's class: classes of sets joined by pairs of the similarity and within the distance."""
+    sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+    _, token = np.unique(np.concatenate(grams), return_inverse=True)
+    start = np.cumsum(sizes) - sizes
+    marked = np.zeros(int(token.max()) + 1 if len(token) else 1, bool)
+    root = np.full(len(grams), -1)
+    for first in range(len(grams)):
+        if root[first] >= 0:
+            continue
+        root[first], queue = first, [first]
+        while queue:
+            m = queue.pop()
+            rest = np.flatnonzero(root < 0)
+            small, large = np.minimum(sizes[rest], sizes[m]), np.maximum(sizes[rest], sizes[m])
+            rest = rest[(np.bitwise_count(fp[rest] ^ fp[m]).sum(1, dtype=np.int64) <= distance) & (small >= similarity * large - 1e-9)]
+            if not len(rest):
+                continue
+            marked[token[start[m] : start[m] + sizes[m]]] = True
+            at = np.repeat(start[rest] - (np.cumsum(sizes[rest]) - sizes[rest]), sizes[rest]) + np.arange(sizes[rest].sum())
+            both = np.add.reduceat(marked[token[at]].astype(np.int64), np.cumsum(sizes[rest]) - sizes[rest])
+            marked[token[start[m] : start[m] + sizes[m]]] = False
+            met = rest[both >= similarity * (sizes[rest] + sizes[m] - both) - 1e-9]
+            root[met] = first
+            queue += met.tolist()
+    return root
+
+
+def verified_links(sets: DataFrame, distinct: DataFrame, groups: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Links (a, b) between keys of one group whose shingle sets have the Jaccard similarity, reduced to stars.
+
+    sets: doc_id, key, fp, grams; distinct: key, first (a doc_id that has it); groups: id (a key), root. A group's sets are dealt into blocks of about SET_BLOCK bytes, and
+    every two blocks meet in one task; within it a set found similar to one member is not compared with the others.
+    """
+    members = groups.select(F.col("id").alias("key"), "root").unionByName(groups.select(F.col("root").alias("key"), "root").distinct())
+    members = members.join(distinct.select("key", "first"), "key").withColumnRenamed("key", "__key")
+    held = sets.join(members, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("first")))  # by id too: copies spread
+    held = cut(held.select("root", "key", "fp", "grams").dropDuplicates(["key"]), "sets")
+    blocks = held.groupBy("root").agg(F.ceil(F.sum(F.length("grams") + 200) / SET_BLOCK).alias("blocks"))
+    mine = held.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "fp", "grams")
+
+    def settle(table: pa.Table) -> pa.Table:
+        key = table.column("key").to_numpy()
+        order = np.argsort(key)
+        grams = [np.frombuffer(x, np.uint32) for x in table.column("grams").take(pa.array(order)).to_pylist()]
+        root = _one_class(grams, _words(table.column("fp").combine_chunks())[order], distance, similarity)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": key[order][moved], "b": key[order][root[moved]]})
+
+    return cells.groupBy("root", "i", "j").applyInArrow(settle, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, seed: int = 42, size: int = 1, trees: int = 0, bits: int = 13, similarity: float = 0.0) -> DataFrame:
     """doc_id, key (long), fp (binary) and component_id, the smallest id among the documents that links reach (itself included).
 
     Fingerprints of 64 * size bits link within `distance` bits. With trees = 0 (64 bits only) every such link is found;
     otherwise `trees` trees over `bits` random bits each find a pair that differs in a share q of the bits with a
-    probability of at least 1 - (1 - (1 - q)**bits)**trees. A null text has no words, so fingerprint 0, which links like
+    probability of at least 1 - (1 - (1 - q)**bits)**trees. With a similarity, fingerprints are those of the texts' sets of
+    shingles, documents with equal sets are of one component, and other links need two sets of that Jaccard similarity (of
+    32-bit hashes of the shingles) beside fingerprints within the distance; two sets at 0.8 differ in a share of 0.15 of the
+    bits on average, so 60 of 256 bits, 40 trees and 13 bits find at least 0.99 of such links. A null text has no words, so fingerprint 0, which links like
     any other. Rows without an id take part, and name a component only where no member has an id (then null). Repeated ids
     stay rows; an empty table gives an empty table.
     """
     if not trees and size != 1:
         raise ValueError("longer fingerprints need trees")
     masks, reach = (scattered(trees, bits, size), 0) if trees else (halves(), distance // 2)
-    own = cut(fingerprints(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), width, seed, size), "fingerprints")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    own = cut(set_fingerprints(texts, width, size) if similarity else fingerprints(texts, width, seed, size), "fingerprints")
     distinct = cut(own.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first")), "distinct")
     roots = components(link_fingerprints(distinct, distance, masks, reach))
+    if similarity:
+        roots = components(verified_links(own, distinct, roots, distance, similarity))
     rooted = distinct.select("key", "first").join(roots.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     parts_n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
