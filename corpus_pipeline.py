@@ -17,9 +17,10 @@ from corvex.llm.line_dedup import dedup_lines
 from corvex.llm.quality import classify
 from corvex.llm.simhash import near_duplicates
 
-#: The near-dedup stage: five-word shingles, and fingerprints that agree in at least 0.8 of their 256 bits. A pair at that
-#: very limit is found by one of the trees with a probability of at least 0.89, one that agrees in 0.85 with 0.99.
-NEAR = {"width": 5, "size": 4, "distance": 51, "trees": 40, "bits": 13}
+#: The near-dedup stage: a Jaccard similarity of 0.8 or more of the sets of five-word shingles. Fingerprints of 256 bits and 40
+#: trees bring candidates together: at that similarity two differ in 39 bits on average, in over 60 hardly ever, and one of
+#: the trees holds both with a probability of at least 0.99.
+NEAR = {"width": 5, "size": 4, "distance": 60, "trees": 40, "bits": 13, "similarity": 0.8}
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
