@@ -3,7 +3,7 @@
 Pass 1 puts the hashes of every line key of a document into a local pair of filters, and the pairs merge by segment:
 what two tasks both saw once was seen twice. Pass 2 probes the merged "twice" filter; only suspects leave the map side,
 as a 128-bit digest of the whole key and the doc_id, and a group-by confirms them exactly and finds the first document.
-A false positive of the filter therefore costs a shuffled row and nothing else. The filter has at most MAX_BITS bits
+Only documents that hold a suspect are joined with what they lose; the others pass without a shuffle. A false positive of the filter therefore costs a shuffled row and nothing else. The filter has at most MAX_BITS bits
 (32 MB), so the broadcast has a fixed bound; past that size more lines are suspects and results stay the same.
 """
 
@@ -109,18 +109,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     twice = spark.sparkContext.broadcast(twice_filter(keyed, words, min_chars))
     id_type = keyed.schema["doc_id"].dataType
 
+    def suspected(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """Keys of the texts' lines that the filter suspects, each once a text, and the numbers of their texts."""
+        seen, keys, rows = twice.value, [], []
+        for i, t in enumerate(texts):
+            own = {k for k in line_keys(t, min_chars) if k}
+            keys += own
+            rows += [i] * len(own)
+        at, mask = _place(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], U), words)
+        hit = np.flatnonzero((seen[at] & mask) == mask)
+        return [keys[i] for i in hit], np.array(rows, np.int64)[hit]
+
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = twice.value
         for batch, texts in slices(batches, "text"):
-            keys, rows = [], []
-            for i, t in enumerate(texts):
-                own = {k for k in line_keys(t, min_chars) if k}
-                keys += own
-                rows += [i] * len(own)
-            at, mask = _place(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], U), words)
-            hit = np.flatnonzero((seen[at] & mask) == mask)
-            digests = [hashlib.blake2b(keys[i], digest_size=16).digest() for i in hit]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0).take(pa.array(np.array(rows, np.int64)[hit]))], ["digest", "doc_id"])
+            keys, rows = suspected(texts)
+            digests = [hashlib.blake2b(k, digest_size=16).digest() for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0).take(pa.array(rows))], ["digest", "doc_id"])
 
     found = cut(keyed.mapInArrow(suspects, T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("doc_id", id_type)])), "suspects")
     firsts = cut(found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"), "repeats")
@@ -149,5 +153,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_dropped.append(len(lines) - len(stay))
             yield with_columns(batch, arrow, **{text_col: kept, "n_lines": n_lines, "n_dropped": n_dropped})
 
-    joined = docs.select(*kept_columns).withColumn(text_col, text_of(text_col)).join(drops, F.col(id_col) == F.col("__drop_id"), "left").drop("__drop_id")
-    return joined.mapInArrow(apply, out)
+    def part(suspect: bool):
+        """Rows that hold a suspect, or the others, which lose nothing."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in slices(batches, text_col):
+                has = np.zeros(len(texts), bool)
+                has[suspected(texts)[1]] = True
+                has &= batch.column(batch.schema.get_field_index(id_col)).is_valid().to_numpy(zero_copy_only=False)
+                rows = batch.filter(pa.array(has if suspect else ~has))
+                yield rows if suspect else with_columns(rows, arrow, n_lines=[t.count(b"\n") + 1 for t, x in zip(texts, has) if not x], n_dropped=np.zeros(rows.num_rows, np.int64))
+
+        return run
+
+    ready = docs.select(*kept_columns).withColumn(text_col, text_of(text_col))
+    touched = ready.mapInArrow(part(True), ready.schema).join(drops, F.col(id_col) == F.col("__drop_id"), "left").drop("__drop_id")
+    return touched.mapInArrow(apply, out).unionByName(ready.mapInArrow(part(False), out))
