@@ -418,16 +418,46 @@ def test_op8_base_and_perplexity(spark):
 
 
 def test_op8_probabilities_sum_to_one(spark):
-    """Over all known words and the unknown one, after a fixed context."""
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a", "c c a b", "a", "b b"])], SCHEMA)
-    vocab = sorted({w for i, t in enumerate(["a b a c", "b a", "c c a b", "a", "b b"]) if pitman_yor.learns(i) for w in t.split()})
-    probe = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a", "c c a b", "a", "b b"])] + [(None, w) for w in ["", *vocab, "zz"]], SCHEMA)
-    base = {r.doc_id: r for r in pitman_yor.score_documents(frame).collect()}
-    rows = [r for r in pitman_yor.score_documents(probe).collect() if r.doc_id is None]
-    one = [10 ** r.score for r in rows if r.n_tokens == 1]
-    assert len(base) == 5 and len(one) == 1
-    # P(word | start) * P(end | word) summed over words and all continuations is below one, and P(end | start) is the rest
-    assert 0 < one[0] + sum(10 ** r.score for r in rows if r.n_tokens == 2) < 1
+    """Over all known words and the unknown one, after every context; and the query's scores are those probabilities."""
+    texts = ["a b a c", "b a", "c c a b", "a", "b b", "a b c a b c a b"]
+    frame = spark.createDataFrame([*enumerate(texts)], SCHEMA)
+    built = packs.build_packs(frame)
+    counts, world = pitman_yor.fit(built, 8)
+    contexts, mass, p = np.arange(pitman_yor.CONTEXTS), np.zeros(pitman_yor.CONTEXTS), {}
+    kept = world["totals"][pitman_yor.BURN_IN:]
+    seen = collections.Counter()
+    for r in counts.collect():
+        seating = pitman_yor.Seating(r.shard, r.blob, world | {"totals": world["totals"][:-1]})
+        parents = [pitman_yor.parent_probability(c, a, total, world) for (_, c, a), total in zip(seating.kept[pitman_yor.BURN_IN:], kept)]
+        for i, w in enumerate(seating.words.tolist()):
+            n, tables = np.zeros(len(contexts)), [np.zeros(len(contexts)) for _ in kept]
+            mine = np.flatnonzero(seating.of_word == i)
+            n[seating.pair_context[mine]] = seating.pair_n[mine]
+            seen[w] += int(n.sum())
+            for k, (t, _, _) in enumerate(seating.kept[pitman_yor.BURN_IN:]):
+                tables[k][seating.pair_context[mine]] = t[mine]
+            p[w] = pitman_yor.predictive(world, contexts, n, tables, [np.full(len(contexts), x[i]) for x in parents])
+            mass += p[w]
+    none = [np.full(len(contexts), pitman_yor.parent_probability(0.0, 0.0, total, world)) for total in kept]
+    unknown = pitman_yor.predictive(world, contexts, np.zeros(len(contexts)), [np.zeros(len(contexts))] * len(kept), none)
+    assert np.allclose(mass + unknown, 1)
+    learned = [i for i in range(len(texts)) if pitman_yor.learns(i)]
+    assert sum(seen.values()) == sum(len(words(texts[i])) + 1 for i in learned) == world["N"]
+    for r in pitman_yor.score_documents(spark.createDataFrame([*enumerate(texts), (None, "zz a"), (None, "")], SCHEMA)).collect():
+        text = texts[r.doc_id] if r.doc_id is not None else "zz a" if r.n_tokens == 3 else ""
+        _, word, context = pitman_yor.tokens([text.encode()])
+        want = sum(math.log10(p[w][c] if w in p else unknown[c]) for w, c in zip(word.tolist(), context.tolist()))
+        assert abs(r.score - want) < 0.25 and abs(r.perplexity - 10 ** (-r.score / r.n_tokens)) < 1e-9  # seats are drawn anew where shards differ
+
+
+def test_op8_learns_which_word_follows(spark):
+    """Words that end alike but are followed by different ones: a context tells them apart."""
+    rng = random.Random(5)
+    texts = [" ".join(x for _ in range(40) for x in rng.choice([("the", "cat"), ("we", "run"), ("he", "sits"), ("are", "gone")])) for _ in range(60)]
+    probe = dict(zip((i for i in range(1000, 2000) if not pitman_yor.learns(i)), ["the cat", "we cat", "are gone", "he gone"]))
+    rows = pitman_yor.score_documents(spark.createDataFrame([*enumerate(texts), *probe.items()], SCHEMA)).where("doc_id >= 1000").collect()
+    score = {probe[r.doc_id]: r.score for r in rows}
+    assert score["the cat"] > score["we cat"] + 0.5 and score["are gone"] > score["he gone"] + 0.5
 
 
 def test_op8_seating():
