@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvex.llm.common import give_back, sized, text_of, with_columns
+from corvex.llm.unicode_classes import LETTER, NUMBER, class_table, ranges_of
 
 # Unicode white space; the published pre-tokenizer pattern of byte-level BPE.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -93,7 +94,17 @@ class ByteBpe:
         for t in self.ids:
             for a, b in zip(t, t[1:]):
                 self.joined[a, b] = True
-        self.pattern = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+        plain = PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+        self.pattern = regex.compile(plain)
+        # the library's letters and numbers are not those of the regex module: texts with a code point that differs take the exact pattern
+        letters, numbers = ranges_of(LETTER), ranges_of(NUMBER)
+        self.exact = regex.compile(plain.replace(r"\s\p{L}\p{N}]", rf"\s{letters}{numbers}]").replace(r"\p{L}\p{N}]", f"{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]"))
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        self.differs = np.zeros(0x110000, bool)
+        for kind, own in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+            theirs = np.zeros(0x110000, bool)
+            theirs[np.frombuffer("".join(regex.findall(own, every)).encode("utf-32-le"), np.uint32)] = True
+            self.differs |= theirs != (class_table() == kind)
         self.at_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         # ranks of merges by pair of ids, in a table with open addressing; the id of the merged token by rank
         self.pairs = np.array([self.ids[a] * len(self.bytes_of) + self.ids[b] for a, b in self.ranks], np.uint64)
@@ -111,6 +122,10 @@ class ByteBpe:
     def _place(self, pair: np.ndarray) -> np.ndarray:
         return (pair * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
+    def pre_tokens(self, text: str) -> list[str]:
+        rare = not text.isascii() and self.differs[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
+        return (self.exact if rare else self.pattern).findall(text)
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of ids; NEVER where they do not merge or one is no token (-1)."""
         pair = (left.astype(np.int64) * len(self.bytes_of) + right).astype(np.uint64)
@@ -214,7 +229,7 @@ class ByteBpe:
         used = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, bounds[-1])
         words = [i for i, s in enumerate(number) if type(s) is str]
         own = [s if s[:1] == "\n" else " " + s for s in number if type(s) is str]
-        pieces = self.pattern.findall("".join(own))
+        pieces = self.pre_tokens("".join(own))
         ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
         begins = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         holder = [np.array(words, np.int64)[np.searchsorted(ends, begins, "left")]]
@@ -224,7 +239,7 @@ class ByteBpe:
                 if isinstance(s[0], int):
                     tokens.append((i, s[0]))
                 else:
-                    found = self.pattern.findall(s[0])
+                    found = self.pre_tokens(s[0])
                     pieces += found
                     holder.append(np.full(len(found), i))
         ids, sizes = self.encode_pieces(pieces)

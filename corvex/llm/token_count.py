@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from corvex.llm import unicode_classes
 from corvex.llm.bpe import SPACE, byte_alphabet, merge_bytes
-from corvex.llm.common import text_of, with_columns
+from corvex.llm.common import give_back, sized, text_of, with_columns
 
 CHUNK, CACHE = 64, 400_000
 S, N, L, STMD, RV, LL, E, QUOTE, OTHER = range(9)  # character classes
@@ -49,8 +50,7 @@ def piece_transducer() -> tuple[np.ndarray, np.ndarray]:
 
 
 def class_table() -> np.ndarray:
-    kinds = {"L": L, "N": N}
-    table = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
+    table = np.array([OTHER, L, N], np.uint8)[unicode_classes.class_table()]
     for found in regex.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))):
         table[ord(found)] = S
     for chars, kind in (("stmd", STMD), ("rv", RV), ("l", LL), ("e", E), ("'", QUOTE)):
@@ -185,9 +185,7 @@ class Counter:
         """Token counts of several texts without special tokens; a space between two texts keeps their pieces apart."""
         ready = []
         for t in texts:
-            if not t.isascii():
-                t = unicodedata.normalize("NFC", t).replace("Σ", "σ")
-            ready.append(t.lower())
+            ready.append(t.lower() if t.isascii() else unicode_classes.lower(unicodedata.normalize("NFC", t)))
         whole = " ".join(ready)
         begins, stops = self.starts(whole)
         after = np.append(stops, len(whole))
@@ -221,7 +219,8 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit), which replace columns of these names.
 
     Counts equal the library's for the vocabulary at path, without added special tokens; special strings inside a text
-    count as one token. A null or empty text has no bytes and no tokens.
+    count as one token. A null or empty text has no bytes and no tokens. Repeated rows and null ids stay rows; an empty table
+    gives an empty table.
     """
     added = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType()}
     ready = docs.withColumn(text_col, text_of(text_col))
@@ -231,11 +230,11 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
+            for part in sized(batch, text_col):
                 column = part.column(part.schema.get_field_index(text_col))
                 texts = column.to_pylist()
                 n = counter.count(texts)
                 yield with_columns(part, arrow, n_bytes=[len(t.encode()) for t in texts], n_tokens=n, over_limit=[x > limit for x in n])
+        give_back()
 
     return ready.mapInArrow(run, out)

@@ -157,6 +157,23 @@ def test_op3_odd(spark, odd):
     assert by[3, 0] == by[4, 0] == 1 and by[7, 30000 + 1] + by[7, 30000] == 1 and sum(r.doc_id == 5 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
 
 
+def test_op3_op5_all_code_points():
+    """Every code point, assigned or not, beside a letter, a digit, a sign and a space, against the libraries."""
+    from tokenizers import Tokenizer
+
+    own, counter = bpe.load(BYTE), token_count.load(WORD)
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{x}1{x}!{x} {x}" for x in map(chr, points[i : i + 64])) for i in range(0, len(points), 64)]
+    rng = random.Random(6)
+    texts += ["".join(chr(rng.choice(points)) + rng.choice(["", "a", "1", "'s", " ", "\u0301"]) for _ in range(30)) for _ in range(1500)]
+    for i in range(0, len(texts), 2000):
+        part = texts[i : i + 2000]
+        assert [x.tolist() for x in own.encode_all(part)] == [e.ids for e in byte.encode_batch(part, add_special_tokens=False)]
+        want = [len(e.ids) for e in word.encode_batch(part, add_special_tokens=False)]
+        assert [t for t, a, b in zip(part, counter.count(part), want) if a != b] == []
+
+
 def test_op5_equals_library(spark, odd):
     from tokenizers import Tokenizer
 
