@@ -87,50 +87,49 @@ def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int = 24, tables: int =
     return ranked(both.select("query_id", "vec_id", F.round(dot / (norm(F.col("a")) * norm(F.col("b"))), 6).alias("score")), "query_id", "score", "vec_id", k)
 
 
-def postings(chunks: DataFrame, text_col: str = "content", asked: DataFrame | None = None) -> DataFrame:
-    """chunk_id, term and its positions: the inverted index of lower-cased words without signs.
-
-    With `asked` (questions with terms), only of their terms: a semi-join before the shuffle, so the rest never moves.
-    """
+def postings(chunks: DataFrame, text_col: str = "content") -> DataFrame:
+    """chunk_id, term and its positions: the inverted index of lower-cased words without signs."""
     word = F.lower(T.strip_signs(F.col("word")))
     each = chunks.select("chunk_id", F.posexplode(T.words(F.col(text_col))).alias("at", "word")).select("chunk_id", word.alias("term"), "at").where(F.char_length("term") > 2)
-    if asked is not None:
-        each = each.join(asked.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
     return each.groupBy("chunk_id", "term").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
 
-def lexical_top_k(questions: DataFrame, index: DataFrame, k: int = 24) -> DataFrame:
-    """query_id, chunk_id, score and rank: chunks that hold every term of a question (question_id, terms), by summed term frequency.
+def matches(questions: DataFrame, chunks: DataFrame, text_col: str = "content") -> DataFrame:
+    """query_id, chunk_id and lists, the positions of each term, for chunks that hold all terms of a question.
 
-    Terms meet postings in an equi-join; a chunk with all terms has as many joined rows as the question has terms.
+    A question meets the chunks of its rarest term alone and the other terms are looked up in the chunk's own row, so
+    frequent terms neither shuffle nor multiply rows. Questions without terms match nothing.
     """
-    asked = questions.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    hits = asked.join(index, "term").groupBy("query_id", "chunk_id", "n_terms").agg(F.count("*").alias("n"), F.sum(F.size("positions")).alias("tf"))
-    return ranked(hits.where("n = n_terms").select("query_id", "chunk_id", F.col("tf").cast("double").alias("score")), "query_id", "score", "chunk_id", k)
-
-
-def cover_density(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """query_id, chunk_id and score: cover density rank (Clarke, Cormack and Tudhope), the sum of 1 / length over the shortest spans that hold all terms."""
-    asked = questions.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    grouped = asked.join(index, "term").groupBy("query_id", "chunk_id", "n_terms").agg(F.collect_list("positions").alias("lists")).where(F.size("lists") == F.col("n_terms"))
-
-    def density(lists) -> float:
-        events = sorted((p, i) for i, ps in enumerate(lists) for p in ps)
-        last, out, start = {}, 0.0, -1
-        for p, i in events:
-            last[i] = p
-            if len(last) == len(lists):
-                low = min(last.values())
-                if low > start:
-                    out += 1.0 / (p - low + 1)
-                    start = low
-        return out
-
-    @F.pandas_udf("double")
-    def score(lists: pd.Series) -> pd.Series:
-        return lists.map(density)
-
-    return grouped.select("query_id", "chunk_id", F.round(score("lists"), 6).alias("score"))
+    words = F.transform(T.words(F.col(text_col)), lambda w: F.lower(T.strip_signs(w)))
+    each = chunks.select("chunk_id", words.alias("words")).select("chunk_id", "words", F.explode(F.array_distinct("words")).alias("term"))
+    asked = questions.select("query_id", F.array_distinct("terms").alias("terms"))
+    single = asked.select("query_id", "terms", F.explode("terms").alias("term"))
+    held = each.select("term").join(single.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("held"))
+    rarest = single.join(held, "term", "left").groupBy("query_id").agg(F.min_by(F.struct("term", "terms"), F.struct(F.coalesce("held", F.lit(0)), "term")).alias("least")).select("query_id", "least.*")
+    at = lambda t: F.filter(F.transform("words", lambda w, i: F.when(w == t, i)), lambda i: i.isNotNull())
+    return each.join(rarest, "term").where(F.size(F.array_except("terms", "words")) == 0).select("query_id", "chunk_id", F.transform("terms", at).alias("lists"))
+
+
+def lexical_top_k(found: DataFrame, k: int = 24) -> DataFrame:
+    """query_id, chunk_id, score and rank of the matches, by summed term frequency."""
+    score = F.aggregate("lists", F.lit(0.0), lambda s, x: s + F.size(x))
+    return ranked(found.select("query_id", "chunk_id", score.alias("score")), "query_id", "score", "chunk_id", k)
+
+
+def cover_density(found: DataFrame) -> DataFrame:
+    """query_id, chunk_id and score of the matches: cover density rank (Clarke, Cormack and Tudhope), the sum of 1 / length over the shortest spans that hold all terms."""
+
+    place = F.transform("lists", lambda ps, i: F.transform(ps, lambda p: F.struct(p.alias("p"), i.alias("i"))))
+    start = F.struct(F.transform("lists", lambda _: F.lit(-1)).alias("last"), F.lit(-1).alias("low"), F.lit(0.0).alias("sum"))
+
+    def step(state, event):
+        last = F.transform(state["last"], lambda p, i: F.when(i == event["i"], event["p"]).otherwise(p))
+        low = F.array_min(last)
+        new = low > state["low"]  # all terms were met, and the span starts behind the one before
+        return F.struct(last.alias("last"), F.greatest(low, state["low"]).alias("low"), (state["sum"] + F.when(new, 1.0 / (event["p"] - low + 1)).otherwise(0.0)).alias("sum"))
+
+    density = F.aggregate(F.array_sort(F.flatten(place)), start, step, lambda state: state["sum"])
+    return found.select("query_id", "chunk_id", F.round(density, 6).alias("score"))
 
 
 def websearch_match(question: str):

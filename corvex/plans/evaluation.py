@@ -159,12 +159,12 @@ def first_labels(spark, sf):
 
 
 _SUSPECT = f"""CASE WHEN t = '' OR t = 'Abstract' THEN false WHEN t = 'Transactions' THEN true WHEN regexp_matches(t, '^(?:[IVXLCM]+\\.|\\d+\\.)') OR regexp_matches(t, '^[A-Z]\\.\\s+') OR regexp_matches(t, '^(?:Table|TABLE|Fig\\.|Figure|Algorithm)\\b') THEN false
-  WHEN regexp_matches(t, '^\\[[0-9]+\\]\\s+') THEN true WHEN len(w) <= 3 AND t = upper(t) AND NOT contains(t, ' ') THEN true WHEN len(w) <= 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^\\p{{Lu}}'))) = 0 THEN true WHEN t LIKE 'SUMMARY OF%' OR (contains(t, 'OF') AND t = upper(t)) THEN true ELSE false END"""
+  WHEN regexp_matches(t, '^\\[[0-9]+\\]\\s+') THEN true WHEN len(w) <= 3 AND t = upper(replace(t, 'ß', 'SS')) AND NOT contains(t, ' ') THEN true WHEN len(w) <= 3 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^\\p{{Lu}}'))) = 0 THEN true WHEN t LIKE 'SUMMARY OF%' OR (contains(t, 'OF') AND t = upper(replace(t, 'ß', 'SS'))) THEN true ELSE false END"""
 
 
-@query("e21_suspicious_headings", f"WITH {LINES_SQL}, h AS (SELECT document_id, order_index, replace(content, 'ß', 'ss') AS t, list_filter(string_split_regex(replace(content, 'ß', 'ss'), '{_WS}+'), lambda x: x <> '') AS w FROM lines) SELECT document_id, order_index, {_SUSPECT} AS suspicious FROM h")
+@query("e21_suspicious_headings", f"WITH {LINES_SQL}, h AS (SELECT document_id, order_index, content AS t, list_filter(string_split_regex(content, '{_WS}+'), lambda x: x <> '') AS w FROM lines) SELECT document_id, order_index, {_SUSPECT} AS suspicious FROM h")
 def suspicious_headings(spark, sf):
-    return lines(spark, sf).select("document_id", "order_index", V.suspicious_heading(F.replace("content", F.lit("ß"), F.lit("ss"))).alias("suspicious"))
+    return lines(spark, sf).select("document_id", "order_index", V.suspicious_heading(F.col("content")).alias("suspicious"))
 
 
 @query("e06_representation_audit", f"WITH {CHUNKS_SQL}, a AS (SELECT document_id, count(*) AS blocks, count(*) FILTER (content_kind = 'equation') AS equations, count(*) FILTER (content_kind = 'table_row') AS table_rows, count(*) FILTER (page_number = 1 AND contains(lower(content), 'university')) AS leaks FROM chunks GROUP BY document_id) SELECT document_id, blocks, equations, table_rows, concat_ws(',', CASE WHEN leaks > 0 THEN 'front_matter_leakage:' || leaks END, CASE WHEN equations > 0 THEN 'equations_without_explanations' END, CASE WHEN table_rows = 0 THEN 'table_coverage_weak' END) AS warnings FROM a")

@@ -90,7 +90,7 @@ def plan_defaults(spark, sf):
 
 @query("i32_table_data")
 def table_data(spark, sf):
-    data = F.when(F.col("order_index") % 3 == 0, F.to_json(F.array(F.struct(F.col("order_index").alias("k"), F.left("content", F.lit(20)).alias("v"))))).when(F.col("order_index") % 3 == 1, F.to_json(F.struct(F.array(F.lit("a"), F.lit("b")).alias("headers"), F.array(F.array(F.left("content", F.lit(9)))).alias("rows")))).otherwise("[[1, 2], [3, 4]]")
+    data = F.when(F.col("order_index") % 3 == 0, F.to_json(F.array(F.struct(F.col("order_index").alias("k"), F.col("content").alias("v"))))).when(F.col("order_index") % 3 == 1, F.to_json(F.struct(F.array(F.lit("a"), F.lit("b")).alias("headers"), F.array(F.array("content")).alias("rows")))).otherwise("[[1, 2], [3, 4]]")
     return lines(spark, sf).select("document_id", "order_index", Y.table_data(data).alias("t")).select("document_id", "order_index", F.array_join("t.headers", ",").alias("headers"), "t.n_rows", F.array_join("t.first_row", ",").alias("first_row"))
 
 

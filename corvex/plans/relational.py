@@ -197,13 +197,14 @@ def siblings(spark, sf):
     return siblings_of(nodes.where("block_order = 0"), nodes).select("seed", "sibling")
 
 
-@query("c10_ancestors", f"WITH RECURSIVE {CHUNKS_SQL}, edges AS (SELECT chunk_id AS id, node_id + 10000000000 AS parent FROM chunks UNION SELECT node_id + 10000000000, parent_node_id + 20000000000 FROM chunks), walk AS (SELECT id AS seed, id, 0 AS depth FROM edges WHERE id < 10000000000 UNION ALL SELECT seed, parent, depth + 1 FROM walk JOIN edges USING (id) WHERE depth < 2) SELECT DISTINCT seed, id AS ancestor, depth FROM walk WHERE depth > 0")
+@query("c10_ancestors", f"WITH RECURSIVE {CHUNKS_SQL}, edges AS (SELECT 'chunk ' || chunk_id AS id, 'node ' || node_id AS parent FROM chunks UNION SELECT 'node ' || node_id, 'document ' || parent_node_id FROM chunks), walk AS (SELECT id AS seed, id, 0 AS depth FROM edges WHERE id LIKE 'chunk %' UNION ALL SELECT seed, parent, depth + 1 FROM walk JOIN edges USING (id) WHERE depth < 2) SELECT DISTINCT seed, id AS ancestor, depth FROM walk WHERE depth > 0")
 def ancestors(spark, sf):
     from corvex.operators.graph import ancestors_of
 
     c = chunks(spark, sf)
-    edges = c.select(F.col("chunk_id").alias("id"), (F.col("node_id") + 10000000000).alias("parent")).union(c.select(F.col("node_id") + 10000000000, F.col("parent_node_id") + 20000000000)).distinct()
-    return ancestors_of(edges.where("id < 10000000000").select("id"), edges, 2)
+    named = lambda kind, column: F.concat(F.lit(f"{kind} "), column)
+    edges = c.select(named("chunk", "chunk_id").alias("id"), named("node", "node_id").alias("parent")).union(c.select(named("node", "node_id"), named("document", "parent_node_id"))).distinct()
+    return ancestors_of(edges.where("id LIKE 'chunk %'").select("id"), edges, 2)
 
 
 @query("c11_parent_context", f"WITH {CHUNKS_SQL}, parents AS (SELECT node_id, arg_max(content, chunk_index) AS parent_content, arg_max(section_title, chunk_index) AS parent_section FROM chunks WHERE content_kind = 'paragraph' GROUP BY node_id) SELECT chunk_id, coalesce(parent_content, content) AS context FROM chunks LEFT JOIN parents USING (node_id)")

@@ -40,13 +40,12 @@ _WS = T.WS
 
 
 def questions(spark, sf):
-    """Each benchmark item's first six words; its terms are those of its first three."""
-    b = table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.words(F.col("text")), 1, 6), " ").alias("question"), T.terms(F.array_join(F.slice(T.words(F.col("text")), 1, 3), " ")).alias("terms"))
+    """Each benchmark item as a question, whole, with its terms."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(T.words(F.col("text")), " ").alias("question"), T.terms(F.col("text")).alias("terms"))
 
 
-QUESTIONS_SQL = f"""questions AS (SELECT item_id AS query_id, list_aggregate((list_filter(string_split_regex(text, '{_WS}+'), lambda w: w <> ''))[1:6], 'string_agg', ' ') AS question,
-  list_filter(list_transform((list_filter(string_split_regex(text, '{_WS}+'), lambda w: w <> ''))[1:3], lambda w: lower(trim(w, '.,!?;:-_()[]{{}}''"'))), lambda w: length(w) > 2) AS terms FROM benchmark)"""
+QUESTIONS_SQL = f"""questions AS (SELECT item_id AS query_id, list_aggregate((list_filter(string_split_regex(text, '{_WS}+'), lambda w: w <> '')), 'string_agg', ' ') AS question,
+  list_filter(list_transform((list_filter(string_split_regex(text, '{_WS}+'), lambda w: w <> '')), lambda w: lower(trim(w, '.,!?;:-_()[]{{}}''"'))), lambda w: length(w) > 2) AS terms FROM benchmark)"""
 _POST = f"""post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(list_transform(list_filter(string_split_regex(content, '{_WS}+'), lambda w: w <> ''), lambda w: lower(trim(w, '.,!?;:-_()[]{{}}''"')))) AS term FROM chunks) WHERE length(term) > 2 GROUP BY ALL)"""
 
 
@@ -68,12 +67,12 @@ LEXICAL_SQL = _POST + f""", {QUESTIONS_SQL}, asked AS (SELECT query_id, len(list
 
 @query("d06_lexical_rank", f"WITH {CHUNKS_SQL}, {LEXICAL_SQL} SELECT * FROM lex")
 def lexical_rank(spark, sf):
-    return S.lexical_top_k(questions(spark, sf), S.postings(chunks(spark, sf), asked=questions(spark, sf)))
+    return S.lexical_top_k(S.matches(questions(spark, sf), chunks(spark, sf)))
 
 
 @query("d06_cover_density")
 def cover_density(spark, sf):
-    return S.cover_density(questions(spark, sf), S.postings(chunks(spark, sf), asked=questions(spark, sf)))
+    return S.cover_density(S.matches(questions(spark, sf), chunks(spark, sf)))
 
 
 def _first_chunks(spark, sf):
@@ -94,7 +93,7 @@ def fused(spark, sf):
     e = table(spark, sf, "embeddings")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
     near = S.vector_top_k(asked, e.join(firsts.select("vec_id"), "vec_id", "left_semi")).join(firsts, "vec_id").select("query_id", "chunk_id", "rank")
-    return S.fuse(near, S.lexical_top_k(questions(spark, sf), S.postings(chunks(spark, sf), asked=questions(spark, sf))))
+    return S.fuse(near, S.lexical_top_k(S.matches(questions(spark, sf), chunks(spark, sf))))
 
 
 @query("d07_rank_fusion", f"WITH {CHUNKS_SQL}, {FUSED_SQL} SELECT query_id, chunk_id, vector_rank::INT AS vector_rank, fts_rank, fused, rank FROM ranked")

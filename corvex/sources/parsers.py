@@ -28,6 +28,15 @@ def tidy(text: str) -> str:
     return " ".join(text.split())
 
 
+def row_text(headers: list[str], row: list[str]) -> str:
+    """As functions.text.format_row: cells under their headers; of one cell fewer the first comes before the shifted pairs and in them again."""
+    if len(headers) == len(row):
+        return " | ".join(f"{h}: {c}" for h, c in zip(headers, row))
+    if len(headers) > 1 and len(row) == len(headers) - 1:
+        return " | ".join([f"{headers[0]}: {row[0]}", *(f"{h}: {c}" for h, c in zip(headers[1:], row))])
+    return " | ".join(row)
+
+
 class Blocks:
     """Collects blocks under the open headings."""
 
@@ -84,8 +93,7 @@ class Blocks:
         if caption:
             self.add("table_caption", caption, content_kind="table_caption", table_status="row_backed" if body else "caption_only", **extra)
         for i, r in enumerate(body):
-            cells = [f"{h}: {c}" for h, c in zip(headers, r)] if len(headers) == len(r) else r
-            self.add("table_row", " | ".join(cells), content_kind="table_row", row_index=i, table_headers=" | ".join(headers), **extra)
+            self.add("table_row", row_text(headers, r), content_kind="table_row", row_index=i, table_headers=" | ".join(headers), **extra)
 
 
 class _Html(HTMLParser):
@@ -98,14 +106,18 @@ class _Html(HTMLParser):
         self.heading = 0
         self.rows: list[list[str]] | None = None
         self.caption, self.headed, self.cell = "", False, False
+        self.outer: list[tuple] = []  # open tables around this one: rows, caption, headed, the text of the cell so far
 
     @property
     def hidden(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
 
     def flush(self) -> None:
+        if self.rows is not None:  # a paragraph inside a cell is part of its text
+            self.text.append(" ")
+            return
         text, self.text = "".join(self.text), []
-        if self.hidden or not text.strip() or self.rows is not None:
+        if self.hidden or not text.strip():
             return
         if self.heading:
             self.blocks.add("heading", text, self.heading)
@@ -138,7 +150,9 @@ class _Html(HTMLParser):
         elif re.fullmatch("h[1-6]", tag):
             self.heading = int(tag[1])
         elif tag == "table":
-            self.rows, self.caption, self.headed = [], "", False
+            if self.rows is not None:
+                self.outer.append((self.rows, self.caption, self.headed, self.text))
+            self.rows, self.caption, self.headed, self.text = [], "", False, []
         elif tag == "tr" and self.rows is not None:
             self.rows.append([])
         elif tag in ("td", "th", "caption") and self.rows is not None:
@@ -160,7 +174,7 @@ class _Html(HTMLParser):
                     self.caption, self.text = "".join(self.text), []
                 elif top == "table" and self.rows is not None:
                     self.blocks.table(self.rows, tidy(self.caption) or None, self.headed)
-                    self.rows, self.text = None, []
+                    self.rows, self.caption, self.headed, self.text = self.outer.pop() if self.outer else (None, "", False, [])
                 elif top in FLOW or top in ("li", "figcaption") or re.fullmatch("h[1-6]", top):
                     self.flush()
                 if top in ("ul", "ol") and self.item:

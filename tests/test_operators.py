@@ -131,10 +131,24 @@ def test_vector_recall(spark):
     assert len(near & exact) / len(exact) >= 0.9
 
 
-def test_cover_density(spark):
-    index = spark.createDataFrame([(1, "a", [0, 5]), (1, "b", [1]), (2, "a", [0])], "chunk_id long, term string, positions array<int>")
-    asked = spark.createDataFrame([(7, ["a", "b"])], "query_id long, terms array<string>")
-    assert [(r.chunk_id, r.score) for r in search.cover_density(asked, index).collect()] == [(1, round(1 / 2 + 1 / 5, 6))]
+def test_matches_and_cover_density(spark):
+    chunks = spark.createDataFrame([(1, "Aaa bbb x x x aaa."), (2, "aaa x"), (3, None), (4, "")], "chunk_id long, content string")
+    asked = spark.createDataFrame([(7, ["aaa", "bbb"]), (8, ["aaa", "none"]), (9, [])], "query_id long, terms array<string>")
+    found = search.matches(asked, chunks)
+    assert [(r.query_id, r.chunk_id, r.lists) for r in found.collect()] == [(7, 1, [[0, 5], [1]])]
+    assert [(r.chunk_id, r.score) for r in search.cover_density(found).collect()] == [(1, round(1 / 2 + 1 / 5, 6))]
+    assert [(r.chunk_id, r.score, r.rank) for r in search.lexical_top_k(found).collect()] == [(1, 3.0, 1)]
+
+
+def test_html_tables_short_rows_and_nested():
+    from corvex.sources.parsers import parse_html
+
+    got = parse_html(b"<table><tr><th>A</th><th>B</th><th>C</th></tr><tr><td>1</td><td>2</td><td>3</td></tr><tr><td>x</td><td>y</td></tr></table>")
+    assert [b["text"] if "text" in b else b["content"] for b in got] == ["A: 1 | B: 2 | C: 3", "A: x | B: x | C: y"]
+    got = parse_html(b"<table><tr><td>p</td><td>q</td></tr><tr><td>out <table><tr><td>h</td></tr><tr><td>in</td></tr></table>er</td><td>r</td></tr></table>")
+    assert [b["text"] if "text" in b else b["content"] for b in got] == ["h: in", "p: out er | q: r"]
+    got = parse_html(b"<table><tr><th>A</th><th>B</th></tr><tr><td>one<p>two</p></td><td><p>three</p></td></tr></table><p>after</p>")
+    assert [b["text"] if "text" in b else b["content"] for b in got] == ["A: one two | B: three", "after"]
 
 
 def test_context_rules(spark):
