@@ -72,7 +72,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvex.llm.spotsigs import fingerprint_documents
 
-    return fingerprint_documents(_docs(spark, sf_dir)).withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+    found = fingerprint_documents(_docs(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_language_model": op8_language_model, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints}
