@@ -97,17 +97,19 @@ def postings(chunks: DataFrame, text_col: str = "content") -> DataFrame:
 def matches(questions: DataFrame, chunks: DataFrame, text_col: str = "content") -> DataFrame:
     """query_id, chunk_id and lists, the positions of each term, for chunks that hold all terms of a question.
 
-    A question meets the chunks of its rarest term alone and the other terms are looked up in the chunk's own row, so
-    frequent terms neither shuffle nor multiply rows. Questions without terms match nothing.
+    A question meets the chunks of its rarest term alone (a merge join: the size of an exploded side is not known), and
+    the other terms are looked up in the text of those chunks, so frequent terms do not multiply rows. Questions without
+    terms match nothing.
     """
     words = F.transform(T.words(F.col(text_col)), lambda w: F.lower(T.strip_signs(w)))
-    each = chunks.select("chunk_id", words.alias("words")).select("chunk_id", "words", F.explode(F.array_distinct("words")).alias("term"))
+    each = chunks.select("chunk_id", F.explode(F.array_distinct(words)).alias("term"))
     asked = questions.select("query_id", F.array_distinct("terms").alias("terms"))
     single = asked.select("query_id", "terms", F.explode("terms").alias("term"))
     held = each.select("term").join(single.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("held"))
     rarest = single.join(held, "term", "left").groupBy("query_id").agg(F.min_by(F.struct("term", "terms"), F.struct(F.coalesce("held", F.lit(0)), "term")).alias("least")).select("query_id", "least.*")
     at = lambda t: F.filter(F.transform("words", lambda w, i: F.when(w == t, i)), lambda i: i.isNotNull())
-    return each.join(rarest, "term").where(F.size(F.array_except("terms", "words")) == 0).select("query_id", "chunk_id", F.transform("terms", at).alias("lists"))
+    near = each.join(rarest.hint("merge"), "term").select("query_id", "terms", "chunk_id")
+    return near.join(chunks.select("chunk_id", words.alias("words")), "chunk_id").where(F.size(F.array_except("terms", "words")) == 0).select("query_id", "chunk_id", F.transform("terms", at).alias("lists"))
 
 
 def lexical_top_k(found: DataFrame, k: int = 24) -> DataFrame:
