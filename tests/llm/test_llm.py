@@ -243,6 +243,39 @@ def test_op4_empty_labels_say_nothing(spark):
     assert {i for i, keep in plain.items() if not keep} == set(range(0, 400, 10))
 
 
+def escaping_stretch(masks, least=13):
+    """A run of matches and substitutions with `least` matches and a score above zero throughout, in which no mask fits; else None."""
+    fits = [m.strip("0") for m in masks]
+    todo, seen = [("1", 1, 1)], set()
+    while todo:
+        run, score, matches = todo.pop()
+        if matches >= least:
+            return run
+        for bit in "10":
+            after, left = run + bit, score + (1 if bit == "1" else -decontamination.MISMATCH)
+            hit = any(len(after) >= len(m) and all(x == "1" or y == "0" for x, y in zip(after[-len(m) :], m)) for m in fits)
+            state = (after[-decontamination.SPAN :], left, matches + (bit == "1"))
+            if left > 0 and not hit and state not in seen:
+                seen.add(state)
+                todo.append((after, *state[1:]))
+    return None
+
+
+def test_op2_no_long_stretch_escapes_the_masks():
+    assert escaping_stretch(decontamination.MASKS) is None
+    for i in range(4, len(decontamination.MASKS)):  # each of the last three is needed
+        assert escaping_stretch(decontamination.MASKS[:i] + decontamination.MASKS[i + 1 :])
+
+
+def test_op2_finds_every_fourth_token_substituted(spark):
+    item = [f"i{k}" for k in range(80)]
+    docs = [(period * 10 + shift, " ".join("zzz" if (k + shift) % period == 0 else w for k, w in enumerate(item))) for period in (3, 4, 5, 6) for shift in range(period)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for limit in (1 << 20, 0):
+        got = {r.doc_id for r in decontamination.find_overlaps(spark.createDataFrame(docs, SCHEMA), bench, broadcast_seeds=limit).collect()}
+        assert got == {d for d, _ in docs if d >= 40}
+
+
 def test_op2_finds_every_placement_of_substitutions(spark):
     """Items of 1 to 20 tokens with a fifth substituted, of 15 to 20 with two and three, at every placement; cut items and passages of one id."""
     items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 21)}
