@@ -174,8 +174,11 @@ def fuse(vector: DataFrame, lexical: DataFrame, weights: DataFrame | None = None
     return scored.select("query_id", "chunk_id", "vector_rank", "fts_rank", "fused", F.row_number().over(w).alias("rank"))
 
 
-def structural_boost(question, f, terms, section, content, kind):
-    """What a candidate gains from section and content overlap, quoted phrases and kinds that the question (features f, terms) asks for."""
+def structural_boost(question, f, terms, section, content, kind, labels=()):
+    """What a candidate gains from section and content overlap, quoted phrases and kinds that the question (features f, terms) asks for.
+
+    labels are the candidate's equation, caption and algorithm labels (null for none): each that the question names counts.
+    """
     section_terms = T.terms(section)
     section_n, content_n = F.size(F.array_intersect(terms, section_terms)), F.size(F.array_intersect(terms, F.slice(T.ranked_terms(content), 1, SLOT_TEXT)))
     hinted = F.size(F.array_intersect(f["section_terms"], section_terms))
@@ -186,6 +189,8 @@ def structural_boost(question, f, terms, section, content, kind):
         + F.when(f["has_table"] & (kind == "table_row"), 0.12).when(f["has_table"] & kind.isin("table", "table_caption"), 0.08).otherwise(0.0)
         + F.when(f["has_equation"] & (kind == "equation"), 0.12).when(f["has_equation"] & kind.isin("equation_explanation", "equation_group"), 0.08).otherwise(0.0)
         + add(f["has_algorithm"] & (kind == "algorithm"), 0.10) + add(f["has_figure"] & (kind == "figure_caption"), 0.08))
+    for label in labels:
+        total = total + add(F.coalesce((label != "") & F.contains(F.lower(question), F.lower(label)), F.lit(False)), 0.08)
     return F.when(F.size(terms) > 0, F.round(total, 6)).otherwise(F.lit(0.0))
 
 
@@ -194,20 +199,33 @@ def rerank_gain(terms, content):
     return F.round(F.size(F.array_intersect(terms, T.terms(content))) * 0.25 / F.greatest(F.lit(1), F.size(terms)), 6)
 
 
-def needs_rewrite(candidates: DataFrame, low_score: float = 0.018, low_documents: int = 2) -> DataFrame:
-    """query_id and whether its best score or its number of documents is low."""
-    return candidates.groupBy("query_id").agg(((F.max("fused") < low_score) | (F.count_distinct("document_id") < low_documents)).alias("rewrite"))
+def needs_rewrite(candidates: DataFrame, questions: DataFrame, low_score: float = 0.018, low_documents: int = 2) -> DataFrame:
+    """query_id and rewrite: whether the question allows it (allow_rewrite), and its best score or its number of documents is low or it has no candidates."""
+    low = candidates.groupBy("query_id").agg(((F.max("fused") < low_score) | (F.count_distinct("document_id") < low_documents)).alias("low"))
+    return questions.select("query_id", "allow_rewrite").join(low, "query_id", "left").select("query_id", (F.col("allow_rewrite") & F.coalesce("low", F.lit(True))).alias("rewrite"))
+
+
+def followed_relations(query_class, f, kind):
+    """The relations that the class and the features f of a question let a seed of this content kind follow."""
+    exact = query_class.isin("fact", "numeric_detail") | f["has_table"] | f["has_equation"]
+    child = (query_class == "compare") | (exact & F.coalesce(kind.isin("table_row", "equation", "equation_explanation"), F.lit(False)))
+    broad = query_class.isin("summary", "why", "conclusion", "compare")
+    return F.array_compact(F.array(*map(F.lit, ("same_node_parent", "neighbor", "ancestor_parent")), F.when(child, F.lit("same_node_child")), F.when(broad, F.lit("sibling_parent"))))
 
 
 def expand_graph(seeds: DataFrame, relations: DataFrame, most_seeds: int = 6) -> DataFrame:
     """Candidates after expansion: seeds (query_id, chunk_id, score, rank) and, for the best, what relations (chunk_id, relation, to_id) reach.
 
     A reached chunk has the seed's score times the relation's decay; of several ways the highest score and the first relation count.
+    A seed with a column follows (array of relation names) follows these alone.
     """
     decay = F.create_map(*(x for k, v in DECAY.items() for x in (F.lit(k), F.lit(v))))
     order = F.create_map(*(x for i, k in enumerate(DECAY) for x in (F.lit(k), F.lit(i))))
     start = seeds.select("query_id", "chunk_id", "score", F.lit("seed").alias("relation"), F.col("rank").alias("seed_rank"))
-    reached = seeds.where(F.col("rank") <= most_seeds).join(relations, "chunk_id").select("query_id", F.col("to_id").alias("chunk_id"), F.round(F.col("score") * decay[F.col("relation")], 8).alias("score"), "relation", F.col("rank").alias("seed_rank"))
+    best = seeds.where(F.col("rank") <= most_seeds).join(relations, "chunk_id")
+    if "follows" in seeds.columns:
+        best = best.where(F.array_contains("follows", F.col("relation")))
+    reached = best.select("query_id", F.col("to_id").alias("chunk_id"), F.round(F.col("score") * decay[F.col("relation")], 8).alias("score"), "relation", F.col("rank").alias("seed_rank"))
     every = start.unionByName(reached)
     first = F.min_by("relation", F.struct((F.col("relation") != "seed").cast("int"), "seed_rank", order[F.col("relation")]))
     return every.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), first.alias("relation"))
@@ -217,8 +235,9 @@ def select_context(candidates: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Greedy near-duplicate removal and context assembly of each question, in rank order (a few dozen rows a question).
 
     candidates: query_id, rank, chunk_id, document_id, node_id, parent_id, section_key, content_kind, structure_group,
-    content, block, and the strategy's columns top_k, per_document, budget, diversity, prefer_diversity, min_new_terms,
-    query_class. Returns every candidate with slot (from 1 for the chosen) or the reason it dropped.
+    content, parent_content (may be left out or null), block, and the strategy's columns top_k, per_document, budget, diversity, prefer_diversity, min_new_terms,
+    query_class. Candidates of one parent are duplicates; where a parent's content is given, its terms are compared and
+    counted in place of the candidate's. Returns every candidate with slot (from 1 for the chosen) or the reason it dropped.
     """
     columns = ["query_id", "chunk_id", "rank", "slot", "role", "reason", "total_tokens"]
 
@@ -235,7 +254,7 @@ def select_context(candidates: DataFrame, threshold: float = 0.92) -> DataFrame:
         out, chosen, documents, sections, nodes, groups, seen = [], 0, {}, set(), {}, set(), set()
         total = 0
         for r in group.sort_values("rank").itertuples():
-            every = terms(r.content)
+            every = terms(getattr(r, "parent_content", None) or r.content)
             own = set(every)
             reason = role = None
             same = any((r.parent_id == p and p is not None) or (own and t and len(own & t) / len(own | t) >= threshold) for p, t in kept)

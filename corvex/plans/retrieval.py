@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from corvex.functions import features as Q
 from corvex.functions import text as T
+from corvex.operators import chunking as C
 from corvex.operators import search as S
 from corvex.operators.graph import link_chunks
 from corvex.plans.base import CHUNKS_SQL, chunks, query, table
@@ -150,9 +151,15 @@ def query_strategy(spark, sf):
     return Q.with_strategy(_asked(spark, sf), "x").select("conv_id", "turn", "s.query_class", "s.vector_weight", "s.fts_weight", "s.allow_rewrite", "s.top_k", "s.per_document", "s.budget", "s.diversity")
 
 
-@query("d12_rewrite_trigger", f"WITH {CHUNKS_SQL}, {FUSED_SQL} SELECT query_id, max(fused) < 0.018 OR count(DISTINCT chunk_id // 100000) < 2 AS rewrite FROM ranked GROUP BY query_id")
+# The class of every question, and whether it asks for tables or equations.
+CLASSES_SQL = f"""classes AS (SELECT *, {_CLASS} AS c, {_has('table')} AS has_table, {_has('equation')} AS has_equation, {_NUMBER} OR {_DATE} AS dated FROM (SELECT query_id, question AS x FROM questions))"""
+
+
+@query("d12_rewrite_trigger", f"""WITH {CHUNKS_SQL}, {FUSED_SQL}, {CLASSES_SQL}, found AS (SELECT query_id, max(fused) < 0.018 OR count(DISTINCT chunk_id // 100000) < 2 AS low FROM ranked GROUP BY query_id)
+  SELECT query_id, (CASE WHEN c IN ('fact','numeric_detail') THEN NOT dated ELSE c <> 'unsupported_probe' END) AND coalesce(low, true) AS rewrite FROM classes LEFT JOIN found USING (query_id)""")
 def rewrite_trigger(spark, sf):
-    return S.needs_rewrite(fused(spark, sf).withColumn("document_id", F.floor(F.col("chunk_id") / 100000)))
+    asked = Q.with_strategy(questions(spark, sf).select("query_id", "question"), "question").select("query_id", "s.allow_rewrite")
+    return S.needs_rewrite(fused(spark, sf).withColumn("document_id", F.floor(F.col("chunk_id") / 100000)), asked)
 
 
 def candidates(spark, sf):
@@ -162,7 +169,9 @@ def candidates(spark, sf):
 
 
 def _boost():
-    return S.structural_boost(*map(F.col, ("question", "f", "q_terms", "section_title", "content", "content_kind")))
+    """The boosts, with the labels that a chunk's text opens or (equations) ends with."""
+    labels = [F.nullif(F.regexp_extract("content", p, 1), F.lit("")) for p in (T.EQUATION_LABEL, T.TABLE_LABEL, T.FIGURE_LABEL, T.ALGORITHM_LABEL)]
+    return S.structural_boost(*map(F.col, ("question", "f", "q_terms", "section_title", "content", "content_kind")), labels)
 
 
 @query("d08_structural_boosts")
@@ -178,24 +187,39 @@ def rerank(spark, sf):
     return candidates(spark, sf).select("query_id", "chunk_id", F.round(F.col("fused") + S.rerank_gain(F.col("q_terms"), F.col("content")), 6).alias("score"))
 
 
-def relations(spark, sf):
-    """What the structure graph reaches from each chunk: neighbours, and the first chunk of its own and the two nearest sections."""
-    c = chunks(spark, sf)
-    linked = link_chunks(c.select("chunk_id", "document_id", "chunk_index", "node_id"))
+def relations(spark, sf, seeds):
+    """What the structure graph reaches from the seeds' chunks: neighbours, other chunks of the section, and the first chunk of its own and the two nearest sections.
+
+    Only the documents of the seeds are read. Sections have no parent section here, so there is no ancestor_parent.
+    """
+    held = seeds.select(F.floor(F.col("chunk_id") / 100000).alias("document_id")).distinct()
+    c = chunks(spark, sf).join(held, "document_id", "left_semi")
+    linked = link_chunks(c.select("chunk_id", "document_id", "chunk_index", "node_id")).join(seeds.select("chunk_id").distinct(), "chunk_id", "left_semi")
     near = linked.select("chunk_id", F.lit("neighbor").alias("relation"), F.explode(F.array_compact(F.array("previous_chunk_id", "next_chunk_id"))).alias("to_id"))
-    heads = c.groupBy("node_id").agg(F.min("chunk_id").alias("to_id"))
-    own = linked.join(heads, "node_id").where("chunk_id <> to_id").select("chunk_id", F.lit("same_node_parent").alias("relation"), "to_id")
-    aside = linked.select("chunk_id", F.explode(F.array(F.col("node_id") - 1, F.col("node_id") + 1)).alias("node_id")).join(heads, "node_id").select("chunk_id", F.lit("sibling_parent").alias("relation"), "to_id")
-    return near.unionByName(own).unionByName(aside)
+    held_by = c.groupBy("node_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("members"))  # a section: five positions at most
+    inside = linked.join(held_by, "node_id")
+    own = inside.select("chunk_id", F.lit("same_node_parent").alias("relation"), F.col("members")[0].alias("to_id")).where("chunk_id <> to_id")
+    child = inside.select("chunk_id", F.lit("same_node_child").alias("relation"), F.explode("members").alias("to_id")).where("chunk_id <> to_id")
+    aside = linked.select("chunk_id", F.explode(F.array(F.col("node_id") - 1, F.col("node_id") + 1)).alias("node_id")).join(held_by, "node_id").select("chunk_id", F.lit("sibling_parent").alias("relation"), F.col("members")[0].alias("to_id"))
+    return near.unionByName(own).unionByName(child).unionByName(aside)
+
+
+def widened(spark, sf, seeds):
+    """Expansion of seeds (query_id, chunk_id, score, rank, query_class, f, content_kind)."""
+    follows = S.followed_relations(F.col("query_class"), F.col("f"), F.col("content_kind"))
+    ready = seeds.select("query_id", "chunk_id", "score", "rank", follows.alias("follows"))
+    return S.expand_graph(ready, relations(spark, sf, ready.where("rank <= 6")))
 
 
 def expanded(spark, sf):
-    return S.expand_graph(fused(spark, sf).select("query_id", "chunk_id", F.col("fused").alias("score"), "rank"), relations(spark, sf))
+    return widened(spark, sf, candidates(spark, sf).withColumnRenamed("fused", "score"))
 
 
-@query("d14_graph_expansion", f"""WITH {CHUNKS_SQL}, {FUSED_SQL}, linked AS (SELECT chunk_id, node_id, lag(chunk_id) OVER w AS p, lead(chunk_id) OVER w AS n FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)), heads AS (SELECT node_id, min(chunk_id) AS to_id FROM chunks GROUP BY node_id),
-  rel AS (SELECT chunk_id, 0.94 AS decay, unnest([p, n]) AS to_id FROM linked UNION ALL SELECT chunk_id, 0.97, to_id FROM linked JOIN heads USING (node_id) WHERE chunk_id <> to_id UNION ALL SELECT l.chunk_id, 0.84, h.to_id FROM linked l JOIN heads h ON h.node_id IN (l.node_id - 1, l.node_id + 1))
-  SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, fused AS score FROM ranked UNION ALL SELECT query_id, to_id, round(fused * decay::DOUBLE, 8) FROM ranked JOIN rel USING (chunk_id) WHERE rank <= 6 AND to_id IS NOT NULL) GROUP BY query_id, chunk_id""")
+@query("d14_graph_expansion", f"""WITH {CHUNKS_SQL}, {FUSED_SQL}, {CLASSES_SQL}, linked AS (SELECT chunk_id, node_id, content_kind, lag(chunk_id) OVER w AS p, lead(chunk_id) OVER w AS n FROM chunks WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index)), heads AS (SELECT node_id, min(chunk_id) AS to_id FROM chunks GROUP BY node_id),
+  rel AS (SELECT chunk_id, content_kind, 'neighbor' AS r, 0.94 AS decay, unnest([p, n]) AS to_id FROM linked UNION ALL SELECT chunk_id, content_kind, 'parent', 0.97, to_id FROM linked JOIN heads USING (node_id) WHERE chunk_id <> to_id
+    UNION ALL SELECT l.chunk_id, l.content_kind, 'child', 0.90, o.chunk_id FROM linked l JOIN chunks o ON o.node_id = l.node_id AND o.chunk_id <> l.chunk_id UNION ALL SELECT l.chunk_id, l.content_kind, 'sibling', 0.84, h.to_id FROM linked l JOIN heads h ON h.node_id IN (l.node_id - 1, l.node_id + 1))
+  SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, fused AS score FROM ranked UNION ALL SELECT query_id, to_id, round(fused * decay::DOUBLE, 8) FROM ranked JOIN rel USING (chunk_id) JOIN classes USING (query_id) WHERE rank <= 6 AND to_id IS NOT NULL
+    AND CASE r WHEN 'sibling' THEN c IN ('summary','why','conclusion','compare') WHEN 'child' THEN c = 'compare' OR ((c IN ('fact','numeric_detail') OR has_table OR has_equation) AND content_kind IN ('table_row','equation','equation_explanation')) ELSE true END) GROUP BY query_id, chunk_id""")
 def graph_expansion(spark, sf):
     return expanded(spark, sf).select("query_id", "chunk_id", "score")
 
@@ -207,18 +231,21 @@ def graph_gate(spark, sf):
 
 def context(spark, sf):
     """The whole retrieval: fusion, boosts, expansion, reranking, near-duplicate removal, assembly."""
-    boosted = candidates(spark, sf).select("query_id", "chunk_id", F.round(F.col("fused") + _boost(), 8).alias("score"))
+    boosted = candidates(spark, sf).select("query_id", "chunk_id", "query_class", "f", "content_kind", F.round(F.col("fused") + _boost(), 8).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    wide = S.expand_graph(boosted.withColumn("rank", F.row_number().over(order)), relations(spark, sf))
+    wide = widened(spark, sf, boosted.withColumn("rank", F.row_number().over(order)))
     q = Q.with_strategy(questions(spark, sf).select("query_id", "question"), "question").withColumn("q_terms", T.terms(F.col("question")))
     ready = wide.join(q, "query_id").join(chunks(spark, sf), "chunk_id")
     score = F.round(F.col("score") + S.rerank_gain(F.col("q_terms"), F.col("content")), 6)
     rows = ready.withColumn("score", score).withColumn("rank", F.row_number().over(order))
+    held = wide.select(F.floor(F.col("chunk_id") / 100000).alias("document_id")).distinct()
+    parents = C.parent_chunks(chunks(spark, sf).join(held, "document_id", "left_semi")).select("node_id", F.col("content").alias("parent_content"))
+    rows = rows.join(parents, "node_id", "left")
     path = F.concat_ws(" > ", "title", "section_title")
     group = F.when(F.col("content_kind").isin("table_row", "equation"), F.concat_ws(":", "content_kind", "node_id"))
     return S.select_context(rows.select(
-        "query_id", "chunk_id", "rank", "document_id", "node_id", F.col("chunk_id").alias("parent_id"), F.lower(path).alias("section_key"), "content_kind", group.alias("structure_group"), "content",
-        S.source_block(F.lit(1), F.col("title"), path, F.col("page_number"), F.col("content_kind"), F.col("content")).alias("block"),
+        "query_id", "chunk_id", "rank", "document_id", "node_id", F.col("node_id").alias("parent_id"), F.lower(path).alias("section_key"), "content_kind", group.alias("structure_group"), "content", "parent_content",
+        S.source_block(F.lit(1), F.col("title"), path, F.col("page_number"), F.col("content_kind"), F.coalesce("parent_content", "content")).alias("block"),
         "s.query_class", "s.top_k", "s.per_document", "s.budget", "s.diversity", "s.prefer_diversity", "s.min_new_terms"))
 
 

@@ -160,6 +160,38 @@ def test_context_rules(spark):
     assert got == {1: (1, None), 2: (None, "per_document_limit"), 3: (None, "duplicate"), 4: (None, "token_budget"), 5: (2, None)}
 
 
+    rows = [base | dict(chunk_id=i, rank=i, node_id=i, document_id=i, parent_id=parent, content=f"word{i} here", parent_content=text, block="x") for i, parent, text in ((1, 7, "alpha beta"), (2, 7, "gamma delta"), (3, 8, "alpha beta"), (4, None, None), (5, None, None))]
+    schema = schema.replace("content string, block", "content string, parent_content string, block")
+    got = {r.chunk_id: (r.slot, r.reason) for r in search.select_context(spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)).collect()}
+    assert got == {1: (1, None), 2: (None, "duplicate"), 3: (None, "duplicate"), 4: (2, None), 5: (None, "top_k")}
+
+
+def test_rewrite_needs_leave_and_low_candidates(spark):
+    found = spark.createDataFrame([(1, 0.9, 1), (1, 0.8, 2), (2, 0.9, 1), (3, 0.01, 1), (3, 0.01, 2), (4, 0.01, 1)], "query_id long, fused double, document_id long")
+    asked = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False), (5, True), (6, False)], "query_id long, allow_rewrite boolean")
+    assert {r.query_id: r.rewrite for r in search.needs_rewrite(found, asked).collect()} == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False}
+
+
+def test_expansion_follows_what_the_class_allows(spark):
+    rows = [("fact", "paragraph", False), ("fact", "table_row", False), ("summary", "equation", False), ("summary", "equation", True), ("compare", "paragraph", False), ("fact", None, False)]
+    df = spark.createDataFrame([(i, c, k, t) for i, (c, k, t) in enumerate(rows)], "i int, c string, k string, t boolean").select("i", F.col("c"), F.col("k"), F.struct(F.col("t").alias("has_table"), F.lit(False).alias("has_equation")).alias("f"))
+    got = {r.i: "".join(x for n, x in (("same_node_child", "c"), ("sibling_parent", "s")) if n in r.w) for r in df.select("i", search.followed_relations(F.col("c"), F.col("f"), F.col("k")).alias("w")).collect()}
+    assert got == {0: "", 1: "c", 2: "s", 3: "cs", 4: "cs", 5: ""}
+    seeds = spark.createDataFrame([(1, 10, 1.0, 1, ["neighbor"])], "query_id long, chunk_id long, score double, rank int, follows array<string>")
+    reach = spark.createDataFrame([(10, "neighbor", 11), (10, "sibling_parent", 12)], "chunk_id long, relation string, to_id long")
+    assert {(r.chunk_id, r.score) for r in search.expand_graph(seeds, reach).collect()} == {(10, 1.0), (11, 0.94)}
+
+
+def test_boost_for_labels_that_the_question_names(spark):
+    df = spark.createDataFrame([(1, "what does table iv show", "Table IV"), (2, "what does it show", "Table IV"), (3, "what does it show", None)], "i int, q string, label string")
+    from corvex.functions import features, text
+
+    ready = features.with_strategy(df, "q").withColumn("terms", text.terms(F.col("q")))
+    boost = lambda labels: search.structural_boost(F.col("q"), F.col("f"), F.col("terms"), F.lit(""), F.lit("nothing"), F.lit("paragraph"), labels)
+    got = {r.i: round(r.d, 6) for r in ready.select("i", (boost([F.col("label")]) - boost([])).alias("d")).collect()}
+    assert got == {1: 0.08, 2: 0.0, 3: 0.0}
+
+
 def test_rate_limit_batch_and_stream(spark, tmp_path):
     random.seed(1)
     start = dt.datetime(2024, 1, 1)
