@@ -10,7 +10,7 @@ from corvex.functions import text as T
 from corvex.operators import chunking as C
 from corvex.operators import search as S
 from corvex.operators.graph import link_chunks
-from corvex.plans.base import CHUNKS_SQL, chunks, query, table
+from corvex.plans.base import CHUNKS_SQL, chunks, query, table, written
 
 _COSINE = "round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
 VECTOR_SQL = f"""vec AS (SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id)::INT AS rank
@@ -207,7 +207,7 @@ def relations(spark, sf, seeds):
 def widened(spark, sf, seeds):
     """Expansion of seeds (query_id, chunk_id, score, rank, query_class, f, content_kind)."""
     follows = S.followed_relations(F.col("query_class"), F.col("f"), F.col("content_kind"))
-    ready = seeds.select("query_id", "chunk_id", "score", "rank", follows.alias("follows"))
+    ready = written(seeds.select("query_id", "chunk_id", "score", "rank", follows.alias("follows")), "seeds")
     return S.expand_graph(ready, relations(spark, sf, ready.where("rank <= 6")))
 
 
@@ -233,7 +233,7 @@ def context(spark, sf):
     """The whole retrieval: fusion, boosts, expansion, reranking, near-duplicate removal, assembly."""
     boosted = candidates(spark, sf).select("query_id", "chunk_id", "query_class", "f", "content_kind", F.round(F.col("fused") + _boost(), 8).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    wide = widened(spark, sf, boosted.withColumn("rank", F.row_number().over(order)))
+    wide = written(widened(spark, sf, boosted.withColumn("rank", F.row_number().over(order))), "candidates")
     q = Q.with_strategy(questions(spark, sf).select("query_id", "question"), "question").withColumn("q_terms", T.terms(F.col("question")))
     ready = wide.join(q, "query_id").join(chunks(spark, sf), "chunk_id")
     score = F.round(F.col("score") + S.rerank_gain(F.col("q_terms"), F.col("content")), 6)
