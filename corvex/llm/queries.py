@@ -76,7 +76,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_language_model": op8_language_model, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvex.llm.filter_audit import audit_documents
+
+    return audit_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_language_model": op8_language_model, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints, "op12_filter_audit": op12_filter_audit}
 
 _STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 SQL = {
@@ -91,4 +97,35 @@ marked AS (SELECT k.*, coalesce(k.doc_id > f.first, false) AS gone FROM keyed k
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+tests AS (
+  SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e
+  FROM split),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, list_filter([if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')], lambda x: x <> '') AS fails, count(*) AS n,
+    coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM tests LEFT JOIN known USING (doc_id) GROUP BY ALL),
+orders AS (
+  SELECT '' AS o
+  UNION ALL
+  SELECT o || l FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS x(l) WHERE position(l IN o) = 0),
+steps AS (SELECT o AS filter_order, s AS step, substr(o, s, 1) AS letter FROM orders, unnest([1, 2, 3, 4, 5]) AS y(s) WHERE length(o) = 5),
+counted AS (
+  SELECT part, filter_order, step, letter,
+    sum(n) FILTER (coalesce(list_min(list_transform(fails, lambda f: position(f IN filter_order))), 9) > step) AS kept,
+    sum(n) FILTER (list_min(list_transform(fails, lambda f: position(f IN filter_order))) = step) AS removed,
+    sum(n) FILTER (list_contains(fails, letter) AND list_min(list_transform(fails, lambda f: position(f IN filter_order))) < step) AS redundant,
+    sum(n) FILTER (fails = [letter]) AS unique_fails,
+    sum(good) FILTER (list_min(list_transform(fails, lambda f: position(f IN filter_order))) = step) AS good_lost,
+    sum(toxic) FILTER (list_min(list_transform(fails, lambda f: position(f IN filter_order))) = step) AS toxic_lost
+  FROM failed, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+FROM counted""",
 }
