@@ -76,13 +76,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvex.llm.cross_align import link_statistics
+
+    return link_statistics(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvex.llm.filter_audit import audit_documents
 
     return audit_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_language_model": op8_language_model, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints, "op12_filter_audit": op12_filter_audit}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_language_model": op8_language_model, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints, "op11_alignment": op11_alignment, "op12_filter_audit": op12_filter_audit}
 
 _STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 SQL = {
