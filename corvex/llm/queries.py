@@ -88,7 +88,13 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_language_model": op8_language_model, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints, "op11_alignment": op11_alignment, "op12_filter_audit": op12_filter_audit}
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvex.llm.rotated_codes import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op5_token_counts": op5_token_counts, "op6_simhash": op6_simhash, "op7_suffix_dedup": op7_suffix_dedup, "op8_language_model": op8_language_model, "op9_personal_data": op9_personal_data, "op10_fingerprints": op10_fingerprints, "op11_alignment": op11_alignment, "op12_filter_audit": op12_filter_audit, "op13_nearest": op13_nearest}
 
 _STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 SQL = {
