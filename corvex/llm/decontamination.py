@@ -134,7 +134,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     seed = rows["seed"].to_numpy().view(U)
     order = np.argsort(seed, kind="stable")
     seed, item_of, item_at = seed[order], rows["passage"].to_numpy()[order], rows["at"].to_numpy()[order]
-    gate = np.zeros(1 << max(16, min(26, 4 * len(seed)).bit_length() + 4), bool)
+    gate = np.zeros(gate_size(len(seed)), bool)
     gate[seed & U(len(gate) - 1)] = True
     item_rows = tests.join(test_seeds.select("passage").distinct(), "passage", "left_semi").toPandas()  # bounded by their seeds
     item_words = Words([t.encode() for t in item_rows["text"]], signs=SIGNS)
@@ -160,6 +160,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return _best(own.mapInArrow(probe, schema))
 
 
+def gate_size(n: int) -> int:
+    """Places of the gate before the search among n seeds: a power of two, 8 to 16 for a seed (65,536 to 16,777,216)."""
+    return 1 << min(24, max(16, (8 * n).bit_length()))
+
+
 def _by_shuffle(own: DataFrame, tests: DataFrame, test_seeds: DataFrame, hashed, schema: str, least: int, part: float) -> DataFrame:
     """For large test sets: seeds joined by shuffle, shifts per pair of document and passage, then both texts joined to them."""
     id_type = own.schema["doc_id"].dataType.simpleString()
