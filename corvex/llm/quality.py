@@ -103,6 +103,7 @@ def toxic_words(labelled: DataFrame, least: int = 4, rate: float = 0.004, odds:
             words = Words(texts)
             stems, begin = stem_hashes(words)
             before = np.concatenate(([U(0)], words.hashes[:-1])) if len(stems) else stems
+            before[words.offsets[:-1][words.counts > 0]] = 0  # no word stands before a text's first
             for every in (stems, *begin):
                 known, bad = np.flatnonzero(every != 0), np.flatnonzero((every != 0) & toxic[words.doc])
                 _, first = np.unique(mix(every[known] + words.doc[known].astype(U) * U(0x9E3779B97F4A7C15)), return_index=True)
@@ -180,9 +181,12 @@ def train(rows: DataFrame, toxic: np.ndarray, shards: int = 4, rounds: int = 4)
         seen = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(w[seen])], ["bucket", "w"])
 
+    # a shard's rows and the shards' weights in an order of their own, so that the fit is the same however the input is dealt
+    number = F.xxhash64("doc_id", "text")
+    found = rows.repartition(shards, number).sortWithinPartitions(number, "doc_id", "text").mapInArrow(fit, "bucket long, w double").groupBy("bucket").agg(F.array_sort(F.collect_list("w")).alias("w"))
     weights = np.zeros(BUCKETS)
-    for r in rows.repartition(shards, F.xxhash64("doc_id", "text")).mapInArrow(fit, "bucket long, w double").groupBy("bucket").agg(F.avg("w").alias("w")).toLocalIterator():
-        weights[r["bucket"]] = r["w"]
+    for r in found.toLocalIterator():
+        weights[r["bucket"]] = sum(r["w"]) / len(r["w"])
     return weights
 
 
