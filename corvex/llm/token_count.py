@@ -11,7 +11,6 @@ compiled on first use. Both come from the vocabulary file alone. Work is per row
 from __future__ import annotations
 
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,7 +184,7 @@ class Counter:
         """Token counts of several texts without special tokens; a space between two texts keeps their pieces apart."""
         ready = []
         for t in texts:
-            ready.append(t.lower() if t.isascii() else unicode_classes.lower(unicodedata.normalize("NFC", t)))
+            ready.append(t.lower() if t.isascii() else unicode_classes.lower(unicode_classes.compose(t)))
         whole = " ".join(ready)
         begins, stops = self.starts(whole)
         after = np.append(stops, len(whole))

@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import numpy as np
+from tokenizers import normalizers
 
 # Code points that Unicode 16 added to the letters and numbers of 15.1.
 ADDED_LETTERS = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
@@ -16,7 +17,10 @@ ADDED_UPPER = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0
 OTHER, LETTER, NUMBER = range(3)
 _LOWER = {c: c + by for first, last, by in ADDED_UPPER for c in range(first, last + 1)}
 _HAS_UPPER = re.compile("[" + "".join(f"{chr(first)}-{chr(last)}" for first, last, _ in ADDED_UPPER) + "]")
+# Planes and blocks without marks (ideographs, Hangul syllables, private use), whose composition no version changed.
+SETTLED = ((0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xD800, 0xF8FF), (0x20000, 0x2F7FF), (0x2FA20, 0xDFFFF), (0xE1000, 0x10FFFF))
 _tables: list[np.ndarray] = []
+_differ: list[np.ndarray] = []
 
 
 def class_table() -> np.ndarray:
@@ -42,3 +46,36 @@ def lower(text: str) -> str:
     if _HAS_UPPER.search(text):
         text = text.translate(_LOWER)
     return text.replace("Σ", "σ").lower()
+
+
+def composition_differs() -> np.ndarray:
+    """Whether a code point is composed, decomposed or ordered otherwise by the library than by Python's tables."""
+    if not _differ:
+        differ = np.zeros(0x110000, bool)
+        look = np.ones(0x110000, bool)
+        for first, last in SETTLED:
+            look[first : last + 1] = False
+        look[:0x80] = False
+        points = np.flatnonzero(look)
+        letters = [chr(c) for c in points.tolist()]
+        for form in ("NFC", "NFD"):
+            library = getattr(normalizers, form)()
+            # alone, before a mark of the lowest class, and behind one of the highest: a class that only one side knows moves it
+            for before, after in (("", ""), ("x", "\u0334"), ("x\u0345", "")):
+                whole = "\n".join(before + c + after for c in letters)
+                own, other = unicodedata.normalize(form, whole).split("\n"), library.normalize_str(whole).split("\n")
+                for c, a, b in zip(letters, own, other, strict=True):
+                    if a != b:
+                        differ[ord(c)] = True
+                        if form == "NFD" and not before:
+                            differ[[ord(x) for x in a + b if ord(x) >= 0x80]] = True  # parts of what only one side composes
+        _differ.append(differ)
+    return _differ[0]
+
+
+def compose(text: str) -> str:
+    """The canonical composition (NFC) as the library has it."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if composition_differs()[code].any():
+        return normalizers.NFC().normalize_str(text)
+    return unicodedata.normalize("NFC", text)
