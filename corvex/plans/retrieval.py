@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 from corvex.functions import features as Q
 from corvex.functions import text as T
 from corvex.operators import chunking as C
+from corvex.operators import lexical as L
 from corvex.operators import search as S
 from corvex.operators.graph import link_chunks
 from corvex.plans.base import CHUNKS_SQL, chunks, query, table, written
+from corvex.plans.lexical import LEX_SQL, index
 
 _COSINE = "round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6)"
 VECTOR_SQL = f"""vec AS (SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, e.vec_id)::INT AS rank
@@ -76,13 +78,18 @@ def cover_density(spark, sf):
     return S.cover_density(S.matches(questions(spark, sf), chunks(spark, sf)))
 
 
+@query("d06_cover_rank", f"WITH {CHUNKS_SQL}, {QUESTIONS_SQL}, {LEX_SQL} SELECT * FROM lex")
+def cover_rank(spark, sf):
+    return L.search_top_k(questions(spark, sf), index(spark, sf))
+
+
 def _first_chunks(spark, sf):
     """A document's vector stands for its first chunk."""
     w = Window.partitionBy("document_id").orderBy("chunk_index")
     return chunks(spark, sf).withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("document_id").alias("vec_id"), "chunk_id")
 
 
-FUSED_SQL = f"""{LEXICAL_SQL}, firsts AS (SELECT document_id AS vec_id, min(chunk_index) + document_id * 100000 AS chunk_id FROM chunks GROUP BY document_id),
+FUSED_SQL = f"""{QUESTIONS_SQL}, {LEX_SQL}, firsts AS (SELECT document_id AS vec_id, min(chunk_index) + document_id * 100000 AS chunk_id FROM chunks GROUP BY document_id),
   qv AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id),
   vr AS (SELECT query_id, chunk_id, rank FROM (SELECT q.query_id, f.chunk_id, row_number() OVER (PARTITION BY q.query_id ORDER BY {_COSINE} DESC, e.vec_id) AS rank FROM qv q, embeddings e JOIN firsts f USING (vec_id)) WHERE rank <= 24),
   fused AS (SELECT query_id, chunk_id, v.rank AS vector_rank, l.rank AS fts_rank, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(0.85::DOUBLE / (60 + l.rank), 0), 8) AS fused FROM vr v FULL JOIN lex l USING (query_id, chunk_id)),
@@ -94,7 +101,7 @@ def fused(spark, sf):
     e = table(spark, sf, "embeddings")
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
     near = S.vector_top_k(asked, e.join(firsts.select("vec_id"), "vec_id", "left_semi")).join(firsts, "vec_id").select("query_id", "chunk_id", "rank")
-    return S.fuse(near, S.lexical_top_k(S.matches(questions(spark, sf), chunks(spark, sf))))
+    return S.fuse(near, L.search_top_k(questions(spark, sf), index(spark, sf)).select("query_id", "chunk_id", "rank"))
 
 
 @query("d07_rank_fusion", f"WITH {CHUNKS_SQL}, {FUSED_SQL} SELECT query_id, chunk_id, vector_rank::INT AS vector_rank, fts_rank, fused, rank FROM ranked")
