@@ -166,7 +166,7 @@ def looks_like_equation_fragment(text: Column) -> Column:
 
 def equation_incomplete(text: Column) -> Column:
     clean = normalize_whitespace(text)
-    open_ends = F.rlike(clean, F.lit(r"[=+\-*/(\[{]$")) | F.rlike(clean, F.lit(r"\w+\s*\^\s*$"))
+    open_ends = F.rlike(clean, F.lit(r"[=+\-*/(\[{]$")) | F.rlike(clean, F.lit(r"[\p{L}\p{N}_]\s*\^\s*$"))
     unbalanced = (_count_of(clean, "(") > _count_of(clean, ")")) | (_count_of(clean, "[") > _count_of(clean, "]"))
     return (clean != "") & (open_ends | unbalanced)
 

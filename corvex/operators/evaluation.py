@@ -84,3 +84,16 @@ def suspicious_heading(text: Column) -> Column:
         .when(F.rlike(t, F.lit(r"^\[[0-9]+\]\s+")), True).when(few & upper & ~F.contains(t, F.lit(" ")), True)
         .when(few & F.forall(words, lambda w: F.rlike(w, F.lit(r"^\p{Lu}"))), True).when(F.startswith(t, F.lit("SUMMARY OF")) | (F.contains(t, F.lit("OF")) & upper), True).otherwise(False)
     )
+
+
+def run_record(question: Column, expected: Column, answer: Column, sections: Column, pages: Column, chunk_ids: Column, top1: Column, top3: Column, latency: Column, tokens: tuple[Column, Column], cost: Column, error: Column) -> Column:
+    """The record of a question's run as one struct; with an error that of a run that found nothing, cost nothing and names the error."""
+    failed = error.isNotNull()
+    empty = lambda c, kind: F.when(failed | c.isNull(), F.array().cast(f"array<{kind}>")).otherwise(c)
+    number = lambda c: F.when(failed, F.lit(0)).otherwise(F.coalesce(c, F.lit(0)))
+    taken, made = map(number, tokens)
+    retrieval = F.struct(
+        F.when(~failed, top1).alias("top1_hit"), F.when(~failed, top3).alias("top3_hit"), empty(sections, "string").alias("retrieved_sections"), empty(pages, "int").alias("retrieved_pages"),
+        empty(chunk_ids, "bigint").alias("retrieved_chunk_ids"), F.lit("").alias("retrieval_notes"))
+    usage = F.struct(taken.alias("input_tokens"), made.alias("output_tokens"), (taken + made).alias("total_tokens"), F.when(failed, F.lit(0.0)).otherwise(F.coalesce(cost, F.lit(0.0))).alias("estimated_cost_usd"))
+    return F.struct(question.alias("question"), expected.alias("should_be_answerable"), retrieval.alias("retrieval"), F.when(failed, F.lit("")).otherwise(F.coalesce(answer, F.lit(""))).alias("answer"), number(latency).alias("latency_ms"), usage.alias("usage"), error.alias("error"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corvex.functions import text as T
 from corvex.operators.chunking import contiguous, heading_stack
+from corvex.operators.item_folds import merge_equations
 
 SKIPPED = ("page_header", "page_footer")
 HEADINGS = ("heading", "header", "section_header", "section", "subsection", "chapter", "abstract")
@@ -70,13 +71,6 @@ def merge_front_matter(items: DataFrame) -> DataFrame:
     return _merged(items, F.coalesce(on, F.lit(False)))
 
 
-def merge_equations(items: DataFrame) -> DataFrame:
-    """Equation items that are incomplete take the fragments that follow them."""
-    w = Window.partitionBy("doc_id").orderBy("item_index")
-    on = (F.lag("kind").over(w) == "equation") & F.col("kind").isin("equation", "paragraph") & T.equation_incomplete(F.lag("text").over(w)) & T.looks_like_equation_fragment(F.col("text"))
-    return _merged(items, F.coalesce(on, F.lit(False)))
-
-
 def _merged(items: DataFrame, joins_before) -> DataFrame:
     """Runs of rows that join the one before become one row, with the texts in order."""
     w = Window.partitionBy("doc_id").orderBy("item_index")
@@ -113,9 +107,9 @@ def carry_headers(rows: DataFrame) -> DataFrame:
 
 def items_to_blocks(items: DataFrame, titles: DataFrame, depth: int = 3) -> DataFrame:
     """All passes in order, then blocks with their heading path; front matter stays outside sections."""
-    kept = merge_equations(merge_front_matter(promote_subsections(suppress_artifacts(suppress_title(classify_items(items), titles), titles))))
+    kept = merge_front_matter(promote_subsections(suppress_artifacts(suppress_title(classify_items(items), titles), titles)))
     level = F.when(F.col("kind") == "heading", F.least(F.lit(depth), T.heading_level(F.col("text"), F.lit(None).cast("int"))))
-    stacked = heading_stack(kept.withColumn("level", level), "doc_id", "item_index", "level", "text", depth)
+    stacked = heading_stack(merge_equations(kept.withColumn("level", level)), "doc_id", "item_index", "level", "text", depth)
     path = F.array_compact(F.array(*(F.col(f"level{n}") for n in range(1, depth + 1))))
     w = Window.partitionBy("doc_id").orderBy("item_index")
     return stacked.select("doc_id", (F.row_number().over(w) - 1).alias("order_index"), F.col("kind").alias("block_type"), F.col("text").alias("content"), "page_no", F.when(F.col("kind") == "front_matter", F.array()).otherwise(path).cast("array<string>").alias("section_path"))

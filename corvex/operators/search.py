@@ -231,13 +231,20 @@ def expand_graph(seeds: DataFrame, relations: DataFrame, most_seeds: int = 6) ->
     return every.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), first.alias("relation"))
 
 
+#: What a chosen candidate is for, by the relation that reached it.
+ROLES = {"seed": "primary_seed", "same_node_parent": "local_support", "same_node_child": "local_support", "neighbor": "local_support", "ancestor_parent": "ancestor_context", "sibling_parent": "sibling_context"}
+BROAD = ("summary", "compare", "why", "conclusion")
+
+
 def select_context(candidates: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Greedy near-duplicate removal and context assembly of each question, in rank order (a few dozen rows a question).
 
-    candidates: query_id, rank, chunk_id, document_id, node_id, parent_id, section_key, content_kind, structure_group,
-    content, parent_content (may be left out or null), block, and the strategy's columns top_k, per_document, budget, diversity, prefer_diversity, min_new_terms,
-    query_class. Candidates of one parent are duplicates; where a parent's content is given, its terms are compared and
-    counted in place of the candidate's. Returns every candidate with slot (from 1 for the chosen) or the reason it dropped.
+    candidates: query_id, rank, chunk_id, document_id, node_id, parent_id, section_key, structure_key, content_kind,
+    structure_group, content, block, the strategy's columns top_k, per_document, budget, diversity, prefer_diversity,
+    min_new_terms, query_class, and, all of which may be left out, parent_content, relation (how the graph reached it) and
+    graph_enabled. Candidates of one parent are duplicates; where a parent's content is given, its terms are compared and
+    counted in place of the candidate's. With the graph a node has a limit and sections are told apart by structure_key,
+    without it by section_key. Returns every candidate with slot (from 1 for the chosen), role, or the reason it dropped.
     """
     columns = ["query_id", "chunk_id", "rank", "slot", "role", "reason", "total_tokens"]
 
@@ -256,40 +263,41 @@ def select_context(candidates: DataFrame, threshold: float = 0.92) -> DataFrame:
         for r in group.sort_values("rank").itertuples():
             every = terms(getattr(r, "parent_content", None) or r.content)
             own = set(every)
+            graph, relation = bool(getattr(r, "graph_enabled", False)), getattr(r, "relation", None)
+            section, node = (r.structure_key if graph else r.section_key), r.node_id if graph else None
             reason = role = None
-            same = any((r.parent_id == p and p is not None) or (own and t and len(own & t) / len(own | t) >= threshold) for p, t in kept)
-            if same:
+            if any((r.parent_id == p and p is not None) or (own and t and len(own & t) / len(own | t) >= threshold) for p, t in kept):
                 reason = "duplicate"
             else:
                 kept.append((r.parent_id, own))
-                cost = max(1, len(r.block) // 4)
-                fresh = set(every[:50])
+                cost, fresh = max(1, len(r.block) // 4), set(every[:50])
                 if chosen >= r.top_k:
                     reason = "top_k"
                 elif documents.get(r.document_id, 0) >= r.per_document:
                     reason = "per_document_limit"
-                elif nodes.get(r.node_id, 0) >= (3 if r.query_class == "compare" else 2):
+                elif node is not None and nodes.get(node, 0) >= (3 if r.query_class == "compare" else 2):
                     reason = "duplicate_section"
-                elif r.prefer_diversity and r.section_key in sections and len(sections) < r.diversity:
+                elif r.prefer_diversity and section in sections and len(sections) < r.diversity:
                     reason = "duplicate_section"
-                elif r.query_class == "summary" and r.content_kind == "table_row" and r.structure_group in groups:
+                elif r.query_class == "summary" and r.content_kind == "table_row" and (r.structure_group or "") in groups:
                     reason = "low_incremental_value"
-                elif r.structure_group in groups and r.content_kind in ("table_row", "equation") and r.query_class != "compare":
+                elif r.structure_group and r.structure_group in groups and r.content_kind in ("table_row", "equation") and r.query_class != "compare":
                     reason = "duplicate_section"
                 elif r.min_new_terms > 0 and chosen and len(fresh - seen) < r.min_new_terms:
                     reason = "low_incremental_value"
                 elif chosen and total + cost > r.budget:
                     reason = "token_budget"
                 else:
-                    role = "primary" if not chosen else "supporting" if (r.section_key not in sections and len(sections) < r.diversity) or r.query_class in ("summary", "compare", "why", "conclusion") else "supplemental"
+                    wide = (r.section_key not in sections and len(sections) < r.diversity) or r.query_class in BROAD
+                    role = ROLES.get(relation) or ("primary" if not chosen else "supporting" if wide else "supplemental")
                     chosen += 1
                     total += cost
                     documents[r.document_id] = documents.get(r.document_id, 0) + 1
-                    nodes[r.node_id] = nodes.get(r.node_id, 0) + 1
-                    sections.add(r.section_key)
+                    if node is not None:
+                        nodes[node] = nodes.get(node, 0) + 1
+                    sections.add(section)
                     seen |= fresh
-                    if r.structure_group:
-                        groups.add(r.structure_group)
+                    groups.add(r.structure_group or "")
             out.append((r.query_id, r.chunk_id, r.rank, chosen if role else None, role, reason, total))
         return pd.DataFrame(out, columns=columns).astype({"slot": "Int32"})
 

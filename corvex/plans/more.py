@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from corvex.functions import payload as Y
 from corvex.operators import chunking as C
+from corvex.operators import evaluation as V
 from corvex.plans.base import CHUNKS_SQL, DOCS_SQL, LINES_SQL, chunks, documents, lines, query, table
 from corvex.plans.evaluation import items
 from corvex.plans.relational import JOBS_SQL, jobs
@@ -27,10 +28,22 @@ def usage_buckets(spark, sf):
     return table(spark, sf, "events").groupBy(F.col("event_type").alias("bucket")).agg(F.count("*").alias("requests"), F.round(F.sum("value"), 4).alias("tokens"))
 
 
-@query("e23_run_records", "SELECT conv_id, turn, coalesce(CASE WHEN role = 'assistant' THEN left(text, 80) END, '') AS answer, CASE WHEN role = 'assistant' THEN 'ok' ELSE 'error' END AS status FROM conversations")
+@query("e23_run_records", """WITH t AS (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS by_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+  r AS (SELECT *, CASE WHEN answer IS NULL THEN 'no answer' WHEN by_role <> 'assistant' THEN 'answered by ' || by_role END AS error FROM t)
+  SELECT conv_id, turn, text AS question, conv_id % 5 <> 0 AS should_be_answerable, CASE WHEN error IS NULL THEN conv_id % 2 = 0 END AS top1_hit, CASE WHEN error IS NULL THEN turn % 3 <> 0 END AS top3_hit, CASE WHEN error IS NULL THEN 1 ELSE 0 END AS n_sections,
+    CASE WHEN error IS NULL THEN answer ELSE '' END AS answer, CASE WHEN error IS NULL THEN length(answer) ELSE 0 END::BIGINT AS latency_ms, CASE WHEN error IS NULL THEN length(text) + length(answer) ELSE 0 END::BIGINT AS total_tokens,
+    CASE WHEN error IS NULL THEN length(answer) / 1000 ELSE 0 END::DOUBLE AS estimated_cost_usd, error FROM r""")
 def run_records(spark, sf):
-    done = F.col("role") == "assistant"
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(F.when(done, F.left("text", F.lit(80))), F.lit("")).alias("answer"), F.when(done, "ok").otherwise("error").alias("status"))
+    """Every turn as a question, the next turn as its answer, whole; a turn without one, or one that the user gives, is an error record."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, sf, "conversations").withColumn("answer", F.lead("text").over(w)).withColumn("by", F.lead("role").over(w))
+    error = F.when(F.col("answer").isNull(), "no answer").when(F.col("by") != "assistant", F.concat(F.lit("answered by "), "by"))
+    size = lambda c: F.char_length(c).cast("long")
+    record = V.run_record(
+        F.col("text"), F.col("conv_id") % 5 != 0, F.col("answer"), F.array("role"), F.array(F.col("turn").cast("int")), F.array("conv_id"), F.col("conv_id") % 2 == 0, F.col("turn") % 3 != 0,
+        size("answer"), (size("text"), size("answer")), size("answer") / 1000, error)
+    r = t.select("conv_id", "turn", record.alias("r"))
+    return r.select("conv_id", "turn", "r.question", "r.should_be_answerable", "r.retrieval.top1_hit", "r.retrieval.top3_hit", F.size("r.retrieval.retrieved_sections").alias("n_sections"), "r.answer", "r.latency_ms", "r.usage.total_tokens", "r.usage.estimated_cost_usd", "r.error")
 
 
 @query("f06_list_ranks", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")

@@ -250,8 +250,9 @@ def context(spark, sf):
     rows = rows.join(parents, "node_id", "left")
     path = F.concat_ws(" > ", "title", "section_title")
     group = F.when(F.col("content_kind").isin("table_row", "equation"), F.concat_ws(":", "content_kind", "node_id"))
+    gate = F.bool_or(F.col("node_id").isNotNull()).over(Window.partitionBy("query_id"))
     return S.select_context(rows.select(
-        "query_id", "chunk_id", "rank", "document_id", "node_id", F.col("node_id").alias("parent_id"), F.lower(path).alias("section_key"), "content_kind", group.alias("structure_group"), "content", "parent_content",
+        "query_id", "chunk_id", "rank", "document_id", "node_id", F.col("node_id").alias("parent_id"), F.lower(path).alias("section_key"), F.concat(F.lit("parent-node:"), "parent_node_id").alias("structure_key"), "relation", gate.alias("graph_enabled"), "content_kind", group.alias("structure_group"), "content", "parent_content",
         S.source_block(F.lit(1), F.col("title"), path, F.col("page_number"), F.col("content_kind"), F.coalesce("parent_content", "content")).alias("block"),
         "s.query_class", "s.top_k", "s.per_document", "s.budget", "s.diversity", "s.prefer_diversity", "s.min_new_terms"))
 
