@@ -217,7 +217,7 @@ def expand_graph(seeds: DataFrame, relations: DataFrame, most_seeds: int = 6) ->
     """Candidates after expansion: seeds (query_id, chunk_id, score, rank) and, for the best, what relations (chunk_id, relation, to_id) reach.
 
     A reached chunk has the seed's score times the relation's decay; of several ways the highest score and the first relation count.
-    A seed with a column follows (array of relation names) follows these alone.
+    A seed with a column follows (array of relation names) follows these alone; with a column deepest, no relation of a greater depth.
     """
     decay = F.create_map(*(x for k, v in DECAY.items() for x in (F.lit(k), F.lit(v))))
     order = F.create_map(*(x for i, k in enumerate(DECAY) for x in (F.lit(k), F.lit(i))))
@@ -225,6 +225,8 @@ def expand_graph(seeds: DataFrame, relations: DataFrame, most_seeds: int = 6) ->
     best = seeds.where(F.col("rank") <= most_seeds).join(relations, "chunk_id")
     if "follows" in seeds.columns:
         best = best.where(F.array_contains("follows", F.col("relation")))
+    if "deepest" in seeds.columns:
+        best = best.where(F.col("depth") <= F.col("deepest"))
     reached = best.select("query_id", F.col("to_id").alias("chunk_id"), F.round(F.col("score") * decay[F.col("relation")], 8).alias("score"), "relation", F.col("rank").alias("seed_rank"))
     every = start.unionByName(reached)
     first = F.min_by("relation", F.struct((F.col("relation") != "seed").cast("int"), "seed_rank", order[F.col("relation")]))

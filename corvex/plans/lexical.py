@@ -79,7 +79,7 @@ def lexemes(spark, sf):
 
 
 _SPLIT = f"list_filter(string_split_regex(text, '{T.WS}+'), lambda w: w <> '')"
-_FORMS = """form AS (SELECT *, (conv_id + turn) % 4 AS f FROM (SELECT conv_id, turn, conv_id * 1000 + turn AS query_id, w[1] AS w1, w[2] AS w2, l[1] AS l1, l[2] AS l2, l[3] AS l3 FROM (
+FORMS_SQL = """form AS (SELECT *, (conv_id + turn) % 4 AS f FROM (SELECT conv_id, turn, conv_id * 1000 + turn AS query_id, w[1] AS w1, w[2] AS w2, l[1] AS l1, l[2] AS l2, l[3] AS l3 FROM (
     SELECT conv_id, turn, w, list_transform(list_sort(list_distinct(list_transform(w, lambda x: [lpad((1000 - length(x))::VARCHAR, 4, '0'), x]))), lambda y: y[2]) AS l FROM (SELECT conv_id, turn, """ + _SPLIT + """ AS w FROM conversations)) WHERE len(l) >= 3)),
   part AS (SELECT query_id, x.* FROM (SELECT query_id, unnest(CASE f
     WHEN 0 THEN [{'branch': 1, 'item': 1, 'unwanted': false, 't': w1 || ' ' || w2}, {'branch': 2, 'item': 2, 'unwanted': false, 't': l1}, {'branch': 2, 'item': 3, 'unwanted': true, 't': l2}]
@@ -102,7 +102,7 @@ def search_questions(spark, sf):
     return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), text.alias("question"))
 
 
-@query("d05_search_syntax", f"""WITH {CHUNKS_SQL}, {_FORMS}, ptok AS ({located_sql('part', 'query_id, branch, item, unwanted', 't')}), tok AS ({located_sql('chunks', 'chunk_id', 'content')}),{stems_sql('SELECT word FROM tok UNION SELECT word FROM ptok')},
+@query("d05_search_syntax", f"""WITH {CHUNKS_SQL}, {FORMS_SQL}, ptok AS ({located_sql('part', 'query_id, branch, item, unwanted', 't')}), tok AS ({located_sql('chunks', 'chunk_id', 'content')}),{stems_sql('SELECT word FROM tok UNION SELECT word FROM ptok')},
   item AS (SELECT DISTINCT query_id, branch, item, unwanted, lexeme, pos FROM ptok JOIN stems USING (word)),
   placed AS (SELECT *, pos - min(pos) OVER (PARTITION BY query_id, item) AS shift, count(*) OVER (PARTITION BY query_id, item) AS n FROM item),
   post AS (SELECT chunk_id, lexeme, pos FROM tok JOIN stems USING (word) WHERE lexeme IN (SELECT lexeme FROM item)),
@@ -115,10 +115,15 @@ def search_syntax(spark, sf):
     return L.search(search_questions(spark, sf), index(spark, sf)).select("query_id", "chunk_id")
 
 
-@query("d06_turn_rank", f"WITH {CHUNKS_SQL}, {_FORMS}, questions AS (SELECT query_id, w1 || ' ' || l1 || ' or ' || l2 || ' ' || l3 || ' or ' || w2 AS question FROM form), {LEX_SQL} SELECT * FROM lex")
-def turn_rank(spark, sf):
-    """The 24 best chunks for words of every turn of a conversation."""
+def turn_questions(spark, sf):
+    """Words of every turn of a conversation with three different ones, joined by `or` in part."""
     w = T.words(F.col("text"))
     ordered = F.transform(F.array_sort(F.array_distinct(F.transform(w, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x"))))), lambda y: y["x"])
     t = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), w.alias("w"), ordered.alias("l")).where(F.size("l") >= 3)
-    return L.search_top_k(t.select("query_id", F.concat(F.col("w")[0], F.lit(" "), F.col("l")[0], F.lit(" or "), F.col("l")[1], F.lit(" "), F.col("l")[2], F.lit(" or "), F.col("w")[1]).alias("question")), index(spark, sf))
+    return t.select("query_id", F.concat(F.col("w")[0], F.lit(" "), F.col("l")[0], F.lit(" or "), F.col("l")[1], F.lit(" "), F.col("l")[2], F.lit(" or "), F.col("w")[1]).alias("question"))
+
+
+@query("d06_turn_rank", f"WITH {CHUNKS_SQL}, {FORMS_SQL}, questions AS (SELECT query_id, w1 || ' ' || l1 || ' or ' || l2 || ' ' || l3 || ' or ' || w2 AS question FROM form), {LEX_SQL} SELECT * FROM lex")
+def turn_rank(spark, sf):
+    """The 24 best chunks for words of every turn of a conversation."""
+    return L.search_top_k(turn_questions(spark, sf), index(spark, sf))

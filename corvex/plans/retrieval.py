@@ -139,16 +139,16 @@ def query_features(spark, sf):
     return _asked(spark, sf).select("conv_id", "turn", *(c.alias(n) for n, c in f.items()))
 
 
-_CLASS = f"""CASE WHEN {_has('unanswerable')} THEN 'unsupported_probe' WHEN {_has('conclusion')} THEN 'conclusion' WHEN {_has('summary')} THEN 'summary' WHEN {_has('compare')} THEN 'compare' WHEN {_has('why')} THEN 'why'
+CLASS_SQL = f"""CASE WHEN {_has('unanswerable')} THEN 'unsupported_probe' WHEN {_has('conclusion')} THEN 'conclusion' WHEN {_has('summary')} THEN 'summary' WHEN {_has('compare')} THEN 'compare' WHEN {_has('why')} THEN 'why'
   WHEN {_NUMBER} OR {_DATE} OR {_has('table')} OR {_has('equation')} OR {' OR '.join(f"contains(lower(x), '{p}')" for p in Q.NUMERIC_PHRASES)} THEN 'numeric_detail' ELSE 'fact' END"""
 
 
-@query("d10_query_class", f"WITH {_ASKED_SQL} SELECT conv_id, turn, {_CLASS} AS query_class FROM asked")
+@query("d10_query_class", f"WITH {_ASKED_SQL} SELECT conv_id, turn, {CLASS_SQL} AS query_class FROM asked")
 def query_class(spark, sf):
     return Q.with_strategy(_asked(spark, sf), "x").select("conv_id", "turn", "query_class")
 
 
-@query("d11_query_strategy", f"""WITH {_ASKED_SQL}, c AS (SELECT *, {_CLASS} AS c FROM asked) SELECT conv_id, turn, c AS query_class,
+@query("d11_query_strategy", f"""WITH {_ASKED_SQL}, c AS (SELECT *, {CLASS_SQL} AS c FROM asked) SELECT conv_id, turn, c AS query_class,
   round(CASE c WHEN 'fact' THEN 0.95 WHEN 'numeric_detail' THEN 0.85 WHEN 'summary' THEN 1.0 WHEN 'why' THEN 1.05 WHEN 'conclusion' THEN 1.05 ELSE 1.0 END::DOUBLE + CASE WHEN contains(lower(x), 'according to') THEN 0.05 ELSE 0 END, 4) AS vector_weight,
   round(CASE WHEN c IN ('fact','numeric_detail') THEN CASE WHEN {_NUMBER} OR {_DATE} THEN 1.1 ELSE 1.0 END + CASE WHEN {_has('table')} OR {_has('equation')} OR {_has('algorithm')} THEN 0.15 ELSE 0 END WHEN c = 'summary' THEN 0.75 WHEN c IN ('why','conclusion') THEN 0.8 ELSE 0.85 END::DOUBLE + CASE WHEN len({_SECTION_LIST}) > 0 THEN 0.1 ELSE 0 END, 4) AS fts_weight,
   CASE WHEN c IN ('fact','numeric_detail') THEN NOT ({_NUMBER} OR {_DATE}) ELSE c <> 'unsupported_probe' END AS allow_rewrite,
@@ -159,7 +159,7 @@ def query_strategy(spark, sf):
 
 
 # The class of every question, and whether it asks for tables or equations.
-CLASSES_SQL = f"""classes AS (SELECT *, {_CLASS} AS c, {_has('table')} AS has_table, {_has('equation')} AS has_equation, {_NUMBER} OR {_DATE} AS dated FROM (SELECT query_id, question AS x FROM questions))"""
+CLASSES_SQL = f"""classes AS (SELECT *, {CLASS_SQL} AS c, {_has('table')} AS has_table, {_has('equation')} AS has_equation, {_NUMBER} OR {_DATE} AS dated FROM (SELECT query_id, question AS x FROM questions))"""
 
 
 @query("d12_rewrite_trigger", f"""WITH {CHUNKS_SQL}, {FUSED_SQL}, {CLASSES_SQL}, found AS (SELECT query_id, max(fused) < 0.018 OR count(DISTINCT chunk_id // 100000) < 2 AS low FROM ranked GROUP BY query_id)

@@ -214,7 +214,7 @@ def parse_markdown(raw: bytes) -> list[dict]:
 
     while i < len(lines):
         line = lines[i]
-        if m := re.match(r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$", line):
+        if m := re.match(r"^ {0,3}(#{1,6})\s+(.*?)(?:\s+#+)?\s*$", line):
             flush()
             out.add("heading", m[2], len(m[1]))
         elif m := re.match(r"^\s*(```+|~~~+)", line):
