@@ -14,13 +14,29 @@ def requests(spark, sf):
     return e.select(F.col("event_id").alias("request_id"), F.concat_ws(":", F.lit("w"), F.col("user_id") % 5, profile).alias("key"), profile.alias("profile"), F.date_trunc("second", F.timestamp_seconds(F.unix_timestamp("ts") / 60)).alias("ts"))
 
 
-@query("m01_rate_limit")
+# Request by request of every key, the allowed ones of the last minute carried along.
+_LIMIT_SQL = """WITH RECURSIVE q AS (SELECT event_id AS request_id, 'w:' || (user_id % 5) || ':' || p AS key, CASE p WHEN 'reasoning' THEN 10 WHEN 'fast' THEN 30 ELSE 120 END AS lim, floor(epoch(ts) / 60) AS t
+    FROM (SELECT *, CASE event_type WHEN 'error' THEN 'reasoning' WHEN 'view' THEN 'fast' ELSE 'default' END AS p FROM events)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, request_id) AS n FROM q),
+  walk AS (SELECT key, n, request_id, [t] AS log, true AS allowed, lim - 1 AS remaining, 0 AS retry_after FROM r WHERE n = 1
+    UNION ALL SELECT key, n, request_id, CASE WHEN len(live) < lim THEN list_append(live, t) ELSE live END, len(live) < lim, CASE WHEN len(live) < lim THEN lim - len(live) - 1 ELSE 0 END, CASE WHEN len(live) < lim THEN 0 ELSE greatest(floor(60 - (t - live[1]))::INT, 1) END
+    FROM (SELECT r.*, list_filter(w.log, lambda x: x > r.t - 60) AS live FROM walk w JOIN r ON r.key = w.key AND r.n = w.n + 1))
+  SELECT request_id, key, allowed, remaining::INT AS remaining, retry_after::INT AS retry_after FROM walk"""
+_CLAIM_SQL = """WITH RECURSIVE q AS (SELECT event_id AS request_id, user_id AS key, sha256((trunc(value)::INT % 2)::VARCHAR) AS h, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'in_progress' ELSE 'completed' END AS outcome, epoch(ts)::DOUBLE AS t FROM events),
+  r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, request_id) AS n FROM q),
+  walk AS (SELECT key, n, request_id, h AS hash, outcome AS status, t AS locked, 'new' AS result FROM r WHERE n = 1
+    UNION ALL SELECT key, n, request_id, CASE WHEN taken THEN h ELSE hash END, CASE WHEN taken THEN outcome ELSE status END, CASE WHEN taken THEN t ELSE locked END, CASE WHEN taken THEN 'reclaimed' WHEN hash = h AND status = 'completed' THEN 'replay' ELSE 'conflict' END
+    FROM (SELECT r.*, w.hash, w.status, w.locked, w.locked + 86400 <= r.t OR (w.hash = r.h AND (w.status = 'failed' OR (w.status = 'in_progress' AND r.t - w.locked >= 900))) AS taken FROM walk w JOIN r ON r.key = w.key AND r.n = w.n + 1))
+  SELECT request_id, result FROM walk"""
+
+
+@query("m01_rate_limit", _LIMIT_SQL)
 def rate_limit(spark, sf):
     """Event times run sixty times as fast, so that limits are met."""
     return limits.rate_limit(requests(spark, sf))
 
 
-@query("l04_idempotency_claims")
+@query("l04_idempotency_claims", _CLAIM_SQL)
 def idempotency_claims(spark, sf):
     e = table(spark, sf, "events")
     outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "in_progress").otherwise("completed")
