@@ -6,13 +6,13 @@ and deletion, a non-blank line is a block, five line positions are a section, an
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvex.shared import written  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -33,20 +33,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table under spark.checkpoint.dir, for plans that read it several times; a folder of its own only where a local master has none set."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder}/corvex-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     sensitivity = F.element_at(F.array(*map(F.lit, ("public", "internal", "confidential", "restricted"))), (F.col("doc_id") % 4 + 1).cast("int"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from corvex.plans.base import query, table
+from corvex.operators.chunking import ordered_text
+from corvex.plans.base import LINES_SQL, lines, query, table, written
+from corvex.shared import shared_dir
 from corvex.streaming import limits, metrics
+from corvex.streaming.ingestion import Ingestion
 
 
 def requests(spark, sf):
@@ -94,3 +99,21 @@ def expired_claims(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", F.unix_timestamp("ts").alias("at"))
     gap = F.col("at") - F.lag("at").over(Window.partitionBy("user_id").orderBy("at", "event_id"))
     return e.withColumn("gap", gap).groupBy("user_id").agg(F.count_if(F.col("gap") > 86400).alias("expired"), F.count_if(F.col("gap").between(900, 86400)).alias("stale"))
+
+
+@query("m10_ingestion", f"""WITH {LINES_SQL}, n AS (SELECT document_id, count(*) FILTER (order_index % 20 <> 0) AS n FROM lines GROUP BY document_id)
+  SELECT document_id::VARCHAR AS document_id, CASE WHEN document_id % 11 = 0 THEN 'dead' ELSE 'ready' END AS status, CASE WHEN document_id % 11 = 0 THEN 3 ELSE 1 END AS attempt,
+    CASE WHEN document_id % 11 = 0 THEN 0 WHEN document_id % 5 = 0 AND document_id % 3 < 2 THEN 1 ELSE n END AS n_chunks FROM n""")
+def ingestion(spark, sf):
+    """Every document through the stages in three batches; every fifth comes again, shorter, in the last; every eleventh is of a type without a parser, and given up."""
+    own = lines(spark, sf)
+    i = F.col("document_id")
+    text = ordered_text("order_index", F.concat(F.when(F.col("order_index") % 20 == 0, "# ").otherwise(""), "content"), "\n\n")
+    kind = F.when(i % 11 == 0, "pdf").otherwise("markdown")
+    first = own.groupBy("document_id").agg(text.cast("binary").alias("content")).select(i.cast("string").alias("document_id"), kind.alias("source_type"), "content", F.lit(1).alias("version"), (i % 3).alias("batch"))
+    again = own.where("document_id % 5 = 0 AND document_id % 3 < 2").select("document_id").distinct().select(i.cast("string").alias("document_id"), kind.alias("source_type"), F.lit("again").cast("binary").alias("content"), F.lit(2).alias("version"), F.lit(2).cast("long").alias("batch"))
+    files = written(first.unionByName(again), "files")
+    run = Ingestion(spark, f"{shared_dir(spark)}/corvex-ingestion-{uuid.uuid4().hex}")
+    for batch in range(6):  # the last three only retry
+        run.run_batch(files.where(F.col("batch") == batch).drop("batch"), batch)
+    return run.statuses().select("document_id", "status", "attempt", "n_chunks")
