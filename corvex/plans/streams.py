@@ -41,11 +41,26 @@ def rate_limit(spark, sf):
     return limits.rate_limit(requests(spark, sf))
 
 
-@query("l04_idempotency_claims", _CLAIM_SQL)
-def idempotency_claims(spark, sf):
+def claims(spark, sf):
     e = table(spark, sf, "events")
     outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "in_progress").otherwise("completed")
-    return limits.idempotency(e.select(F.col("event_id").alias("request_id"), F.concat(F.lit("k"), "user_id").alias("key"), F.sha2((F.col("value").cast("int") % 2).cast("string"), 256).alias("request_hash"), outcome.alias("outcome"), "ts"))
+    return e.select(F.col("event_id").alias("request_id"), F.concat(F.lit("k"), "user_id").alias("key"), F.sha2((F.col("value").cast("int") % 2).cast("string"), 256).alias("request_hash"), outcome.alias("outcome"), "ts", "event_type")
+
+
+@query("l04_idempotency_claims", _CLAIM_SQL)
+def idempotency_claims(spark, sf):
+    return limits.idempotency(claims(spark, sf))
+
+
+@query("n06_replayed_responses", _CLAIM_SQL.replace("SELECT request_id, result FROM walk", """, a AS (SELECT w.request_id, w.key, w.n, result, CASE WHEN result IN ('new', 'reclaimed') AND outcome = 'completed' THEN 'done:' || event_type || ':' || w.request_id END AS own FROM walk w JOIN r USING (request_id) JOIN events ON event_id = w.request_id),
+  h AS (SELECT *, max(CASE WHEN result IN ('new', 'reclaimed') THEN n END) OVER (PARTITION BY key ORDER BY n) AS holder FROM a)
+  SELECT h.request_id, h.result, CASE WHEN h.result IN ('new', 'reclaimed') THEN h.own WHEN h.result = 'replay' THEN o.own || ' again for ' || h.request_id END AS response,
+    string_split(CASE WHEN h.result IN ('new', 'reclaimed') THEN h.own WHEN h.result = 'replay' THEN o.own || ' again for ' || h.request_id END, ':')[2] AS resource_id FROM h LEFT JOIN a o ON o.key = h.key AND o.n = h.holder"""))
+def replayed_responses(spark, sf):
+    """Responses made, transformed on replay, and read for their resource by callbacks."""
+    return limits.respond(
+        claims(spark, sf), lambda r: F.concat_ws(":", F.lit("done"), r["event_type"], r["request_id"]), lambda response, r: F.concat(response, F.lit(" again for "), r["request_id"]),
+        lambda response: F.split(response, ":")[1])
 
 
 @query("l04_first_claims", "SELECT user_id, min(event_id) AS event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1 GROUP BY user_id")

@@ -7,10 +7,10 @@ bounded (the limit's log, one claim), and rows stream through without gathering
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -93,3 +93,20 @@ def idempotency(requests: DataFrame) -> DataFrame:
 
     timed = requests.select("request_id", "key", "request_hash", "outcome", F.col("ts").cast("timestamp").cast("double").alias("at"))
     return timed.repartition("key").sortWithinPartitions("key", "at", "request_id").mapInPandas(fold, "request_id long, result string")
+
+
+def respond(requests: DataFrame, execute: Callable[[DataFrame], Column], replay: Callable[[Column, DataFrame], Column] | None = None, resource_id: Callable[[Column], Column] | None = None) -> DataFrame:
+    """request_id, result, response and resource_id of each claim (as `idempotency`).
+
+    A new or reclaimed request is executed: `execute` makes its response from the request's columns. A replay gets the
+    response of the request that holds the claim, passed through `replay`, if one is given; a conflict gets none, and so does
+    a request whose outcome is not completed. `resource_id` reads the resource's id from a response. The callbacks give columns.
+    """
+    decided = requests.join(idempotency(requests), "request_id")
+    done = F.col("result").isin("new", "reclaimed")
+    own = decided.withColumn("__done", done).withColumn("__own", F.when(done & (F.col("outcome") == "completed"), execute(decided)))
+    order = Window.partitionBy("key").orderBy(F.col("ts").cast("timestamp"), "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    held = own.withColumn("__held", F.last(F.when(F.col("__done"), F.struct(F.col("__own").alias("response"))), ignorenulls=True).over(order)["response"])
+    again = replay(F.col("__held"), held) if replay else F.col("__held")
+    answered = held.withColumn("response", F.when(F.col("__done"), F.col("__own")).when(F.col("result") == "replay", again))
+    return answered.select("request_id", "result", "response", (resource_id(F.col("response")) if resource_id else F.lit(None).cast("string")).alias("resource_id"))
