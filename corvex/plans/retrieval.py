@@ -183,7 +183,18 @@ def _boost():
     return S.structural_boost(*map(F.col, ("question", "f", "q_terms", "section_title", "content", "content_kind")), labels)
 
 
-@query("d08_structural_boosts")
+_TERMS = "list_filter(list_transform(string_split_regex({x}, '" + _WS + "+'), lambda w: lower(trim(w, '.,!?;:-_()[]{}''\"'))), lambda w: length(w) > 2)"
+_LABELS = " + ".join(f"CASE WHEN regexp_extract(content, '{p}', 1) <> '' AND contains(lower(x), lower(regexp_extract(content, '{p}', 1))) THEN 0.08 ELSE 0 END::DOUBLE" for p in (T.EQUATION_LABEL, T.TABLE_LABEL, T.FIGURE_LABEL, T.ALGORITHM_LABEL))
+_BOOST_SQL = f"""asked AS (SELECT query_id, question AS x, list_distinct({_TERMS.replace('{x}', 'question')}) AS q_terms FROM questions),
+  worded AS (SELECT chunk_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS pos FROM (SELECT chunk_id, {_TERMS.replace('{x}', 'content')} AS terms FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM ranked))),
+  slots AS (SELECT chunk_id, list(term) AS slots FROM (SELECT chunk_id, term, row_number() OVER (PARTITION BY chunk_id ORDER BY count(*) DESC, min(pos)) AS n FROM worded GROUP BY chunk_id, term) WHERE n <= {S.SLOT_TEXT} GROUP BY chunk_id),
+  parts AS (SELECT query_id, chunk_id, fused, x, q_terms, content, content_kind, section_title, list_distinct({_TERMS.replace('{x}', 'section_title')}) AS s_terms, coalesce(slots, []) AS slots FROM ranked JOIN asked USING (query_id) JOIN chunks USING (chunk_id) LEFT JOIN slots USING (chunk_id))"""
+
+
+@query("d08_structural_boosts", f"""WITH {CHUNKS_SQL}, {FUSED_SQL}, {_BOOST_SQL} SELECT query_id, chunk_id, fused, CASE WHEN len(q_terms) = 0 THEN 0.0 ELSE round(least(0.12::DOUBLE, len(list_intersect(q_terms, s_terms)) * 0.03::DOUBLE) + least(0.08::DOUBLE, len(list_intersect(q_terms, slots)) * 0.01::DOUBLE)
+    + CASE WHEN contains(lower(x), lower(section_title)) THEN 0.08 ELSE 0 END::DOUBLE + least(0.16::DOUBLE, len(list_intersect({_SECTION_LIST}, s_terms)) * 0.05::DOUBLE)
+    + CASE WHEN regexp_matches(x, '[''\"]([^''\"]{{3,}})[''\"]') AND contains(lower(content), lower(regexp_extract(x, '[''\"]([^''\"]{{3,}})[''\"]', 1))) THEN 0.08 ELSE 0 END::DOUBLE
+    + CASE WHEN {_has('table')} AND content_kind = 'table_row' THEN 0.12 ELSE 0 END::DOUBLE + CASE WHEN {_has('equation')} AND content_kind = 'equation' THEN 0.12 ELSE 0 END::DOUBLE + {_LABELS}, 6) END AS boost FROM parts""")
 def structural_boosts(spark, sf):
     return candidates(spark, sf).select("query_id", "chunk_id", "fused", _boost().alias("boost"))
 
