@@ -254,7 +254,7 @@ def test_item_passes(spark):
     got = pdf_items.items_to_blocks(items, spark.createDataFrame([(1, "My Paper")], "doc_id long, title string")).orderBy("order_index").collect()
     assert [(r.block_type, r.content, r.section_path) for r in got] == [
         ("front_matter", "My Paper", []), ("front_matter", "Jane Roe", []), ("heading", "1. Introduction", ["1. Introduction"]), ("paragraph", "Some long plain words follow here in a row of text", ["1. Introduction"]),
-        ("heading", "1.1 Data And Methods", ["1. Introduction", "1.1 Data And Methods"]), ("equation", "x = y + ( z )", ["1. Introduction", "1.1 Data And Methods"]),
+        ("heading", "1.1 Data And Methods", ["1. Introduction", "1.1 Data And Methods"]), ("equation", "x = y + (z)", ["1. Introduction", "1.1 Data And Methods"]),
         ("heading", "REFERENCES", ["REFERENCES"]), ("reference", "[1] A book", ["REFERENCES"])]
 
 
