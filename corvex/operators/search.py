@@ -309,3 +309,24 @@ def select_context(candidates: DataFrame, threshold: float = 0.92) -> DataFrame:
 def source_block(slot, title, path, page, kind, content):
     line = lambda label, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(label), value))
     return F.concat_ws("\n", F.concat(F.lit("[source:"), slot.cast("string"), F.lit("] Document: "), title), line("Section Path: ", path), line("Page: ", page.cast("string")), line("Content Kind: ", kind), F.lit(""), content)
+
+
+def stage_trace(fused: DataFrame, context: DataFrame, chunks: DataFrame, length: int = 80) -> DataFrame:
+    """query_id, stage, n and preview: how many candidates each retrieval stage leaves, and the start of its first one's text.
+
+    fused: query_id, chunk_id, vector_rank, fts_rank, rank, as `fuse` gives it; context: as `select_context` gives it, over
+    what was boosted, widened and reranked. Stages: vector, fts, merged, reranked, deduped, selected. A stage that leaves a
+    question nothing has a row with 0 and no preview, if any stage has something for the question.
+    """
+    row = lambda stage, order, there: F.struct(F.lit(stage).alias("stage"), order.cast("int").alias("at"), there.alias("there"))
+    f = fused.select("query_id", "chunk_id", F.explode(F.array(
+        row("vector", F.col("vector_rank"), F.col("vector_rank").isNotNull()), row("fts", F.col("fts_rank"), F.col("fts_rank").isNotNull()), row("merged", F.col("rank"), F.lit(True)))).alias("x"))
+    c = context.select("query_id", "chunk_id", F.explode(F.array(
+        row("reranked", F.col("rank"), F.lit(True)), row("deduped", F.col("rank"), F.coalesce(F.col("reason") != "duplicate", F.lit(True))), row("selected", F.col("slot"), F.col("slot").isNotNull()))).alias("x"))
+    every = f.unionByName(c)
+    first = F.min_by("chunk_id", F.when(F.col("x.there"), F.col("x.at")))
+    counts = every.groupBy("query_id", "x.stage").agg(F.count_if("x.there").alias("n"), F.when(F.count_if("x.there") > 0, first).alias("chunk_id"))
+    stages = F.explode(F.array(*map(F.lit, ("vector", "fts", "merged", "reranked", "deduped", "selected"))))
+    full = every.select("query_id").distinct().select("query_id", stages.alias("stage")).join(counts, ["query_id", "stage"], "left")
+    shown = full.join(chunks.select("chunk_id", T.preview(F.col("content"), length).alias("preview")), "chunk_id", "left")
+    return shown.select("query_id", "stage", F.coalesce("n", F.lit(0)).alias("n"), "preview")

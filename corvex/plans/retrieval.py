@@ -322,3 +322,8 @@ def stage_trace(spark, sf):
     f = fused(spark, sf)
     stage = F.explode(F.array_compact(F.array(F.when(F.col("vector_rank").isNotNull(), "vector"), F.when(F.col("fts_rank").isNotNull(), "fts"), F.lit("merged"))))
     return f.select("query_id", stage.alias("stage")).groupBy("query_id", "stage").agg(F.count("*").alias("n"))
+
+
+@query("d24_retrieval_trace")
+def retrieval_trace(spark, sf):
+    return S.stage_trace(fused(spark, sf), context(spark, sf), chunks(spark, sf))

@@ -88,3 +88,13 @@ def test_context_equals_a_plain_model(spark):
     for q in range(300):
         duplicates, chosen = plain_context([r for r in rows if r["query_id"] == q])
         assert got.get(q, []) == chosen and dropped.get(q, set()) == duplicates, q
+
+
+def test_stage_trace(spark):
+    fused = spark.createDataFrame([(1, 10, 1, None, 2), (1, 11, 2, 1, 1), (2, 12, None, 1, 1)], "query_id long, chunk_id long, vector_rank int, fts_rank int, rank int")
+    context = spark.createDataFrame([(1, 10, 2, None, "duplicate"), (1, 11, 3, 1, None), (1, 13, 1, None, "token_budget")], "query_id long, chunk_id long, rank int, slot int, reason string")
+    chunks = spark.createDataFrame([(10, "ten"), (11, "  eleven  words"), (12, "twelve"), (13, "x" * 100)], "chunk_id long, content string")
+    got = {(r.query_id, r.stage): (r.n, r.preview) for r in S.stage_trace(fused, context, chunks, 20).collect()}
+    assert got == {
+        (1, "vector"): (2, "ten"), (1, "fts"): (1, "eleven words"), (1, "merged"): (2, "eleven words"), (1, "reranked"): (3, "x" * 17 + "..."), (1, "deduped"): (2, "x" * 17 + "..."), (1, "selected"): (1, "eleven words"),
+        (2, "vector"): (0, None), (2, "fts"): (1, "twelve"), (2, "merged"): (1, "twelve"), (2, "reranked"): (0, None), (2, "deduped"): (0, None), (2, "selected"): (0, None)}
