@@ -116,14 +116,14 @@ def search_syntax(spark, sf):
 
 
 def turn_questions(spark, sf):
-    """Words of every turn of a conversation with three different ones, joined by `or` in part."""
+    """The longest words of every turn of a conversation with three different ones: the first with the turn's first word, or the second, or the third."""
     w = T.words(F.col("text"))
     ordered = F.transform(F.array_sort(F.array_distinct(F.transform(w, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x"))))), lambda y: y["x"])
     t = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), w.alias("w"), ordered.alias("l")).where(F.size("l") >= 3)
-    return t.select("query_id", F.concat(F.col("w")[0], F.lit(" "), F.col("l")[0], F.lit(" or "), F.col("l")[1], F.lit(" "), F.col("l")[2], F.lit(" or "), F.col("w")[1]).alias("question"))
+    return t.select("query_id", F.concat(F.col("w")[0], F.lit(" "), F.col("l")[0], F.lit(" or "), F.col("l")[1], F.lit(" or "), F.col("l")[2]).alias("question"))
 
 
-@query("d06_turn_rank", f"WITH {CHUNKS_SQL}, {FORMS_SQL}, questions AS (SELECT query_id, w1 || ' ' || l1 || ' or ' || l2 || ' ' || l3 || ' or ' || w2 AS question FROM form), {LEX_SQL} SELECT * FROM lex")
+@query("d06_turn_rank", f"WITH {CHUNKS_SQL}, {FORMS_SQL}, questions AS (SELECT query_id, w1 || ' ' || l1 || ' or ' || l2 || ' or ' || l3 AS question FROM form), {LEX_SQL} SELECT * FROM lex")
 def turn_rank(spark, sf):
     """The 24 best chunks for words of every turn of a conversation."""
     return L.search_top_k(turn_questions(spark, sf), index(spark, sf))

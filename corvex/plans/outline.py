@@ -23,7 +23,7 @@ _BLOCKS = f"""heads AS (SELECT document_id, order_index, trim(regexp_replace(con
   chunks AS (SELECT 'c:' || document_id || ':' || order_index AS chunk_id, document_id, order_index AS chunk_index, content, CASE WHEN len(path) > 0 THEN {_HASH.format('path')} END AS node_id FROM blocks WHERE NOT heading),
   nodes AS (SELECT document_id, {_HASH.format('p')} AS node_id, CASE WHEN len(p) > 1 THEN {_HASH.format('p[:-2]')} END AS parent_node_id, min(order_index) AS block_order,
     CASE WHEN bool_or(NOT heading AND len(p) = len(path)) THEN 'p:' || {_HASH.format('p')} END AS parent_chunk_id FROM (SELECT *, unnest(list_transform(range(1, len(path) + 1), lambda n: path[1:n])) AS p FROM blocks) GROUP BY document_id, p)"""
-_QUESTIONS = f"""{FORMS_SQL}, questions AS (SELECT query_id, w1 || ' ' || l1 || ' or ' || l2 || ' ' || l3 || ' or ' || w2 AS question FROM form),
+_QUESTIONS = f"""{FORMS_SQL}, questions AS (SELECT query_id, w1 || ' ' || l1 || ' or ' || l2 || ' or ' || l3 AS question FROM form),
   classes AS (SELECT query_id, {CLASS_SQL} AS c FROM (SELECT query_id, (list_value('Compare ', 'Summary of ', 'Why ', 'Tell me ', 'What is the main challenge of '))[query_id % 5 + 1] || question AS x FROM questions))"""
 
 
