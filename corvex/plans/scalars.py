@@ -122,7 +122,7 @@ def mean_pooling(spark, sf):
 
 @query("i22_vector_literal", "SELECT vec_id, '[' || list_aggregate(list_transform(embedding, lambda v: printf('%.8f', v::DOUBLE)), 'string_agg', ',') || ']' AS literal FROM embeddings")
 def vector_literal(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda v: F.format_string("%.8f", v.cast("double"))), ","), F.lit("]")).alias("literal"))
+    return table(spark, sf, "embeddings").select("vec_id", T.vector_literal("embedding").alias("literal"))
 
 
 @query("i28_upload_url", "SELECT page_id, regexp_replace(u, '^([a-z]+://[^/]+)(/object/upload/sign/)', '\\1/storage/v1\\2') AS url FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '^([a-z]+://[^/]+)/', '\\1/object/upload/sign/') ELSE url END AS u FROM pages)")

@@ -13,3 +13,9 @@ def test_positional_values_keep_their_digits(spark):
     """An element's place was trimmed from its ends: the eighth of these lost its sevens."""
     row = spark.range(1).select(T.positional_values(F.lit("0: a |1: b| 1: c | 1: d|1: e|1: f|1: g| 1: 555-8977")).alias("v")).head()
     assert row.v == ["a", "b", "c", "d", "e", "f", "g", "555-8977"]
+
+
+def test_vector_literal_rounds_the_exact_value(spark):
+    """Eight decimals of 53/512 are a tie, which goes to the even digit."""
+    rows = spark.createDataFrame([([53 / 512, -1.0, None, 1e-9],), ([],), (None,)], "v array<float>").select(T.vector_literal("v").alias("x")).collect()
+    assert [r.x for r in rows] == ["[0.10351562,-1.00000000,0.00000000]", "[]", None]
