@@ -19,3 +19,14 @@ def test_vector_literal_rounds_the_exact_value(spark):
     """Eight decimals of 53/512 are a tie, which goes to the even digit."""
     rows = spark.createDataFrame([([53 / 512, -1.0, None, 1e-9],), ([],), (None,)], "v array<float>").select(T.vector_literal("v").alias("x")).collect()
     assert [r.x for r in rows] == ["[0.10351562,-1.00000000,0.00000000]", "[]", None]
+
+
+def test_best_of_tiles_equals_brute_force():
+    """Scores come in tiles of bounded size, with ties across tiles."""
+    rng = np.random.default_rng(2)
+    score, number = np.round(rng.random((7, 900)), 1), rng.permutation(900)
+    top = search._Best(7, 24)
+    for at in range(0, 900, 50):
+        top.take(score[:, at : at + 50], number[at : at + 50])
+    want = [(r, *x) for r in range(7) for x in sorted(zip(-score[r], number))[:24]]
+    assert list(zip(top.row, -top.score, top.number)) == want
