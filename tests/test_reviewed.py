@@ -30,3 +30,20 @@ def test_best_of_tiles_equals_brute_force():
         top.take(score[:, at : at + 50], number[at : at + 50])
     want = [(r, *x) for r in range(7) for x in sorted(zip(-score[r], number))[:24]]
     assert list(zip(top.row, -top.score, top.number)) == want
+
+
+def test_required_are_all_vectors_of_the_label(spark, tmp_path):
+    """Not those of 40 ids, nor the next two ids; without a label none. A vector of its own label is found first."""
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist(), None if i == 20 else i % 3) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {}
+    v = np.array([r[1] for r in rows], np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 100, 20):
+        near = np.lexsort((np.arange(100), -np.round(v @ v[q], 6)))[:10]
+        label = rows[q][2]
+        own = [r[0] for r in rows if r[2] == label]
+        want[q] = 1.0 if label is None else round(len(set(own) & set(near.tolist())) / len(own), 6)
+    assert {r.query_id: r.recall for r in QUERIES["e07_recall"](spark, str(tmp_path)).collect()} == want
+    assert {r.query_id: r.rr for r in QUERIES["e09_reciprocal_rank"](spark, str(tmp_path)).collect()} == {0: 1.0, 20: 0.0, 40: 1.0, 60: 1.0, 80: 1.0}
