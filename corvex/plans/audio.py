@@ -9,7 +9,7 @@ from corvex.functions import text as T
 from corvex.operators import audio_search as A
 from corvex.operators import lexical as L
 from corvex.operators import search as S
-from corvex.plans.base import query, table, written
+from corvex.plans.base import query, table
 from corvex.plans.lexical import LEX_SQL
 
 _K = 4
@@ -51,5 +51,5 @@ def audio_context(spark, sf):
     held = s.select("chunk_id", (F.col("document_id") * 2 + F.col("chunk_index")).alias("vec_id")).join(e, "vec_id").select(F.col("chunk_id").alias("vec_id"), "embedding")
     asked = q.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id").select("query_id", "vector")
     near = S.vector_top_k(asked, held, k).select("query_id", F.col("vec_id").alias("chunk_id"), "rank")
-    text = L.search_top_k(q, written(L.index_chunks(s), "lexemes"), k).select("query_id", "chunk_id", "rank")
+    text = L.search_top_k(q, s, k).select("query_id", "chunk_id", "rank")
     return A.audio_context(q, s, near, text, _K)

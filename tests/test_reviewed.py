@@ -4,8 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corvex.catalog import QUERIES, SQL
+from corvex.functions import lexemes
 from corvex.functions import text as T
-from corvex.operators import search
+from corvex.operators import lexical, search
 from tests.oracle import assert_matches, connect
 
 
@@ -25,7 +26,7 @@ def test_best_of_tiles_equals_brute_force():
     """Scores come in tiles of bounded size, with ties across tiles."""
     rng = np.random.default_rng(2)
     score, number = np.round(rng.random((7, 900)), 1), rng.permutation(900)
-    top = search._Best(7, 24)
+    top = search.Best(7, 24)
     for at in range(0, 900, 50):
         top.take(score[:, at : at + 50], number[at : at + 50])
     want = [(r, *x) for r in range(7) for x in sorted(zip(-score[r], number))[:24]]
@@ -47,3 +48,20 @@ def test_required_are_all_vectors_of_the_label(spark, tmp_path):
         want[q] = 1.0 if label is None else round(len(set(own) & set(near.tolist())) / len(own), 6)
     assert {r.query_id: r.recall for r in QUERIES["e07_recall"](spark, str(tmp_path)).collect()} == want
     assert {r.query_id: r.rr for r in QUERIES["e09_reciprocal_rank"](spark, str(tmp_path)).collect()} == {0: 1.0, 20: 0.0, 40: 1.0, 60: 1.0, 80: 1.0}
+
+
+def test_text_search_shuffles_ranks_alone(spark):
+    """Candidates carried their whole vectors through two shuffles; now k rows a task and question are all that moves."""
+    texts = ["cats and a well-known dog", None, "", "dogs, Dogs: fox@den.org", "the cat sat on the hats", *(f"cat hat w{i}" for i in range(60))]
+    chunks = spark.createDataFrame([(f"c:{i}", t) for i, t in enumerate(texts)], "chunk_id string, content string").repartition(3)
+    asked = ["cat or dog", '"known dog" or hat', "cat -hat", "-cat", "dog well-known", None, "or", "w7 or w8 or w9 cat"]
+    questions = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    got = {(r.query_id, r.chunk_id): r.score for r in lexical.search(questions, chunks).collect()}
+    want = {(q, f"c:{c}"): round(x, 6) for q, a in enumerate(asked) if (s := lexical.parse_search(a)) for c, t in enumerate(texts) if (x := lexical.cover_score(s, lexemes.vector(t))) is not None}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert {(r.query_id, r.chunk_id) for r in lexical.search(questions, chunks, scored=False).collect()} == want.keys()
+    best = lexical.search_top_k(questions, chunks, 5)
+    top = [(q, *x) for q in range(len(asked)) for x in sorted((-want[k], k[1]) for k in want if k[0] == q)[:5]]
+    assert sorted((r.query_id, -r.score, r.chunk_id) for r in best.collect()) == sorted(top)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
