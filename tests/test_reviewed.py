@@ -3,11 +3,12 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corvex.catalog import QUERIES, SQL
+from corvex.catalog import QUERIES
 from corvex.functions import lexemes
 from corvex.functions import text as T
 from corvex.operators import lexical, search
-from tests.oracle import assert_matches, connect
+from corvex.plans import retrieval
+from tests.oracle import SF
 
 
 def test_positional_values_keep_their_digits(spark):
@@ -65,3 +66,10 @@ def test_text_search_shuffles_ranks_alone(spark):
     assert sorted((r.query_id, -r.score, r.chunk_id) for r in best.collect()) == sorted(top)
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_fused_candidates_are_written_once(spark):
+    """Joins with the chunks planned shuffles of all texts; a written table's size lets its rows go to the texts."""
+    found = retrieval.candidates(spark, SF)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
