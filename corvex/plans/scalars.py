@@ -85,8 +85,16 @@ _scalar(
     "i15_front_matter", {"front": T.looks_like_front_matter, "index_terms": lambda x: F.startswith(F.lower(x), F.lit("index terms")) | F.startswith(F.lower(x), F.lit("keywords"))},
     {"front": rf"lower(x) LIKE 'index terms%' OR lower(x) LIKE 'keywords%' OR contains(lower(x), 'roll no') OR contains(lower(x), 'department of') OR contains(lower(x), 'university') OR contains(lower(x), 'bsai') OR contains(lower(x), 'bsds') OR contains(lower(x), '@') OR (len({_WORDS}) <= 6 AND len(list_filter({_WORDS}, lambda w: regexp_matches(w, '^\p{{L}}') AND NOT regexp_matches(w, '^\p{{Lu}}'))) = 0)",
      "index_terms": "lower(x) LIKE 'index terms%' OR lower(x) LIKE 'keywords%'"}, marked=True)
+
+
+def _row(x, n: int):
+    """The first three words of a line as headers of the next n. The words are bound once: spelled out, every use would split the line anew."""
+    bound = F.transform(F.array(F.slice(T.words(x), 1, 6)), lambda w: T.format_row(F.slice(w, 1, 3), F.slice(w, 4, n)))
+    return F.get(bound, F.lit(0))
+
+
 _scalar(
-    "i16_table_row", {"full": lambda x: T.format_row(F.slice(T.words(x), 1, 3), F.slice(T.words(x), 4, 3)), "short": lambda x: T.format_row(F.slice(T.words(x), 1, 3), F.slice(T.words(x), 4, 2))},
+    "i16_table_row", {"full": lambda x: _row(x, 3), "short": lambda x: _row(x, 2)},
     {"full": f"(SELECT CASE WHEN len(r) = 0 THEN '' WHEN len(h) = len(r) THEN list_aggregate(list_transform(list_zip(h, r), lambda p: p[1] || ': ' || p[2]), 'string_agg', ' | ') WHEN len(h) > 1 AND len(r) = len(h) - 1 THEN list_aggregate(list_concat([h[1] || ': ' || r[1]], list_transform(list_zip(h[2:], r), lambda p: p[1] || ': ' || p[2])), 'string_agg', ' | ') ELSE list_aggregate(r, 'string_agg', ' | ') END FROM (SELECT ({_WORDS})[1:3] AS h, ({_WORDS})[4:6] AS r))",
      "short": f"(SELECT CASE WHEN len(r) = 0 THEN '' WHEN len(h) = len(r) THEN list_aggregate(list_transform(list_zip(h, r), lambda p: p[1] || ': ' || p[2]), 'string_agg', ' | ') WHEN len(h) > 1 AND len(r) = len(h) - 1 THEN list_aggregate(list_concat([h[1] || ': ' || r[1]], list_transform(list_zip(h[2:], r), lambda p: p[1] || ': ' || p[2])), 'string_agg', ' | ') ELSE list_aggregate(r, 'string_agg', ' | ') END FROM (SELECT ({_WORDS})[1:3] AS h, ({_WORDS})[4:5] AS r))"})
 _scalar(

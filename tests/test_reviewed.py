@@ -73,3 +73,9 @@ def test_fused_candidates_are_written_once(spark):
     found = retrieval.candidates(spark, SF)
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_table_rows_split_a_line_once(spark):
+    """Every use of the words split the whole line anew, in a query of two columns dozens of times."""
+    df = QUERIES["i16_table_row"](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(coalesce(") <= 2
