@@ -21,11 +21,9 @@ def contiguous(rows: DataFrame, key: str, order: list[str], same: list[str], out
 def heading_stack(rows: DataFrame, key: str, order: str, level: str, value: str, depth: int) -> DataFrame:
     """level1 .. level<depth>: the open heading of each level at each row; a heading closes those at its level and below."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows
-    for n in range(1, depth + 1):
-        out = out.withColumn(f"__open{n}", F.max(F.when(F.col(level) <= n, F.col(order))).over(w)).withColumn(f"__own{n}", F.last(F.when(F.col(level) == n, F.struct(F.col(order).alias("at"), F.col(value).alias("v"))), ignorenulls=True).over(w))
-    for n in range(1, depth + 1):
-        out = out.withColumn(f"level{n}", F.when(F.col(f"__own{n}.at") == F.col(f"__open{n}"), F.col(f"__own{n}.v")))
+    out = rows.select("*", *(F.max(F.when(F.col(level) <= n, F.col(order))).over(w).alias(f"__open{n}") for n in range(1, depth + 1)),
+                      *(F.last(F.when(F.col(level) == n, F.struct(F.col(order).alias("at"), F.col(value).alias("v"))), ignorenulls=True).over(w).alias(f"__own{n}") for n in range(1, depth + 1)))
+    out = out.withColumns({f"level{n}": F.when(F.col(f"__own{n}.at") == F.col(f"__open{n}"), F.col(f"__own{n}.v")) for n in range(1, depth + 1)})
     return out.drop(*(f"__open{n}" for n in range(1, depth + 1)), *(f"__own{n}" for n in range(1, depth + 1)))
 
 

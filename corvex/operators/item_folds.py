@@ -6,9 +6,10 @@ One document's items, in order, are one fold; a document is one row of the input
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from corvex.functions.text import EXPLANATION
 SIGNS = "=+-*/^()[]{}<>"
 TAIL = re.compile(r"[)\]}\s]+(?:\d+|[a-z]\b|[+\-*/^=].*)?$", re.IGNORECASE)
 POWER = re.compile(r"\^\s*\d+$")
-OPEN_END = re.compile(r"[=+\-*/(\[{]$|\w+\s*\^\s*$")
+OPEN_END = re.compile(r"[=+\-*/(\[{]$|\w\s*\^\s*$")
 MOST_FRAGMENT, MOST_ORPHAN, LOOK_BACK = 120, 12, 6
 BORDERS = ("heading", "table_caption", "table_row", "figure_caption", "algorithm")
 ROW_BACKED, CAPTION_ONLY, UNASSIGNED = "row_backed", "caption_only", "unassigned_row"
@@ -60,11 +61,13 @@ def follows_page(first: int | None, then: int | None) -> bool:
 def _with_context(rows: list[dict]) -> list[dict]:
     """Each row with the texts of the headings open at it (its own included)."""
     open_: list[tuple[int, str]] = []
+    context: tuple[str, ...] = ()
     for r in rows:
         if r["kind"] == "heading":
             level = r.get("level") or 1
             open_ = [*((n, t) for n, t in open_ if n < level), (level, r["text"])]
-        r["context"] = tuple(t for _, t in open_)
+            context = tuple(t for _, t in open_)
+        r["context"] = context
     return rows
 
 
@@ -100,9 +103,8 @@ def fold_equations(rows: list[dict]) -> list[dict]:
         row = {**r, "merged": 0, "orphan": False}
         if row["kind"] == "equation":
             row["text"] = clean(row["text"])
-        text = clean(row["text"])
         if open_:
-            head = out[-1]
+            head, text = out[-1], clean(row["text"])
             fits = row["kind"] in ("equation", "paragraph") and row["context"] == head["context"] and follows_page(head["page_no"], row["page_no"])
             if fits and is_incomplete(head["text"]) and is_fragment(text):
                 head["text"], head["merged"] = joined(head["text"], text), head["merged"] + 1
@@ -172,26 +174,47 @@ def fold_tables(rows: list[dict]) -> list[dict]:
     return out
 
 
-def _folded(items: DataFrame, fold: Callable[[list[dict]], list[dict]], added: list[T.StructField]) -> DataFrame:
+def _folded(items: DataFrame, fold: Callable[[list[dict]], list[dict]], reads: tuple[str, ...], added: list[T.StructField], changed: tuple[str, ...] = (), kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """The fold of every document: it sees the columns `reads` as rows, its columns `added` and `changed` are new, all others follow their rows; `kinds` alone are returned.
+
+    Documents lie whole and in order in a partition, so a batch holds many of them and a task holds a batch and one document.
+    """
     names = {f.name for f in added}
     schema = T.StructType([*(f for f in items.schema if f.name not in names), *added])
-    arrow = to_arrow_schema(schema)
+    arrow, reads = to_arrow_schema(schema), [c for c in items.columns if c in reads]
+
+    def folded(table: pa.Table, ends: list[int]) -> list[pa.RecordBatch]:
+        every, out, start = table.select(reads).to_pylist(), [], 0
+        for end in ends:
+            out += fold([{**r, "__at": n} for n, r in enumerate(every[start:end], start)])
+            start = end
+        out = [r for r in out if kinds is None or r["kind"] in kinds]
+        kept = table.take(pa.array([r["__at"] for r in out], pa.int64()))
+        return pa.Table.from_arrays([pa.array([r[f.name] for r in out], f.type) if f.name in names or f.name in changed else kept.column(f.name).cast(f.type) for f in arrow], schema=arrow).combine_chunks().to_batches()
 
-    def one(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["item_index"])
-        return pa.Table.from_pylist([{f.name: r.get(f.name) for f in arrow} for r in fold(rows)], schema=arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            *ends, _ = [0, *pc.run_end_encode(held.column("doc_id").combine_chunks()).run_ends.to_pylist()]
+            if ends[1:]:
+                yield from folded(held.slice(0, ends[-1]), ends[1:])
+                held = held.slice(ends[-1])
+        if held is not None and held.num_rows:
+            yield from folded(held, [held.num_rows])
 
-    return items.groupBy("doc_id").applyInArrow(one, schema)
+    return items.repartition("doc_id").sortWithinPartitions("doc_id", "item_index").mapInArrow(run, schema)
 
 
-def merge_equations(items: DataFrame) -> DataFrame:
-    """`fold_equations` of every document (doc_id, item_index, kind, text, page_no, and level of headings, 1 without that column)."""
-    return _folded(items, fold_equations, [T.StructField("merged", T.IntegerType()), T.StructField("orphan", T.BooleanType())])
+def merge_equations(items: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """`fold_equations` of every document (doc_id, item_index, kind, text, page_no, and level of headings, 1 without that column); rows of `kinds` alone, if given."""
+    return _folded(items, fold_equations, ("kind", "text", "page_no", "level"), [T.StructField("merged", T.IntegerType()), T.StructField("orphan", T.BooleanType())], ("text",), kinds)
 
 
 def group_tables(items: DataFrame) -> DataFrame:
     """`fold_tables` of every document (doc_id, item_index, kind, text, page_no, level, table_id, caption_label)."""
-    return _folded(items, fold_tables, [T.StructField(n, T.StringType()) for n in ("table_id", "caption_label", "status", "warning")])
+    return _folded(items, fold_tables, ("doc_id", "item_index", "kind", "text", "page_no", "level", "table_id", "caption_label"), [T.StructField(n, T.StringType()) for n in ("table_id", "caption_label", "status", "warning")])
 
 
 def table_warnings(grouped: DataFrame) -> DataFrame:

@@ -17,16 +17,17 @@ HEADINGS = ("heading", "header", "section_header", "section", "subsection", "cha
 def classify_items(items: DataFrame) -> DataFrame:
     """kind of each item (doc_id, item_index, label, text, page_no): front matter before the first body heading, references after theirs, else by label and text."""
     w = Window.partitionBy("doc_id").orderBy("item_index").rowsBetween(Window.unboundedPreceding, 0)
-    clean = T.normalize_whitespace(F.col("text"))
-    ready = items.withColumn("text", clean).where((F.col("text") != "") & ~F.lower("label").isin(*SKIPPED))
+    ready = items.where(~T.is_blank(F.col("text")) & ~F.lower("label").isin(*SKIPPED)).withColumn("text", T.normalize_whitespace(F.col("text")))
+    named = lambda change, name: (F.char_length("text") <= len(name)) & (change("text") == name)
     heading = F.lower("label").isin(*HEADINGS) | T.looks_like_heading(F.col("text"))
-    body = F.max((heading & T.is_structural_heading(F.col("text"))).cast("int")).over(w)
-    references = F.max((F.upper("text") == "REFERENCES").cast("int")).over(w)
-    return ready.withColumn("heading", heading).withColumn("in_body", body == 1).withColumn("in_references", references == 1).withColumn("kind", (
-        F.when((F.upper("text") == "REFERENCES") | (F.lower("text") == "abstract"), "heading").when(F.col("in_references"), "reference")
+    body = F.max((F.col("heading") & T.is_structural_heading(F.col("text"))).cast("int")).over(w)
+    references = F.max(named(F.upper, "REFERENCES").cast("int")).over(w)
+    placed = ready.withColumn("heading", heading).withColumns({"in_body": body == 1, "in_references": references == 1})
+    return placed.withColumn("kind", (
+        F.when(named(F.upper, "REFERENCES") | named(F.lower, "abstract"), "heading").when(F.col("in_references"), "reference")
         .when(F.col("heading"), "heading").when(~F.col("in_body") & T.looks_like_front_matter(F.col("text")), "front_matter")
-        .when(F.lower("label").isin("formula", "equation") | T.looks_like_equation(F.col("text")), "equation").when(T.found(F.col("text"), T.FIGURE_LABEL).isNotNull(), "figure_caption")
-        .when(T.found(F.col("text"), T.TABLE_LABEL).isNotNull(), "table_caption").when(T.found(F.col("text"), T.ALGORITHM_LABEL).isNotNull() | T.looks_like_algorithm_step(F.col("text")), "algorithm").otherwise("paragraph")))
+        .when(F.lower("label").isin("formula", "equation") | T.equation_shape(F.col("text")), "equation").when(F.rlike("text", F.lit(T.FIGURE_LABEL)), "figure_caption")
+        .when(F.rlike("text", F.lit(T.TABLE_LABEL)), "table_caption").when(F.rlike("text", F.lit(T.ALGORITHM_LABEL)) | T.looks_like_algorithm_step(F.col("text")), "algorithm").otherwise("paragraph")))
 
 
 def suppress_title(items: DataFrame, titles: DataFrame) -> DataFrame:
@@ -41,12 +42,16 @@ def suppress_title(items: DataFrame, titles: DataFrame) -> DataFrame:
 def suppress_artifacts(items: DataFrame, titles: DataFrame) -> DataFrame:
     """Without runs of two or more banner-like lines that hold a marker or two title words."""
     tokens = lambda c: F.transform(F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+)"), F.lit(1)), F.lower)
-    words = T.words(F.col("text"))
-    capital = F.size(F.filter(words, lambda w: ~F.rlike(w, F.lit(r"^\p{L}")) | F.rlike(w, F.lit(r"^\p{Lu}"))))
-    overlap = F.size(F.array_intersect(tokens(F.col("text")), T.title_tokens(F.coalesce("title", F.lit("")))))
-    line = (F.char_length("text") <= 120) & ~T.looks_like_heading(F.col("text")) & ~T.looks_like_equation(F.col("text")) & (capital >= F.greatest(F.lit(2), F.size(words) - 2)) & (F.size(words) <= 10) & ((overlap >= 2) | (F.size(words) <= 7))
+    short = F.col("text").isNull() | (F.char_length("text") <= 120)
+    words, overlap = F.col("__words"), F.col("__overlap")
+    capital = F.size(F.filter(words, lambda w: ~F.rlike(w, F.lit(r"^[\p{L}&&[^\p{Lu}]]"))))
+    line = (F.char_length("text") <= 120) & (F.size(words) <= 10) & ((overlap >= 2) | (F.size(words) <= 7)) & (capital >= F.greatest(F.lit(2), F.size(words) - 2)) & ~T.looks_like_equation(F.col("text")) & ~T.looks_like_heading(F.col("text"))
     marker = T.one_of(F.lower("text"), ("version", "research division"))
-    marked = items.join(titles, "doc_id", "left").withColumn("__line", line | marker).withColumn("__mark", marker | (overlap >= 2))
+    own = titles.select("doc_id", "title", T.title_tokens(F.coalesce("title", F.lit(""))).alias("__title"))
+    joined = items.join(own, "doc_id", "left").withColumn("__marker", marker).withColumn("__words", F.when(short, T.words(F.col("text"))))
+    # longer lines are only ever taken by a marker, which marks them as it is
+    joined = joined.withColumn("__overlap", F.when(short & (F.size("__words") <= 10), F.size(F.array_intersect(tokens(F.col("text")), F.coalesce("__title", F.array().cast("array<string>"))))))
+    marked = joined.withColumn("__line", F.col("__marker") | F.coalesce(line, F.lit(False))).withColumn("__mark", F.col("__marker") | F.coalesce(F.col("__line") & (overlap >= 2), F.lit(False))).drop("__words", "__overlap", "__title", "__marker")
     runs = contiguous(marked, "doc_id", ["item_index"], ["__line"], "__run")
     w = Window.partitionBy("doc_id", "__run")
     gone = F.col("__line") & (F.count("*").over(w) >= 2) & F.max(F.col("__mark").cast("int")).over(w).cast("boolean")
@@ -76,9 +81,10 @@ def _merged(items: DataFrame, joins_before) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("item_index")
     run = items.withColumn("__on", joins_before).withColumn("__run", F.sum((~F.col("__on")).cast("int")).over(w))
     columns = [c for c in items.columns if c not in ("doc_id", "item_index", "text")]
-    out = run.groupBy("doc_id", "__run").agg(F.min("item_index").alias("item_index"), *(F.min_by(c, "item_index").alias(c) for c in columns),
-                                            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_index", "text"))), lambda s: s["text"]), " ").alias("text"))
-    return out.select(*items.columns)
+    held = F.sort_array(F.collect_list(F.struct("item_index", "text", *columns)))  # one buffer a run: most runs are one row
+    out = run.groupBy("doc_id", "__run").agg(held.alias("__held")).withColumn("__first", F.get("__held", F.lit(0)))
+    text = F.array_join(F.transform("__held", lambda s: s["text"]), " ")
+    return out.select(*("doc_id" if c == "doc_id" else text.alias(c) if c == "text" else F.col(f"__first.{c}").alias(c) for c in items.columns))
 
 
 def nearest_captions(rows: DataFrame, captions: DataFrame) -> DataFrame:
@@ -107,7 +113,8 @@ def carry_headers(rows: DataFrame) -> DataFrame:
 
 def items_to_blocks(items: DataFrame, titles: DataFrame, depth: int = 3) -> DataFrame:
     """All passes in order, then blocks with their heading path; front matter stays outside sections."""
-    kept = merge_front_matter(promote_subsections(suppress_artifacts(suppress_title(classify_items(items), titles), titles)))
+    classified = classify_items(items).select("doc_id", "item_index", "kind", "text", "page_no")
+    kept = merge_front_matter(promote_subsections(suppress_artifacts(suppress_title(classified, titles), titles)))
     level = F.when(F.col("kind") == "heading", F.least(F.lit(depth), T.heading_level(F.col("text"), F.lit(None).cast("int"))))
     stacked = heading_stack(merge_equations(kept.withColumn("level", level)), "doc_id", "item_index", "level", "text", depth)
     path = F.array_compact(F.array(*(F.col(f"level{n}") for n in range(1, depth + 1))))

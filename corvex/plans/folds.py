@@ -48,9 +48,14 @@ def table_warnings(spark, sf):
     return I.table_warnings(I.group_tables(table_items(spark, sf))).select("doc_id", F.array_join("warnings", " ").alias("warnings"))
 
 
+def classified_equations(spark, sf):
+    """The equations of all documents, with their fragments. Only what the fold reads goes through it."""
+    return I.merge_equations(P.classify_items(items(spark, sf)).select("doc_id", "item_index", "kind", "text", "page_no"), ("equation",))
+
+
 @query("k09_equation_groups")
 def equation_groups(spark, sf):
-    return I.merge_equations(P.classify_items(items(spark, sf))).where("kind = 'equation'").select("doc_id", "item_index", "text", "merged", "orphan")
+    return classified_equations(spark, sf).select("doc_id", "item_index", "text", "merged", "orphan")
 
 
 # Profiles by order priority, with up to three targets of up to three attempts; every line of an order tells what one attempt came to.

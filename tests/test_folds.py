@@ -148,3 +148,37 @@ def test_fallback_retries_then_falls_back(spark):
 def test_folds_of_empty_tables(spark):
     items = spark.createDataFrame([], "doc_id long, item_index long, kind string, text string, page_no int, level int, table_id string, caption_label string")
     assert item_folds.merge_equations(items).count() == item_folds.group_tables(items).count() == item_folds.table_warnings(item_folds.group_tables(items)).count() == 0
+
+
+def test_folds_cross_arrow_batches(spark):
+    """Documents longer and shorter than a batch give what the fold gives for each of them; other kinds stay away when asked."""
+    rng = random.Random(5)
+    docs, want = [], set()
+    for d in [None, *range(12)]:
+        rows = [{"doc_id": d, "item_index": i, "kind": rng.choice(["heading", "equation", "equation", "paragraph"]), "text": rng.choice([OPEN, ") 2", "(c -", "+ b", "x = y + (", "words of a paragraph"]), "page_no": i // 9} for i in range(rng.choice([1, 2, 7, 40]))]
+        docs += rows
+        want |= {(d, r["item_index"], r["text"], r["merged"], r["orphan"]) for r in item_folds.fold_equations(rows) if r["kind"] == "equation"}
+    df = spark.createDataFrame(docs, "doc_id long, item_index long, kind string, text string, page_no int").repartition(5, "item_index")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [(r.doc_id, r.item_index, r.text, r.merged, r.orphan) for r in item_folds.merge_equations(df, ("equation",)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_white_space_is_what_the_class_says(spark):
+    space = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x3100)]) if c.isspace()]
+    texts = ["", " ", "  ", " a", "a ", "a b", "a  b", *(f"{p}{c}{q}{c}z{c}" for c in [*space, "​", "﻿", "~", "!"] for p in ("", "a", "a ", " ") for q in ("", "b", " b", "\t"))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_whitespace(F.col("t")).alias("clean"), T.words(F.col("t")).alias("words"), T.is_blank(F.col("t")).alias("blank")).collect()
+    for r in got:
+        assert (r.clean, r.words, r.blank) == (" ".join(r.t.split()), r.t.split(), not r.t.split()), ascii(r.t)
+
+
+def test_items_are_normalized_once(spark):
+    """Every use of a text after the first finds it clean: a second pass over its white space would be one for each use."""
+    from corvex.operators import pdf_items
+
+    items = spark.range(3).selectExpr("id AS doc_id", "id AS item_index", "'text' AS label", "concat('a  b ', id) AS text", "1 AS page_no")
+    plan = pdf_items.classify_items(items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(coalesce(") <= 1
