@@ -34,6 +34,21 @@ def test_best_of_tiles_equals_brute_force():
     assert list(zip(top.row, -top.score, top.number)) == want
 
 
+def test_scores_that_cannot_win_are_neither_rounded_nor_kept():
+    """Rounded ties count, scores that are no number do not; a tile hands on little more than its own best."""
+    rng = np.random.default_rng(3)
+    score, number = rng.random((7, 900)), rng.permutation(900)
+    score[:, 5:800:9] = np.nan
+    top, handed = search.Best(7, 24), []
+    add = top.add
+    top.add = lambda row, number, found: (handed.append(len(row)), add(row, number, found))
+    for at in range(0, 900, 90):
+        top.take(score[:, at : at + 90], number[at : at + 90], 2)
+    good = np.flatnonzero(~np.isnan(score[0]))
+    want = [(r, *x) for r in range(7) for x in sorted(zip(-np.round(score[r, good], 2), number[good]))[:24]]
+    assert list(zip(top.row, -top.score, top.number)) == want and handed[0] < 7 * 40
+
+
 def test_required_are_all_vectors_of_the_label(spark, tmp_path):
     """Not those of 40 ids, nor the next two ids; without a label none. A vector of its own label is found first."""
     rng = np.random.default_rng(1)
