@@ -1,13 +1,16 @@
 """Language-model scoring with a hierarchical Pitman-Yor process.
 
-Each context (the word before, or the start of the text) is a restaurant; all share one parent, the restaurant of single
-words, whose base is uniform over the training words and one unknown word. Words before are told apart by a hash of
-CONTEXTS values: frequent ones have a restaurant of their own as good as always, rare ones share. A Gibbs sweep seats every context's customers anew, dish by
+Each context (the word before, or the start of the text) is a restaurant of its own; all share one parent, the restaurant of single
+words, whose base is uniform over the training words and one unknown word. A Gibbs sweep seats every context's customers anew, dish by
 dish, given the parent's predictive probabilities and the restaurant's number of tables from the sweep before, then seats
 the parent's (one for each table below). Counts are sharded by word, so a word's seating in all contexts and in the parent
-lies in one row group; a sweep exchanges only the restaurants' totals. A pack asks for its distinct pairs of word and context,
-each once, and gets their probabilities. Sweeps are replayed from their totals and seeds
-rather than stored. Scores average the predictive probabilities of the kept sweeps.
+lies in one row group; a sweep exchanges only the restaurants' totals. Those of CONTEXTS frequent words (owners, one a slot, found
+in a few packs) and the parent's pass through the driver as vectors of fixed length. Any other context is told by 56 bits of
+its word's hash; its customers are as many as the word has in the training texts, which the word's shard knows. Only pairs
+seen twice or more have fewer tables than customers: shards send this difference to the word's shard, and get the tables back.
+Which words are owners changes costs, not the model. A pack asks for its distinct pairs of word and context, each once, and
+gets what they and their words hold. Sweeps are replayed from their totals and seeds rather than stored. Scores average the
+predictive probabilities of the kept sweeps.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +28,9 @@ from corvex.llm.common import cut, give_back
 from corvex.llm.packs import build_packs, bundles, by_shard, runs, shard_count, squeeze, texts_of, unsqueeze
 from corvex.llm.vec import U, Words, mix
 
-CONTEXTS, END = 1 << 14, 0x5E11D0FD0C0DE
-START, DOCS_PER_SHARD = CONTEXTS - 1, 1024
+CONTEXTS, END = 1 << 16, 0x5E11D0FD0C0DE
+START, OTHER, DOCS_PER_SHARD, OWNER_PACKS = CONTEXTS - 2, CONTEXTS - 1, 1024, 8
+WHOLE = U(1 << 56)  # marks a place that is a word's own, not an owner's slot
 BURN_IN, KEPT, STRENGTH, PARENT_STRENGTH, EXACT = 1, 3, 1.0, 1.0, 48
 
 
@@ -34,26 +39,84 @@ def learns(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 != 0
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word hash, context) of every token of texts, each text's end included."""
+def _walk(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word hash, hash of the word before, or 0) of every token of texts, each text's end included."""
     words = Words(texts)
     n = len(texts)
     at = np.arange(len(words.hashes)) + words.doc
     total = len(words.hashes) + n
-    doc, word, context = np.empty(total, np.int64), np.full(total, U(END)), np.full(total, START, np.int64)
+    doc, word, before = np.empty(total, np.int64), np.full(total, U(END)), np.zeros(total, U)
     ends = words.offsets[:-1] + words.counts + np.arange(n)
     doc[at], doc[ends], word[at] = words.doc, np.arange(n), words.hashes
-    context[at + 1] = (mix(words.hashes) % U(START)).astype(np.int64)  # of what follows each word
-    return doc, word, context
+    before[at + 1] = words.hashes  # of what follows each word
+    return doc, word, before
+
+
+def _slots(words: np.ndarray) -> np.ndarray:
+    return (mix(words) % U(START)).astype(np.int64)
+
+
+def _idents(words: np.ndarray) -> np.ndarray:
+    return mix(words) >> U(8)
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word hash, slot of the word before) of every token of texts, each text's end included."""
+    doc, word, before = _walk(texts)
+    return doc, word, np.where(before == 0, START, _slots(before))
+
+
+def places(before: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The context of each token: the slot of an owner or the start, or else WHOLE and the word's ident."""
+    slot = _slots(before)
+    return np.where(before == 0, U(START), np.where(owner[slot] == before, slot.astype(U), WHOLE | _idents(before)))
+
 
+def _fold(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bytes a place, and the idents of the others in order."""
+    other = place >= WHOLE
+    return np.where(other, U(OTHER), place).astype(np.uint16), place[other] ^ WHOLE
 
-def distinct_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _unfold(code: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    place = code.astype(U)
+    place[code == OTHER] = rest | WHOLE
+    return place
+
+
+def _tokens_at(texts: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and place of the tokens of texts, in runs of bounded size."""
+    got = [(word, places(before, owner)) for _, word, before in (_walk(part) for _, part in runs(texts))]
+    return tuple(np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, U), np.zeros(0, U))
+
+
+def distinct_pairs(texts: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words of texts in order, how many contexts each has, and these in order."""
-    got = [tokens(part)[1:] for _, part in runs(texts)]
-    word, context = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, U), np.zeros(0, np.int64))
-    word, context, _ = _pairs(word, context, np.ones(len(word), np.int64))
+    word, place = _tokens_at(texts, owner)
+    word, place, _ = _pairs(word, place, np.ones(len(word), np.int64))
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
-    return word[first], np.diff(np.append(first, len(word))), context
+    return word[first], np.diff(np.append(first, len(word))), place
+
+
+def find_owners(packs: DataFrame) -> np.ndarray:
+    """For each slot the hash of its most frequent word in about OWNER_PACKS packs, or 0."""
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                word, n = np.unique(np.concatenate([np.zeros(0, U), *(Words(part).hashes for _, part in runs(texts_of(blob)))]), return_counts=True)
+                slot = _slots(word)
+                order = np.lexsort((word, -n, slot))
+                best = order[np.flatnonzero(np.diff(slot[order], prepend=-1))]
+                yield pa.RecordBatch.from_arrays([pa.array(slot[best]), pa.array(word[best].view(np.int64)), pa.array(n[best])], ["slot", "word", "n"])
+        give_back()
+
+    step = max(1, packs.count() // OWNER_PACKS)
+    sums = packs.where(F.pmod(F.xxhash64("pack"), F.lit(step)) == 0).select("blob").mapInArrow(most, "slot long, word long, n long").groupBy("slot", "word").agg(F.sum("n").alias("n"))
+    owner = np.zeros(CONTEXTS, U)
+    for r in sums.groupBy("slot").agg(F.max_by("word", F.struct("n", "word")).alias("word")).collect():
+        owner[r["slot"]] = U(r["word"] % (1 << 64))
+    return owner
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -70,26 +133,35 @@ def _pairs(word: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return word[new], context[new], np.add.reduceat(n, new) if len(new) else n
 
 
-def count_shards(packs: DataFrame, shards: int) -> DataFrame:
-    """shard and blob: words, contexts and counts of the training tokens, by word, then context."""
+def count_shards(packs: DataFrame, shards: int, owner: np.ndarray) -> DataFrame:
+    """shard, blob (words, contexts and counts of the training tokens, by word, then context) and lean (what sweeps need of it)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                texts = [t for i, t in zip(ids, texts_of(blob), strict=True) if learns(i)]
-                got = [tokens(part)[1:] for _, part in runs(texts)]
-                if got:
-                    word, context = (np.concatenate(x) for x in zip(*got))
-                    word, context, n = _pairs(word, context, np.ones(len(word), np.int64))
-                    yield bundles([(s, squeeze(word[at], context[at].astype(np.uint16), n[at].astype(np.uint32))) for s, at in by_shard(word, shards)], "shard blob")
+                word, place = _tokens_at([t for i, t in zip(ids, texts_of(blob), strict=True) if learns(i)], owner)
+                word, place, n = _pairs(word, place, np.ones(len(word), np.int64))
+                yield bundles([(s, squeeze(word[at], *_fold(place[at]), n[at].astype(np.uint32))) for s, at in by_shard(_idents(word), shards)], "shard blob")
+        give_back()
 
     def merge(table: pa.Table) -> pa.Table:
-        word, context, n = (np.concatenate(x) for x in zip(*map(unsqueeze, table.column("blob").to_pylist())))
-        word, context, n = _pairs(word, context.astype(np.int64), n.astype(np.int64))
+        parts = [(word, _unfold(code, rest), n.astype(np.int64)) for word, code, rest, n in map(unsqueeze, table.column("blob").to_pylist())]
+        word, place, n = _pairs(*(np.concatenate(x) for x in zip(*parts)))
+        del parts
         give_back()
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()]), "blob": pa.array([squeeze(word, context.astype(np.uint16), n.astype(np.uint64))], pa.binary())})
+        blob = squeeze(word, *_fold(place), n.astype(np.uint64))
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()]), "blob": pa.array([blob], pa.binary()), "lean": pa.array([_lean(word, place, n)], pa.binary())})
+
+    return cut(packs.select("ids", "blob").mapInArrow(count, "shard long, blob binary").groupBy("shard").applyInArrow(merge, "shard long, blob binary, lean binary"), "counts")
+
 
-    return cut(packs.select("ids", "blob").mapInArrow(count, "shard long, blob binary").groupBy("shard").applyInArrow(merge, "shard long, blob binary"), "counts")
+def _lean(word: np.ndarray, place: np.ndarray, n: np.ndarray) -> bytes:
+    """Words but for those seen once, with how often in all and in pairs seen once; the pairs seen more often; how many words were left out."""
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    count, single = np.add.reduceat(n, first), np.add.reduceat((n == 1).astype(np.int64), first)
+    many = np.add.reduceat((n > 1).astype(np.int64), first)
+    held = count > 1
+    return squeeze(word[first][held], count[held], single[held], many[held].astype(np.uint32), *_fold(place[n > 1]), n[n > 1], np.array([(~held).sum()]))
 
 
 def seat(n: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -110,36 +182,65 @@ def seat(n: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Gener
     return t
 
 
-class Seating:
-    """One shard's words through the sweeps whose totals are known."""
-
-    def __init__(self, shard: int, blob: bytes, world: dict):
-        word, context, n = unsqueeze(blob)
-        self.pair_context, self.pair_n = context.astype(np.int64), n.astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        self.words, self.of_word = word[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
-        self.first = first
-        self.count = np.add.reduceat(self.pair_n, first)
-        self.world, self.shard = world, shard
-        parent = np.full(len(first), 1.0 / (world["V"] + 1))
+class Sweeps:
+    """One shard's pairs seen twice or more through the sweeps whose totals are known; a customer alone has a table of its own."""
+
+    def __init__(self, shard: int, lean: bytes, world: dict, told=None):
+        """told: gives for `asked` the tables of these contexts after each sweep but the last."""
+        word, self.count, single, many, code, rest, n, (self.left_out,) = unsqueeze(lean)
+        self.words, self.code, self.n = word, code.astype(np.int64), n
+        of_word, place = np.repeat(np.arange(len(word)), many), _unfold(code, rest)
+        other = np.flatnonzero(code == OTHER)
+        own = np.flatnonzero(world["owner"][_slots(word)] != word)
+        whole = WHOLE | _idents(word[own])
+        self.asked = np.unique(np.concatenate([place[other], whole]))
+        self.other, self.at, self.own, self.own_at = other, np.searchsorted(self.asked, place[other]), own, np.searchsorted(self.asked, whole)
+        self.told = told(self.asked) if told else ()
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # tables of pairs, parent's customers and tables
-        tables = np.full(CONTEXTS, 0.0)
+        tables, parent = np.zeros(len(n)), np.full(len(word), 1.0 / (world["V"] + 1))
         for sweep in range(len(world["totals"]) + 1):
             rng = np.random.default_rng((shard, sweep))
-            fresh = (STRENGTH + world["d"] * tables[self.pair_context]) * parent[self.of_word]
-            t = seat(self.pair_n, fresh, world["d"], rng)
-            customers = np.add.reduceat(t, first)
-            above = seat(customers, np.full(len(first), (PARENT_STRENGTH + world["d0"] * (world["totals"][sweep - 1][-1] if sweep else 0.0)) / (world["V"] + 1)), world["d0"], rng)
+            t = seat(n, (STRENGTH + world["d"] * tables) * parent[of_word], world["d"], rng)
+            customers = single + np.bincount(of_word, t, len(word)).astype(np.int64)
+            above = seat(customers, np.full(len(word), (PARENT_STRENGTH + world["d0"] * (world["totals"][sweep - 1][-1] if sweep else 0.0)) / (world["V"] + 1)), world["d0"], rng)
             self.kept.append((t, customers, above))
             if sweep < len(world["totals"]):
                 totals = world["totals"][sweep]
-                tables = totals[:CONTEXTS]
+                tables = totals[self.code]
+                if len(other):
+                    tables[other] = self.told[sweep][self.at]
                 parent = parent_probability(customers, above, totals, world)
 
     def totals(self) -> np.ndarray:
-        """Tables of each context, then the parent's customers and tables, after the last sweep."""
+        """How many fewer tables than customers each owner's context has, then the parent's customers and tables, after the last sweep."""
         t, customers, above = self.kept[-1]
-        return np.concatenate([np.bincount(self.pair_context, t, CONTEXTS), [customers.sum(), above.sum()]])
+        fewer = np.bincount(self.code, self.n - t, CONTEXTS)
+        fewer[OTHER] = 0
+        return np.concatenate([fewer, [customers.sum() + self.left_out, above.sum() + self.left_out]])
+
+    def change(self) -> np.ndarray:
+        """For the contexts in `asked` what this shard adds to their tables: its own words' customers, less what its pairs have fewer."""
+        out = -np.bincount(self.at, (self.n - self.kept[-1][0])[self.other], len(self.asked))
+        out[self.own_at] += self.count[self.own]
+        return out.astype(np.int64)
+
+
+class Seating:
+    """One shard's words and pairs, all of them, through the sweeps whose totals are known."""
+
+    def __init__(self, shard: int, blob: bytes, world: dict, told=None):
+        word, code, rest, n = unsqueeze(blob)
+        self.pair_place, self.pair_context, self.pair_n = _unfold(code, rest), code.astype(np.int64), n.astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        self.words, self.of_word = word[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+        self.count = np.add.reduceat(self.pair_n, first)
+        self.sweeps = Sweeps(shard, _lean(word, self.pair_place, self.pair_n), world, told)
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # tables of pairs, parent's customers and tables
+        many, held = self.pair_n > 1, self.count > 1
+        for t, customers, above in self.sweeps.kept:
+            every = np.ones(len(n), np.int64), np.ones(len(first), np.int64), np.ones(len(first), np.int64)
+            every[0][many], every[1][held], every[2][held] = t, customers, above
+            self.kept.append(every)
 
 
 def parent_probability(customers, tables, totals: np.ndarray, world: dict):
@@ -167,29 +268,90 @@ def _sums(df: DataFrame, make, size: int) -> np.ndarray:
 
 
 def _world_counts(shard: int, blob: bytes) -> np.ndarray:
-    """Customers of each context, then V, N, pairs seen once and twice, words in one and in two contexts."""
-    word, context, n = unsqueeze(blob)
+    """Customers of each owner's context, then V, N, pairs seen once and twice, words in one and in two contexts."""
+    word, code, _, n = unsqueeze(blob)
     new = np.concatenate(([True], word[1:] != word[:-1]))
     spread = np.diff(np.append(np.flatnonzero(new), len(word)))
-    return np.concatenate([np.bincount(context, n.astype(float), CONTEXTS), [new.sum(), n.sum(), (n == 1).sum(), (n == 2).sum(), (spread == 1).sum(), (spread == 2).sum()]])
+    customers = np.bincount(code, n.astype(float), CONTEXTS)
+    customers[OTHER] = 0
+    return np.concatenate([customers, [new.sum(), n.sum(), (n == 1).sum(), (n == 2).sum(), (spread == 1).sum(), (spread == 2).sum()]])
+
+
+def predictive(world: dict, context: np.ndarray, n: np.ndarray, tables: list[np.ndarray], parents: list[np.ndarray], held: tuple | None = None) -> np.ndarray:
+    """The probability of a word after a context, averaged over the kept sweeps: n customers at tables[k] tables, parents[k] in the parent.
+
+    held: customers and each kept sweep's tables of the whole contexts, where they are no owners'.
+    """
+    customers, whole = held or (world["C"][context], [total[context] for total in world["totals"][BURN_IN:]])
+    out = np.zeros(len(n))
+    for t, parent, total in zip(tables, parents, whole, strict=True):
+        out += n - world["d"] * t + (STRENGTH + world["d"] * total) * parent
+    return out / (STRENGTH + customers) / KEPT
 
 
-def predictive(world: dict, context: np.ndarray, n: np.ndarray, tables: list[np.ndarray], parents: list[np.ndarray]) -> np.ndarray:
-    """The probability of a word after a context, averaged over the kept sweeps: n customers at tables[k] tables, parents[k] in the parent."""
-    out = np.zeros(len(context))
-    for t, parent, total in zip(tables, parents, world["totals"][BURN_IN:], strict=True):
-        out += (n - world["d"] * t + (STRENGTH + world["d"] * total[context]) * parent) / (STRENGTH + world["C"][context])
-    return out / KEPT
+def _told(rows: pa.Table, asked: np.ndarray, shards: int) -> tuple:
+    """Each sweep's tables of the contexts in `asked`, from rows of sweep, home and blob."""
+    parts = dict(by_shard(asked ^ WHOLE, shards))
+    out: dict[int, np.ndarray] = {}
+    for sweep, home, blob in zip(*(rows.column(c).to_pylist() for c in ("sweep", "home", "blob")), strict=True):
+        out.setdefault(sweep, np.zeros(len(asked)))[parts[home]] = unsqueeze(blob)[0]
+    return tuple(out[k] for k in sorted(out))
 
 
 def fit(packs: DataFrame, shards: int) -> tuple[DataFrame, dict]:
-    """The counts by shard, and the restaurants' totals through all sweeps."""
-    counts = count_shards(packs, shards)
+    """The counts by shard, and the restaurants' totals through all sweeps (owners' as vectors, the others' as a table `told`: shard, sweep, home, blob)."""
+    owner = find_owners(packs)
+    counts = count_shards(packs, shards, owner)
     got = _sums(counts, _world_counts, CONTEXTS + 6)
     n1, n2, w1, w2 = got[CONTEXTS + 2 :]
-    world = {"C": got[:CONTEXTS], "V": int(got[CONTEXTS]), "N": int(got[CONTEXTS + 1]), "d": min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2))), "d0": min(0.95, max(0.05, w1 / max(1, w1 + 2 * w2))), "totals": []}
-    for _ in range(BURN_IN + KEPT):
-        world["totals"].append(_sums(counts, lambda shard, blob: Seating(shard, blob, world).totals(), CONTEXTS + 2))
+    world = {"C": got[:CONTEXTS], "V": int(got[CONTEXTS]), "N": int(got[CONTEXTS + 1]), "d": min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2))), "d0": min(0.95, max(0.05, w1 / max(1, w1 + 2 * w2))), "totals": [], "owner": owner}
+    told = None
+
+    def swept(shard: int, sweeps: Sweeps) -> list[tuple]:
+        """Rows of home, shard, blob: what each home's contexts gain, and, with home -1, the totals."""
+        change, totals = sweeps.change(), sweeps.totals()
+        at = np.flatnonzero(totals)
+        return [(-1, shard, squeeze(at, totals[at])), *((home, shard, squeeze(sweeps.asked[mine], change[mine])) for home, mine in by_shard(sweeps.asked ^ WHOLE, shards))]
+
+    def summed(shard: int, blob: bytes) -> np.ndarray:
+        out = np.zeros(CONTEXTS + 2)
+        at, x = unsqueeze(blob)
+        out[at] = x
+        return out
+
+    for sweep in range(BURN_IN + KEPT):
+
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, lean in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    yield bundles(swept(shard, Sweeps(shard, lean, world)), "home shard blob")
+            give_back()
+
+        def later(key: tuple, held: pa.Table, got: pa.Table) -> pa.Table:
+            shard = key[0].as_py()
+            rows = swept(shard, Sweeps(shard, held.column("lean")[0].as_py(), world, lambda asked: _told(got, asked, shards)))
+            give_back()
+            return pa.Table.from_batches([bundles(rows, "home shard blob")])
+
+        def reply(key: tuple, table: pa.Table) -> pa.Table:
+            """The tables of each sender's contexts, in the order sent."""
+            sent = [unsqueeze(x) for x in table.column("blob").to_pylist()]
+            known, at = np.unique(np.concatenate([x for x, _ in sent]), return_inverse=True)
+            tables = np.bincount(at, np.concatenate([x for _, x in sent]), len(known)).astype(np.int64)
+            parts = np.split(tables[at], np.cumsum([len(x) for x, _ in sent])[:-1])
+            rows = [(shard, sweep, key[0].as_py(), squeeze(part)) for shard, part in zip(table.column("shard").to_pylist(), parts, strict=True)]
+            give_back()
+            return pa.Table.from_batches([bundles(rows, "shard sweep home blob")])
+
+        lean = counts.select("shard", "lean")
+        schema = "home long, shard long, blob binary"
+        rows = cut(lean.mapInArrow(first, schema) if told is None else lean.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(later, schema), "sweep")
+        totals = _sums(rows.where("home < 0"), summed, CONTEXTS + 2)
+        totals[:CONTEXTS] = world["C"] - totals[:CONTEXTS]
+        answers = cut(rows.where("home >= 0").groupBy("home").applyInArrow(reply, "shard long, sweep long, home long, blob binary"), "told")
+        told = answers if told is None else told.unionByName(answers)
+        world["totals"].append(totals)
+    world["told"] = told
     return counts, world
 
 
@@ -203,65 +365,93 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = shard_count(docs, DOCS_PER_SHARD)
     packs = build_packs(docs, id_col, text_col)
     counts, world = fit(packs, shards)
+    told = world.pop("told").select("shard", "sweep", "home", F.lit(None).cast("long").alias("pack"), "blob")
     sent = docs.sparkSession.sparkContext.broadcast(world)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                word, spread, context = distinct_pairs(texts_of(blob))
+                word, spread, place = distinct_pairs(texts_of(blob), sent.value["owner"])
                 first = np.cumsum(spread) - spread
-                yield bundles([(s, pack, squeeze(word[at], spread[at].astype(np.uint16), context[ranges(first[at], spread[at])].astype(np.uint16))) for s, at in by_shard(word, shards)], "shard pack blob")
+                yield bundles([(s, pack, squeeze(word[at], spread[at].astype(np.uint32), *_fold(place[ranges(first[at], spread[at])]))) for s, at in by_shard(_idents(word), shards)], "shard pack blob")
         give_back()
 
     def answer(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
-        """For each asked word its count, for each asked pair its probability."""
+        """For each asked word its count, and of each kept sweep its customers and tables in the parent and, unless it is an owner, its context's tables; for each asked pair its customers, less the discount of its tables."""
         world, rows, shard = sent.value, [], key[0].as_py()
-        unknown = [parent_probability(0.0, 0.0, total, world) for total in world["totals"][BURN_IN:]]
-        seating = Seating(shard, held.column("blob")[0].as_py(), world | {"totals": world["totals"][:-1]}) if held.num_rows else None
+        told, asked = asked.filter(pc.is_valid(asked.column("home"))), asked.filter(pc.is_valid(asked.column("pack")))
+        seating = Seating(shard, held.column("blob")[0].as_py(), world | {"totals": world["totals"][:-1]}, lambda own: _told(told, own, shards)) if held.num_rows else None
         if seating:
-            parents = [parent_probability(c, a, total, world) for (_, c, a), total in zip(seating.kept[BURN_IN:], world["totals"][BURN_IN:], strict=True)]
-            keys = seating.of_word * CONTEXTS + seating.pair_context
+            sweeps, whole = seating.sweeps, np.unique(seating.pair_place[seating.pair_context == OTHER])
+            context = seating.pair_context.copy()
+            context[context == OTHER] = CONTEXTS + np.searchsorted(whole, seating.pair_place[context == OTHER])
+            wide = CONTEXTS + len(whole)
+            keys, less = seating.of_word * wide + context, seating.pair_n - world["d"] * sum(t for t, _, _ in seating.kept[BURN_IN:]) / KEPT
+            below = [np.ones(len(seating.words), np.int64) for _ in range(KEPT)]
+            for x, tables in zip(below, sweeps.told[BURN_IN:], strict=len(sweeps.asked) > 0):
+                x[np.flatnonzero(seating.count > 1)[sweeps.own]] = tables[sweeps.own_at]
+            facts = [seating.count, *(x for _, customers, above in seating.kept[BURN_IN:] for x in (customers, above)), *below]
         for pack, blob in zip(asked.column("pack").to_pylist(), asked.column("blob").to_pylist(), strict=True):
-            word, spread, context = unsqueeze(blob)
-            context = context.astype(np.int64)
-            count, n = np.zeros(len(word), np.int64), np.zeros(len(context))
-            tables, parent = [np.zeros(len(context)) for _ in unknown], [np.full(len(context), x) for x in unknown]
+            word, spread, code, rest = unsqueeze(blob)
+            got, n = [np.zeros(len(word), np.int64) for _ in range(1 + 3 * KEPT)], np.zeros(len(code), np.float32)
             if seating:
                 at = np.minimum(np.searchsorted(seating.words, word), len(seating.words) - 1)
                 known = seating.words[at] == word
-                count[known] = seating.count[at[known]]
-                of, seen = np.repeat(at, spread), np.repeat(known, spread)
-                pair = np.minimum(np.searchsorted(keys, of * CONTEXTS + context), len(keys) - 1)
-                met = seen & (keys[pair] == of * CONTEXTS + context)
-                n[met] = seating.pair_n[pair[met]]
-                for k, (t, _, _) in enumerate(seating.kept[BURN_IN:]):
-                    tables[k][met] = t[pair[met]]
-                    parent[k][seen] = parents[k][of[seen]]
-            rows.append((pack, shard, squeeze(count, predictive(world, context, n, tables, parent).astype(np.float32))))
+                for x, fact in zip(got, facts, strict=True):
+                    x[known] = fact[at[known]]
+                context, seen = code.astype(np.int64), np.repeat(known, spread)
+                other = np.flatnonzero(code == OTHER)
+                if len(whole):
+                    near = np.minimum(np.searchsorted(whole, rest | WHOLE), len(whole) - 1)
+                    context[other] = CONTEXTS + near
+                    seen[other] &= whole[near] == rest | WHOLE
+                else:
+                    seen[other] = False
+                key = np.repeat(at, spread)[seen] * wide + context[seen]
+                pair = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                n[seen] = np.where(keys[pair] == key, less[pair], 0.0)
+            rows.append((pack, shard, squeeze(*got, n)))
         give_back()
         return pa.Table.from_batches([bundles(rows, "pack shard answer")])
 
     asked = packs.select("pack", "blob").mapInArrow(ask, "shard long, pack long, blob binary")
-    answers = counts.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "pack long, shard long, answer binary")
+    none = F.lit(None).cast("long")
+    both = asked.select("shard", none.alias("sweep"), none.alias("home"), "pack", "blob").unionByName(told)
+    answers = counts.select("shard", "blob").groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(answer, "pack long, shard long, answer binary")
 
     def score(key: tuple, own: pa.Table, got: pa.Table) -> pa.Table:
         world = sent.value
         ids, texts = own.column("ids")[0].as_py(), texts_of(own.column("blob")[0].as_py())
-        word, spread, context = distinct_pairs(texts)
+        word, spread, place = distinct_pairs(texts, world["owner"])
         first = np.cumsum(spread) - spread
-        pairs = np.repeat(np.arange(len(word)), spread) * CONTEXTS + context
-        count, probability = np.zeros(len(word), np.int64), np.zeros(len(context), np.float32)
+        facts, n = [np.zeros(len(word), np.int64) for _ in range(1 + 3 * KEPT)], np.zeros(len(place), np.float32)
         blobs = dict(zip(got.column("shard").to_pylist(), got.column("answer").to_pylist(), strict=True))
-        for shard, at in by_shard(word, shards):
-            count[at], probability[ranges(first[at], spread[at])] = unsqueeze(blobs[shard])
+        for shard, at in by_shard(_idents(word), shards):
+            *told, n[ranges(first[at], spread[at])] = unsqueeze(blobs.pop(shard))
+            for fact, x in zip(facts, told, strict=True):
+                fact[at] = x
+        count, below, of = facts[0], facts[1 + 2 * KEPT :], np.repeat(np.arange(len(word)), spread)
+        parents = [parent_probability(facts[1 + 2 * k], facts[2 + 2 * k], total, world)[of] for k, total in enumerate(world["totals"][BURN_IN:])]
+        # a context that is no owner's is a word of the pack
+        ident = _idents(word)
+        order, other = np.argsort(ident), place >= WHOLE
+        before = order[np.searchsorted(ident, place[other] ^ WHOLE, sorter=order)]
+        slot = np.where(other, U(OTHER), place).astype(np.int64)
+        customers, tables = world["C"][slot], [total[slot] for total in world["totals"][BURN_IN:]]
+        customers[other] = count[before]
+        for x, fact in zip(tables, below, strict=True):
+            x[other] = np.minimum(fact, count)[before]
+        probability = predictive(world, slot, n, [np.zeros(1)] * KEPT, parents, (customers, tables))
         base = np.log10((count + 0.1) / (world["N"] + 0.1 * (world["V"] + 1)))
-        log = np.log10(probability.astype(float))
+        log = np.log10(probability)
         rows = {"doc_id": ids, "held_out": [not learns(i) for i in ids], "n_tokens": [], "n_known": [], "train_tokens": [world["N"]] * len(ids), "base_score": [], "score": []}
+        rank = np.unique(place)
+        pairs = of * len(rank) + np.searchsorted(rank, place)
         for _, part in runs(texts):
             size = len(part)
-            doc, hashed, after = tokens(part)
+            doc, hashed, after = _walk(part)
             at = np.searchsorted(word, hashed)
-            where = np.searchsorted(pairs, at * CONTEXTS + after)
+            where = np.searchsorted(pairs, at * len(rank) + np.searchsorted(rank, places(after, world["owner"])))
             rows["n_tokens"] += np.bincount(doc, minlength=size).tolist()
             rows["n_known"] += np.bincount(doc, count[at] > 0, size).astype(np.int64).tolist()
             rows["base_score"] += np.bincount(doc, base[at], size).tolist()

@@ -510,6 +510,71 @@ def test_op8_learns_which_word_follows(spark):
     assert score["the cat"] > score["we cat"] + 0.5 and score["are gone"] > score["he gone"] + 0.5
 
 
+def test_op8_words_of_one_slot_have_restaurants_of_their_own(spark):
+    """Both words shared one restaurant before, so that what follows either was as likely after the other."""
+    from corvex.llm.vec import U, Words, mix
+
+    pool = [f"w{i}" for i in range(2000)]
+    slot = (mix(Words([" ".join(pool).encode()]).hashes) % U(pitman_yor.START)).tolist()
+    a, b = next((pool[slot.index(x)], pool[i]) for i, x in enumerate(slot) if slot.index(x) < i)
+    texts = [" ".join([f"{a} cat"] * 30 + [f"{b} dog"] * 20)] * 40
+    probe = dict(zip((i for i in range(1000, 2000) if not pitman_yor.learns(i)), [f"{a} cat", f"{a} dog", f"{b} cat", f"{b} dog"]))
+    rows = pitman_yor.score_documents(spark.createDataFrame([*enumerate(texts), *probe.items()], SCHEMA)).where("doc_id >= 1000").collect()
+    score = {probe[r.doc_id]: r.score for r in rows}
+    assert score[f"{a} cat"] > score[f"{a} dog"] + 1 and score[f"{b} dog"] > score[f"{b} cat"] + 1
+
+
+@pytest.mark.parametrize("owned", [0, 3])
+def test_op8_restaurants_of_words_without_a_slot(spark, monkeypatch, owned):
+    """With few owners or none: tables that come back are the sums over all shards, probabilities sum to one, and scores are those probabilities."""
+    find = pitman_yor.find_owners
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", weights=range(8, 0, -1), k=60)) + f" once{i}" for i in range(25)]
+
+    def few(built):
+        out = find(built)
+        out[np.flatnonzero(out)[owned:]] = 0
+        return out
+
+    monkeypatch.setattr(pitman_yor, "find_owners", few)
+    frame = spark.createDataFrame([*enumerate(texts)], SCHEMA).coalesce(1)
+    counts, world = pitman_yor.fit(packs.build_packs(frame), 8)
+    told, kept, all_totals = world.pop("told").toArrow(), pitman_yor.BURN_IN, world["totals"]
+    tables, pairs, parents = [collections.Counter() for _ in all_totals], {}, {}
+    customers = collections.Counter()
+    for r in counts.collect():
+        mine = told.filter([x == r.shard for x in told.column("shard").to_pylist()])
+        s = pitman_yor.Seating(r.shard, r.blob, world | {"totals": all_totals[:-1]}, lambda asked, mine=mine: pitman_yor._told(mine, asked, 8))
+        for k, (t, c, above) in enumerate(s.kept):
+            for place, x in zip(s.pair_place.tolist(), t.tolist()):
+                tables[k][place] += x
+            for i, w in enumerate(s.words.tolist()):
+                parents.setdefault(w, []).append(pitman_yor.parent_probability(c[i], above[i], all_totals[k], world))
+        for i, place, n, *t in zip(s.of_word.tolist(), s.pair_place.tolist(), s.pair_n.tolist(), *(x[0].tolist() for x in s.kept)):
+            customers[place] += n
+            pairs[s.words.tolist()[i], place] = n, t
+    for r in counts.collect():
+        mine = told.filter([x == r.shard for x in told.column("shard").to_pylist()])
+        asked = pitman_yor.Sweeps(r.shard, r.lean, world | {"totals": []}).asked
+        for k, got in enumerate(pitman_yor._told(mine, asked, 8)):
+            end = [int(p) for p in (pitman_yor.WHOLE | pitman_yor._idents(np.array([pitman_yor.END], np.uint64)))]
+            assert all(x == tables[k][p] for p, x in zip(asked.tolist(), got.tolist()) if p not in end)
+    assert len([p for p in customers if p >= pitman_yor.CONTEXTS]) >= 20 and sum(world["C"] > 0) == owned + 1
+    none = [pitman_yor.parent_probability(0.0, 0.0, x, world) for x in all_totals]
+
+    def chance(w, place):
+        n, t = pairs.get((w, place), (0, [0] * len(all_totals)))
+        ps = parents.get(w, none)
+        return sum((n - world["d"] * t[k] + (pitman_yor.STRENGTH + world["d"] * tables[k][place]) * ps[k]) / (pitman_yor.STRENGTH + customers[place]) for k in range(kept, len(all_totals))) / (len(all_totals) - kept)
+
+    for place in customers:
+        assert abs(sum(chance(w, place) for w in parents) + chance(None, place) - 1) < 1e-9
+    for r in pitman_yor.score_documents(frame).collect():
+        _, word, before = pitman_yor._walk([texts[r.doc_id].encode()])
+        want = sum(math.log10(chance(w, place)) for w, place in zip(word.tolist(), pitman_yor.places(before, world["owner"]).tolist()))
+        assert abs(r.score - want) < 1e-3
+
+
 def test_op8_seating():
     rng = np.random.default_rng(0)
     n = np.array([0, 1, 2, 10, 1000])
