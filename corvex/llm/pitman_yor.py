@@ -377,7 +377,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         give_back()
 
     def answer(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
-        """For each asked word its count, and of each kept sweep its customers and tables in the parent and, unless it is an owner, its context's tables; for each asked pair its customers, less the discount of its tables."""
+        """For each asked word its count, and of each kept sweep its customers and tables in the parent and, unless it is an owner, its context's tables; for each asked pair its customers, and how many fewer tables it has in all kept sweeps."""
         world, rows, shard = sent.value, [], key[0].as_py()
         told, asked = asked.filter(pc.is_valid(asked.column("home"))), asked.filter(pc.is_valid(asked.column("pack")))
         seating = Seating(shard, held.column("blob")[0].as_py(), world | {"totals": world["totals"][:-1]}, lambda own: _told(told, own, shards)) if held.num_rows else None
@@ -386,14 +386,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             context = seating.pair_context.copy()
             context[context == OTHER] = CONTEXTS + np.searchsorted(whole, seating.pair_place[context == OTHER])
             wide = CONTEXTS + len(whole)
-            keys, less = seating.of_word * wide + context, seating.pair_n - world["d"] * sum(t for t, _, _ in seating.kept[BURN_IN:]) / KEPT
-            below = [np.ones(len(seating.words), np.int64) for _ in range(KEPT)]
+            keys, fewer = seating.of_word * wide + context, KEPT * seating.pair_n - sum(t for t, _, _ in seating.kept[BURN_IN:])
+            below = [seating.count.copy() for _ in range(KEPT)]
             for x, tables in zip(below, sweeps.told[BURN_IN:], strict=len(sweeps.asked) > 0):
                 x[np.flatnonzero(seating.count > 1)[sweeps.own]] = tables[sweeps.own_at]
-            facts = [seating.count, *(x for _, customers, above in seating.kept[BURN_IN:] for x in (customers, above)), *below]
+            # as differences, which are mostly zero
+            facts = [seating.count, *(x for _, customers, above in seating.kept[BURN_IN:] for x in (seating.count - customers, customers - above)), *(seating.count - x for x in below)]
         for pack, blob in zip(asked.column("pack").to_pylist(), asked.column("blob").to_pylist(), strict=True):
             word, spread, code, rest = unsqueeze(blob)
-            got, n = [np.zeros(len(word), np.int64) for _ in range(1 + 3 * KEPT)], np.zeros(len(code), np.float32)
+            got, n, less = [np.zeros(len(word), np.int64) for _ in range(1 + 3 * KEPT)], np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
             if seating:
                 at = np.minimum(np.searchsorted(seating.words, word), len(seating.words) - 1)
                 known = seating.words[at] == word
@@ -409,8 +410,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     seen[other] = False
                 key = np.repeat(at, spread)[seen] * wide + context[seen]
                 pair = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                n[seen] = np.where(keys[pair] == key, less[pair], 0.0)
-            rows.append((pack, shard, squeeze(*got, n)))
+                n[seen], less[seen] = np.where(keys[pair] == key, (seating.pair_n[pair], fewer[pair]), 0)
+            rows.append((pack, shard, squeeze(*got, n, less)))
         give_back()
         return pa.Table.from_batches([bundles(rows, "pack shard answer")])
 
@@ -424,14 +425,18 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids, texts = own.column("ids")[0].as_py(), texts_of(own.column("blob")[0].as_py())
         word, spread, place = distinct_pairs(texts, world["owner"])
         first = np.cumsum(spread) - spread
-        facts, n = [np.zeros(len(word), np.int64) for _ in range(1 + 3 * KEPT)], np.zeros(len(place), np.float32)
+        facts, n = [np.zeros(len(word), np.int64) for _ in range(1 + 3 * KEPT)], np.zeros((2, len(place)))
         blobs = dict(zip(got.column("shard").to_pylist(), got.column("answer").to_pylist(), strict=True))
         for shard, at in by_shard(_idents(word), shards):
-            *told, n[ranges(first[at], spread[at])] = unsqueeze(blobs.pop(shard))
+            *told, some, less = unsqueeze(blobs.pop(shard))
+            n[:, ranges(first[at], spread[at])] = some, less
             for fact, x in zip(facts, told, strict=True):
                 fact[at] = x
-        count, below, of = facts[0], facts[1 + 2 * KEPT :], np.repeat(np.arange(len(word)), spread)
-        parents = [parent_probability(facts[1 + 2 * k], facts[2 + 2 * k], total, world)[of] for k, total in enumerate(world["totals"][BURN_IN:])]
+        count, below, of = facts[0], [facts[0] - x for x in facts[1 + 2 * KEPT :]], np.repeat(np.arange(len(word)), spread)
+        parents = []
+        for k, total in enumerate(world["totals"][BURN_IN:]):
+            customers = count - facts[1 + 2 * k]
+            parents.append(parent_probability(customers, customers - facts[2 + 2 * k], total, world)[of])
         # a context that is no owner's is a word of the pack
         ident = _idents(word)
         order, other = np.argsort(ident), place >= WHOLE
@@ -440,8 +445,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         customers, tables = world["C"][slot], [total[slot] for total in world["totals"][BURN_IN:]]
         customers[other] = count[before]
         for x, fact in zip(tables, below, strict=True):
-            x[other] = np.minimum(fact, count)[before]
-        probability = predictive(world, slot, n, [np.zeros(1)] * KEPT, parents, (customers, tables))
+            x[other] = fact[before]
+        probability = predictive(world, slot, n[0], [n[0] - n[1] / KEPT] * KEPT, parents, (customers, tables))
         base = np.log10((count + 0.1) / (world["N"] + 0.1 * (world["V"] + 1)))
         log = np.log10(probability)
         rows = {"doc_id": ids, "held_out": [not learns(i) for i in ids], "n_tokens": [], "n_known": [], "train_tokens": [world["N"]] * len(ids), "base_score": [], "score": []}
