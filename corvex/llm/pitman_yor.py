@@ -8,8 +8,8 @@ lies in one row group; a sweep exchanges only the restaurants' totals. Those of
 in a few packs) and the parent's pass through the driver as vectors of fixed length. Any other context is told by 56 bits of
 its word's hash; its customers are as many as the word has in the training texts, which the word's shard knows. Only pairs
 seen twice or more have fewer tables than customers: shards send this difference to the word's shard, and get the tables back.
-Which words are owners changes costs, not the model. A pack asks for its distinct pairs of word and context, each once, and
-gets what they and their words hold. Sweeps are replayed from their totals and seeds rather than stored. Scores average the
+Which words are owners changes costs, not the model. A pack sends its distinct pairs of word and context once, counted in its
+training texts; the shard keeps where each stands among its own, and answers with what they and their words hold. Sweeps are replayed from their totals and seeds rather than stored. Scores average the
 predictive probabilities of the kept sweeps.
 """
 
@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,18 +83,16 @@ def _unfold(code: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return place
 
 
-def _tokens_at(texts: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word and place of the tokens of texts, in runs of bounded size."""
-    got = [(word, places(before, owner)) for _, word, before in (_walk(part) for _, part in runs(texts))]
-    return tuple(np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, U), np.zeros(0, U))
-
-
-def distinct_pairs(texts: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of texts in order, how many contexts each has, and these in order."""
-    word, place = _tokens_at(texts, owner)
-    word, place, _ = _pairs(word, place, np.ones(len(word), np.int64))
-    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
-    return word[first], np.diff(np.append(first, len(word))), place
+def distinct_pairs(texts: list[bytes], owner: np.ndarray, learned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts in order, how many contexts each has, these in order, and how often each pair is in the learned texts (all, if not given)."""
+    learned = np.ones(len(texts), bool) if learned is None else learned
+    got = [(word, places(before, owner), learned[at + doc]) for at, (doc, word, before) in ((at, _walk(part)) for at, part in runs(texts))]
+    word, place, n = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, U), np.zeros(0, U), np.zeros(0, bool))
+    order, new = _order(word, place)
+    n = np.add.reduceat(n[order].astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+    word, place = word[order[new]], place[order[new]]
+    first = _firsts(word)
+    return word[first], np.diff(np.append(first, len(word))), place, n
 
 
 def find_owners(packs: DataFrame) -> np.ndarray:
@@ -125,41 +122,75 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
-def _pairs(word: np.ndarray, context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word, context) in order of word, then context, with summed n."""
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where keys in order differ from the one before."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+
+
+def _order(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by word, then context, and the places in it of the first of each pair."""
     order = np.lexsort((context, word))
-    word, context, n = word[order], context[order], n[order]
-    new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])))) if len(word) else np.zeros(0, np.int64)
-    return word[new], context[new], np.add.reduceat(n, new) if len(new) else n
+    return order, _firsts(word[order], context[order])
+
+
+def _gaps(word: np.ndarray) -> np.ndarray:
+    """Words in order as differences, which are shorter."""
+    return np.diff(word, prepend=U(0))
 
 
 def count_shards(packs: DataFrame, shards: int, owner: np.ndarray) -> DataFrame:
-    """shard, blob (words, contexts and counts of the training tokens, by word, then context) and lean (what sweeps need of it)."""
+    """shard, blob (distinct words of the training tokens, how many contexts each has, these and counts), lean (what sweeps need of it) and asks (which pairs each pack has)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                word, place = _tokens_at([t for i, t in zip(ids, texts_of(blob), strict=True) if learns(i)], owner)
-                word, place, n = _pairs(word, place, np.ones(len(word), np.int64))
-                yield bundles([(s, squeeze(word[at], *_fold(place[at]), n[at].astype(np.uint32))) for s, at in by_shard(_idents(word), shards)], "shard blob")
+            for pack, ids, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                word, spread, place, n = distinct_pairs(texts_of(blob), owner, np.array([learns(i) for i in ids], bool))
+                first, rows = np.cumsum(spread) - spread, []
+                for shard, at in by_shard(_idents(word), shards):
+                    own = ranges(first[at], spread[at])
+                    rows.append((shard, pack, squeeze(_gaps(word[at]), spread[at].astype(np.uint32), *_fold(place[own]), n[own].astype(np.uint32))))
+                yield bundles(rows, "shard pack blob")
         give_back()
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = [(word, _unfold(code, rest), n.astype(np.int64)) for word, code, rest, n in map(unsqueeze, table.column("blob").to_pylist())]
-        word, place, n = _pairs(*(np.concatenate(x) for x in zip(*parts)))
+        parts = [(np.cumsum(gaps, dtype=U), spread, _unfold(code, rest), n) for gaps, spread, code, rest, n in map(unsqueeze, table.column("blob").to_pylist())]
+        sizes = np.array([(len(word), len(n)) for word, _, _, n in parts])
+        word, spread, place, n = (np.concatenate(x) for x in zip(*parts))
         del parts
         give_back()
-        blob = squeeze(word, *_fold(place), n.astype(np.uint64))
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()]), "blob": pa.array([blob], pa.binary()), "lean": pa.array([_lean(word, place, n)], pa.binary())})
-
-    return cut(packs.select("ids", "blob").mapInArrow(count, "shard long, blob binary").groupBy("shard").applyInArrow(merge, "shard long, blob binary, lean binary"), "counts")
+        heads = np.cumsum(spread, dtype=np.int64) - spread
+        word = np.repeat(word, spread)
+        order, new = _order(word, place)
+        at = np.empty(len(order), np.int64)
+        at[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+        word, place, n = word[order[new]], place[order[new]], np.add.reduceat(n[order].astype(np.int64), new)
+        first = _firsts(word)
+        of_word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+        short = lambda x: np.diff(x, prepend=0).astype(np.int32)
+        asks = squeeze(table.column("pack").to_numpy(), *sizes.T, short(of_word[at[heads]]), short(at), np.add.reduceat(n, first) > 0, n > 0)
+        word, place, n = word[n > 0], place[n > 0], n[n > 0]
+        first = _firsts(word)
+        blob = squeeze(_gaps(word[first]), np.diff(np.append(first, len(word))).astype(np.uint32), *_fold(place), n.astype(np.uint64))
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()]), **{k: pa.array([v], pa.binary()) for k, v in (("blob", blob), ("lean", _lean(word, place, n)), ("asks", asks))}})
+
+    bundled = packs.select("pack", "ids", "blob").mapInArrow(count, "shard long, pack long, blob binary")
+    return cut(bundled.groupBy("shard").applyInArrow(merge, "shard long, blob binary, lean binary, asks binary"), "counts")
+
+
+def asked_of(asks: bytes) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """Which asked words and pairs of a shard are in the training texts, and for each pack the numbers of its own among all asked."""
+    packs, words, pairs, word_at, pair_at, known_words, known_pairs = unsqueeze(asks)
+    split = lambda short, sizes: np.split(np.cumsum(short, dtype=np.int64), np.cumsum(sizes)[:-1])
+    return known_words, known_pairs, zip(packs.tolist(), split(word_at, words), split(pair_at, pairs), strict=True)
 
 
 def _lean(word: np.ndarray, place: np.ndarray, n: np.ndarray) -> bytes:
     """Words but for those seen once, with how often in all and in pairs seen once; the pairs seen more often; how many words were left out."""
-    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    count, single = np.add.reduceat(n, first), np.add.reduceat((n == 1).astype(np.int64), first)
-    many = np.add.reduceat((n > 1).astype(np.int64), first)
+    first = _firsts(word)
+    sums = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    count, single, many = sums(n), sums(n == 1), sums(n > 1)
     held = count > 1
     return squeeze(word[first][held], count[held], single[held], many[held].astype(np.uint32), *_fold(place[n > 1]), n[n > 1], np.array([(~held).sum()]))
 
@@ -229,16 +260,15 @@ class Seating:
     """One shard's words and pairs, all of them, through the sweeps whose totals are known."""
 
     def __init__(self, shard: int, blob: bytes, world: dict, told=None):
-        word, code, rest, n = unsqueeze(blob)
+        gaps, spread, code, rest, n = unsqueeze(blob)
         self.pair_place, self.pair_context, self.pair_n = _unfold(code, rest), code.astype(np.int64), n.astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        self.words, self.of_word = word[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
-        self.count = np.add.reduceat(self.pair_n, first)
-        self.sweeps = Sweeps(shard, _lean(word, self.pair_place, self.pair_n), world, told)
+        self.words, self.of_word = np.cumsum(gaps, dtype=U), np.repeat(np.arange(len(spread)), spread)
+        self.count = np.bincount(self.of_word, self.pair_n, len(spread)).astype(np.int64)
+        self.sweeps = Sweeps(shard, _lean(self.words[self.of_word], self.pair_place, self.pair_n), world, told)
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # tables of pairs, parent's customers and tables
         many, held = self.pair_n > 1, self.count > 1
         for t, customers, above in self.sweeps.kept:
-            every = np.ones(len(n), np.int64), np.ones(len(first), np.int64), np.ones(len(first), np.int64)
+            every = np.ones(len(n), np.int64), np.ones(len(spread), np.int64), np.ones(len(spread), np.int64)
             every[0][many], every[1][held], every[2][held] = t, customers, above
             self.kept.append(every)
 
@@ -269,12 +299,10 @@ def _sums(df: DataFrame, make, size: int) -> np.ndarray:
 
 def _world_counts(shard: int, blob: bytes) -> np.ndarray:
     """Customers of each owner's context, then V, N, pairs seen once and twice, words in one and in two contexts."""
-    word, code, _, n = unsqueeze(blob)
-    new = np.concatenate(([True], word[1:] != word[:-1]))
-    spread = np.diff(np.append(np.flatnonzero(new), len(word)))
+    _, spread, code, _, n = unsqueeze(blob)
     customers = np.bincount(code, n.astype(float), CONTEXTS)
     customers[OTHER] = 0
-    return np.concatenate([customers, [new.sum(), n.sum(), (n == 1).sum(), (n == 2).sum(), (spread == 1).sum(), (spread == 2).sum()]])
+    return np.concatenate([customers, [len(spread), n.sum(), (n == 1).sum(), (n == 2).sum(), (spread == 1).sum(), (spread == 2).sum()]])
 
 
 def predictive(world: dict, context: np.ndarray, n: np.ndarray, tables: list[np.ndarray], parents: list[np.ndarray], held: tuple | None = None) -> np.ndarray:
@@ -308,10 +336,11 @@ def fit(packs: DataFrame, shards: int) -> tuple[DataFrame, dict]:
     told = None
 
     def swept(shard: int, sweeps: Sweeps) -> list[tuple]:
-        """Rows of home, shard, blob: what each home's contexts gain, and, with home -1, the totals."""
+        """Rows of home, shard, blob: what each home's contexts gain (in the first sweep, and their names), and, with home -1, the totals."""
         change, totals = sweeps.change(), sweeps.totals()
         at = np.flatnonzero(totals)
-        return [(-1, shard, squeeze(at, totals[at])), *((home, shard, squeeze(sweeps.asked[mine], change[mine])) for home, mine in by_shard(sweeps.asked ^ WHOLE, shards))]
+        named = () if len(sweeps.kept) > 1 else (sweeps.asked,)
+        return [(-1, shard, squeeze(at, totals[at])), *((home, shard, squeeze(change[mine], *(x[mine] for x in named))) for home, mine in by_shard(sweeps.asked ^ WHOLE, shards))]
 
     def summed(shard: int, blob: bytes) -> np.ndarray:
         out = np.zeros(CONTEXTS + 2)
@@ -334,12 +363,15 @@ def fit(packs: DataFrame, shards: int) -> tuple[DataFrame, dict]:
             return pa.Table.from_batches([bundles(rows, "home shard blob")])
 
         def reply(key: tuple, table: pa.Table) -> pa.Table:
-            """The tables of each sender's contexts, in the order sent."""
-            sent = [unsqueeze(x) for x in table.column("blob").to_pylist()]
-            known, at = np.unique(np.concatenate([x for x, _ in sent]), return_inverse=True)
-            tables = np.bincount(at, np.concatenate([x for _, x in sent]), len(known)).astype(np.int64)
-            parts = np.split(tables[at], np.cumsum([len(x) for x, _ in sent])[:-1])
-            rows = [(shard, sweep, key[0].as_py(), squeeze(part)) for shard, part in zip(table.column("shard").to_pylist(), parts, strict=True)]
+            """The tables of each sender's contexts, in the order sent: the first sweep has their names."""
+            change, names = {}, {}
+            for of, shard, blob in sorted(zip(*(table.column(c).to_pylist() for c in ("of", "shard", "blob")), strict=True), key=lambda x: x[0]):
+                change[shard], *named = unsqueeze(blob)
+                names.update((shard, x) for x in named)
+            known, at = np.unique(np.concatenate([names[shard] for shard in change]), return_inverse=True)
+            tables = np.bincount(at, np.concatenate(list(change.values())), len(known)).astype(np.int64)
+            parts = np.split(tables[at], np.cumsum([len(x) for x in change.values()])[:-1])
+            rows = [(shard, sweep, key[0].as_py(), squeeze(part)) for shard, part in zip(change, parts, strict=True)]
             give_back()
             return pa.Table.from_batches([bundles(rows, "shard sweep home blob")])
 
@@ -348,7 +380,10 @@ def fit(packs: DataFrame, shards: int) -> tuple[DataFrame, dict]:
         rows = cut(lean.mapInArrow(first, schema) if told is None else lean.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(later, schema), "sweep")
         totals = _sums(rows.where("home < 0"), summed, CONTEXTS + 2)
         totals[:CONTEXTS] = world["C"] - totals[:CONTEXTS]
-        answers = cut(rows.where("home >= 0").groupBy("home").applyInArrow(reply, "shard long, sweep long, home long, blob binary"), "told")
+        own = rows.where("home >= 0").withColumn("of", F.lit(sweep))
+        named = own if told is None else named
+        both = own if told is None else named.unionByName(own)
+        answers = cut(both.groupBy("home").applyInArrow(reply, "shard long, sweep long, home long, blob binary"), "told")
         told = answers if told is None else told.unionByName(answers)
         world["totals"].append(totals)
     world["told"] = told
@@ -365,65 +400,40 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = shard_count(docs, DOCS_PER_SHARD)
     packs = build_packs(docs, id_col, text_col)
     counts, world = fit(packs, shards)
-    told = world.pop("told").select("shard", "sweep", "home", F.lit(None).cast("long").alias("pack"), "blob")
+    told = world.pop("told")
     sent = docs.sparkSession.sparkContext.broadcast(world)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                word, spread, place = distinct_pairs(texts_of(blob), sent.value["owner"])
-                first = np.cumsum(spread) - spread
-                yield bundles([(s, pack, squeeze(word[at], spread[at].astype(np.uint32), *_fold(place[ranges(first[at], spread[at])]))) for s, at in by_shard(_idents(word), shards)], "shard pack blob")
-        give_back()
-
-    def answer(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
+    def answer(key: tuple, held: pa.Table, told: pa.Table) -> pa.Table:
         """For each asked word its count, and of each kept sweep its customers and tables in the parent and, unless it is an owner, its context's tables; for each asked pair its customers, and how many fewer tables it has in all kept sweeps."""
         world, rows, shard = sent.value, [], key[0].as_py()
-        told, asked = asked.filter(pc.is_valid(asked.column("home"))), asked.filter(pc.is_valid(asked.column("pack")))
-        seating = Seating(shard, held.column("blob")[0].as_py(), world | {"totals": world["totals"][:-1]}, lambda own: _told(told, own, shards)) if held.num_rows else None
-        if seating:
-            sweeps, whole = seating.sweeps, np.unique(seating.pair_place[seating.pair_context == OTHER])
-            context = seating.pair_context.copy()
-            context[context == OTHER] = CONTEXTS + np.searchsorted(whole, seating.pair_place[context == OTHER])
-            wide = CONTEXTS + len(whole)
-            keys, fewer = seating.of_word * wide + context, KEPT * seating.pair_n - sum(t for t, _, _ in seating.kept[BURN_IN:])
-            below = [seating.count.copy() for _ in range(KEPT)]
-            for x, tables in zip(below, sweeps.told[BURN_IN:], strict=len(sweeps.asked) > 0):
-                x[np.flatnonzero(seating.count > 1)[sweeps.own]] = tables[sweeps.own_at]
-            # as differences, which are mostly zero
-            facts = [seating.count, *(x for _, customers, above in seating.kept[BURN_IN:] for x in (seating.count - customers, customers - above)), *(seating.count - x for x in below)]
-        for pack, blob in zip(asked.column("pack").to_pylist(), asked.column("blob").to_pylist(), strict=True):
-            word, spread, code, rest = unsqueeze(blob)
-            got, n, less = [np.zeros(len(word), np.int64) for _ in range(1 + 3 * KEPT)], np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-            if seating:
-                at = np.minimum(np.searchsorted(seating.words, word), len(seating.words) - 1)
-                known = seating.words[at] == word
-                for x, fact in zip(got, facts, strict=True):
-                    x[known] = fact[at[known]]
-                context, seen = code.astype(np.int64), np.repeat(known, spread)
-                other = np.flatnonzero(code == OTHER)
-                if len(whole):
-                    near = np.minimum(np.searchsorted(whole, rest | WHOLE), len(whole) - 1)
-                    context[other] = CONTEXTS + near
-                    seen[other] &= whole[near] == rest | WHOLE
-                else:
-                    seen[other] = False
-                key = np.repeat(at, spread)[seen] * wide + context[seen]
-                pair = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                n[seen], less[seen] = np.where(keys[pair] == key, (seating.pair_n[pair], fewer[pair]), 0)
-            rows.append((pack, shard, squeeze(*got, n, less)))
+        seating = Seating(shard, held.column("blob")[0].as_py(), world | {"totals": world["totals"][:-1]}, lambda own: _told(told, own, shards))
+        sweeps = seating.sweeps
+        below = [seating.count.copy() for _ in range(KEPT)]
+        for x, tables in zip(below, sweeps.told[BURN_IN:], strict=len(sweeps.asked) > 0):
+            x[np.flatnonzero(seating.count > 1)[sweeps.own]] = tables[sweeps.own_at]
+        # as differences, which are mostly zero
+        facts = [seating.count, *(x for _, customers, above in seating.kept[BURN_IN:] for x in (seating.count - customers, customers - above)), *(seating.count - x for x in below)]
+        of_pairs = seating.pair_n, KEPT * seating.pair_n - sum(t for t, _, _ in seating.kept[BURN_IN:])
+        known_words, known_pairs, asked = asked_of(held.column("asks")[0].as_py())
+
+        def spread_out(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+            """x over all asked, with zeros for what was not learned."""
+            out = np.zeros(len(known), np.int64)
+            out[known] = x
+            return out
+
+        facts, of_pairs = [spread_out(x, known_words) for x in facts], [spread_out(x, known_pairs) for x in of_pairs]
+        for pack, word, pair in asked:
+            rows.append((pack, shard, squeeze(*(x[word] for x in facts), *(x[pair] for x in of_pairs))))
         give_back()
         return pa.Table.from_batches([bundles(rows, "pack shard answer")])
 
-    asked = packs.select("pack", "blob").mapInArrow(ask, "shard long, pack long, blob binary")
-    none = F.lit(None).cast("long")
-    both = asked.select("shard", none.alias("sweep"), none.alias("home"), "pack", "blob").unionByName(told)
-    answers = counts.select("shard", "blob").groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(answer, "pack long, shard long, answer binary")
+    answers = counts.select("shard", "blob", "asks").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, "pack long, shard long, answer binary")
 
     def score(key: tuple, own: pa.Table, got: pa.Table) -> pa.Table:
         world = sent.value
         ids, texts = own.column("ids")[0].as_py(), texts_of(own.column("blob")[0].as_py())
-        word, spread, place = distinct_pairs(texts, world["owner"])
+        word, spread, place, _ = distinct_pairs(texts, world["owner"])
         first = np.cumsum(spread) - spread
         facts, n = [np.zeros(len(word), np.int64) for _ in range(1 + 3 * KEPT)], np.zeros((2, len(place)))
         blobs = dict(zip(got.column("shard").to_pylist(), got.column("answer").to_pylist(), strict=True))

@@ -575,6 +575,45 @@ def test_op8_restaurants_of_words_without_a_slot(spark, monkeypatch, owned):
         assert abs(r.score - want) < 1e-3
 
 
+def test_op8_requests_are_places_in_the_shard(spark):
+    """A pack names its words and contexts once, when they are counted; what it asks for is kept as places, of about a byte, for held-out texts too."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 300) % 5000) for _ in range(300)]
+    built = packs.build_packs(spark.createDataFrame([*enumerate(texts)], SCHEMA).repartition(3))
+    owner = pitman_yor.find_owners(built)
+    want, size, n_pairs = {}, 0, 0
+    for r in built.collect():
+        word, spread, place, _ = pitman_yor.distinct_pairs(packs.texts_of(r.blob), owner)
+        want[r.pack] = set(zip(np.repeat(word, spread).tolist(), place.tolist()))
+    shards = pitman_yor.count_shards(built, 8, owner).collect()
+    learned, unlearned, got = set(), set(), {pack: set() for pack in want}
+    for r in shards:
+        s = pitman_yor.Seating(r.shard, r.blob, {"owner": owner, "V": 10, "d": 0.5, "d0": 0.5, "totals": []})
+        pairs = list(zip(s.words[s.of_word].tolist(), s.pair_place.tolist()))
+        learned |= set(pairs)
+        known_words, known_pairs, asked = pitman_yor.asked_of(r.asks)
+        assert known_words.sum() == len(s.words) and known_pairs.sum() == len(pairs)
+        size += len(r.asks)
+        for pack, word_at, pair_at in asked:
+            n_pairs += len(pair_at)
+            inside = known_pairs[pair_at]
+            got[pack] |= {pairs[i] for i in (np.cumsum(known_pairs) - 1)[pair_at[inside]]}
+            own = {w for w, _ in want[pack]} & set(s.words.tolist())
+            assert [s.words[i] for i in (np.cumsum(known_words) - 1)[word_at[known_words[word_at]]]] == sorted(own)
+    for pack, pairs in want.items():
+        assert got[pack] == pairs & learned
+        unlearned |= pairs - learned
+    assert unlearned and n_pairs == sum(map(len, want.values())) and size < 3 * n_pairs
+
+
+def test_op8_shards_without_a_learned_text(spark):
+    """All texts held out: every shard is asked, none has counts."""
+    out = [i for i in range(200) if not pitman_yor.learns(i)]
+    rows = pitman_yor.score_documents(spark.createDataFrame([(i, f"some words {i}") for i in out], SCHEMA)).collect()
+    assert {r.doc_id for r in rows} == set(out)
+    assert all((r.n_tokens, r.n_known, r.train_tokens) == (4, 0, 0) and abs(r.score) < 1e-9 and r.held_out for r in rows)
+
+
 def test_op8_seating():
     rng = np.random.default_rng(0)
     n = np.array([0, 1, 2, 10, 1000])
