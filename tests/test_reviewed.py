@@ -1,6 +1,10 @@
 """Cases that a review found: each failed before the change that its docstring names."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corvex.catalog import QUERIES
@@ -49,6 +53,30 @@ def test_scores_that_cannot_win_are_neither_rounded_nor_kept():
     assert list(zip(top.row, -top.score, top.number)) == want and handed[0] < 7 * 40
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_memory_of_vector_search_does_not_follow_the_table(copies):
+    """A whole block of questions against batches as Spark hands them on: all scores of one batch at once are 164 MB."""
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    q = unit(rng.normal(size=(search.QUERY_BLOCK, 16)))
+
+    def batches(n):
+        for i in range(n):
+            v = np.repeat(q[:10], 1000, axis=0) if copies else unit(rng.normal(size=(10_000, 16)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(10_000) + 10_000 * i), pa.FixedSizeListArray.from_arrays(v.astype(np.float32).ravel(), 16).cast(pa.list_(pa.float32()))], ["vec_id", "embedding"])
+
+    def peak(n):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in search.nearest_rows(batches(n), np.arange(len(q)), q, 24))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == 24 * len(q)
+        return most
+
+    small, large = peak(1), peak(6)
+    assert large < 1.2 * small and large < 100e6
+
+
 def test_required_are_all_vectors_of_the_label(spark, tmp_path):
     """Not those of 40 ids, nor the next two ids; without a label none. A vector of its own label is found first."""
     rng = np.random.default_rng(1)
