@@ -1,9 +1,11 @@
 """Cases that a review found: each failed before the change that its docstring names."""
 
+import random
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,59 @@ def test_table_rows_split_a_line_once(spark):
     """Every use of the words split the whole line anew, in a query of two columns dozens of times."""
     df = QUERIES["i16_table_row"](spark, SF)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(coalesce(") <= 2
+
+
+def found_in_slices(monkeypatch, asked, texts, k, scored=True):
+    """The step of text search over slices of 100 chunks: matches as (question, chunk id, score), and how many were looked at."""
+    monkeypatch.setattr(lexical, "SLICE", 100)
+    items = [{"query_id": q, "branch": n, **i} for q, a in enumerate(asked) for n, b in enumerate(lexical.parse_search(a)) for i in b]
+    kind = pa.schema([("query_id", pa.int64()), ("branch", pa.int32()), ("unwanted", pa.bool_()), ("lexemes", pa.list_(pa.string())), ("offsets", pa.list_(pa.int32()))])
+    of, ids = lexical._Asked(pa.Table.from_pylist(items, kind), k, scored), pa.array([f"c:{i}" for i in range(len(texts))])
+    batches = (pa.record_batch([ids[i : i + 50], pa.array(texts[i : i + 50], pa.string())], ["chunk_id", "content"]) for i in range(0, len(texts), 50))
+    best, before, seen, out = lexical._Best(len(of.ids), k) if k else None, 0, 0, set()
+    rank = pa.compute.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+    for own, places in lexical._slices(batches, of, False):
+        matches = lexical._Matches(of, places, k, rank[before:])
+        for q, row, wide in matches.runs(0, len(of.ids), 1000):
+            seen += len(q)
+            q, row, score = matches.scores(q, row, wide) if scored else (q, row, np.zeros(len(q)))
+            if best:
+                best.add(0, q, row + before, score, rank)
+            else:
+                out |= {(int(of.ids[x]), ids[int(y) + before].as_py(), float(z)) for x, y, z in zip(q, row, score)}
+        before += len(own)
+    for q, place, score in best.held.values() if best else ():
+        out |= {(int(of.ids[x]), ids[int(y)].as_py(), float(z)) for x, y, z in zip(q, place, score)}
+    return out, seen
+
+
+def test_ranking_does_not_look_at_every_match(monkeypatch):
+    """Questions times matches grew with the square of the input: of a lone lexeme only the best rows of a slice are scored."""
+    rng = random.Random(8)
+    texts = ["common " * rng.randrange(1, 4) + rng.choice(["", "usual", "rare word", "word"]) for _ in range(2000)]
+    asked = ["common", "common or usual", "common usual or word", "rare word or usual or missing"]
+    got, seen = found_in_slices(monkeypatch, asked, texts, 5)
+    every = {(q, f"c:{c}"): round(x, 6) for q, a in enumerate(asked) for c, t in enumerate(texts) if (x := lexical.cover_score(lexical.parse_search(a), lexemes.vector(t))) is not None}
+    assert got == {(q, c, x) for q in range(4) for c, x in sorted(((c, x) for (o, c), x in every.items() if o == q), key=lambda y: (-y[1], y[0]))[:5]}
+    assert len(every) > 5500 and seen < 2500
+
+
+def test_search_of_many_forms(monkeypatch):
+    rng = random.Random(9)
+    words = "running runs cats dog the of hats tied nation relational fox-den a-b-c x@y.org".split()
+    texts = [None, "", *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 14))) for _ in range(300))]
+    forms = [*[lambda: rng.choice(words)] * 4, lambda: "or", lambda: '"' + " ".join(rng.sample(words, rng.randrange(2, 4))) + '"', lambda: "-" + rng.choice(words)]
+    asked = [" ".join(rng.choice(forms[: 5 if i % 2 else 7])() for _ in range(rng.randrange(0, 8))) for i in range(300)] + ["-dog", " ".join(f"z{i}" for i in range(20)) + " or dog"]
+    held = [lexemes.vector(t) for t in texts]
+    every = {(q, f"c:{c}"): round(x, 6) for q, a in enumerate(asked) if (s := lexical.parse_search(a)) for c, h in enumerate(held) if (x := lexical.cover_score(s, h)) is not None}
+    assert found_in_slices(monkeypatch, asked, texts, None)[0] == {(*k, x) for k, x in every.items()}
+    assert {x[:2] for x in found_in_slices(monkeypatch, asked, texts, None, False)[0]} == every.keys()
+    best = {(q, c, x) for q in range(len(asked)) for c, x in sorted(((c, x) for (o, c), x in every.items() if o == q), key=lambda y: (-y[1], y[0]))[:7]}
+    assert found_in_slices(monkeypatch, asked, texts, 7)[0] == best
+
+
+def test_texts_are_read_once_for_many_questions(spark):
+    questions = spark.range(40000).selectExpr("id AS query_id", "concat('w', id) AS question")
+    found = lexical.search(questions, spark.createDataFrame([(1, "w7 w39999")], "chunk_id long, content string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {tuple(r) for r in found.collect()} == {(7, 1, 0.1), (39999, 1, 0.1)}
