@@ -180,3 +180,13 @@ def test_texts_are_read_once_for_many_questions(spark):
     found = lexical.search(questions, spark.createDataFrame([(1, "w7 w39999")], "chunk_id long, content string"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert {tuple(r) for r in found.collect()} == {(7, 1, 0.1), (39999, 1, 0.1)}
+
+
+def test_phrases_are_found_where_they_stand(monkeypatch):
+    """A phrase was sought in every row that holds its words."""
+    texts = ["common x usual"] * 300 + ["x common usual", "usual common of usual", "common usual-common"]
+    asked = ['"common usual"', '"usual common of usual" or missing', '"x common usual" -missing']
+    cost, plain = [], lexical._Matches.__init__
+    monkeypatch.setattr(lexical._Matches, "__init__", lambda self, *a: (plain(self, *a), cost.append(self.cost[-1]))[0])
+    got, _ = found_in_slices(monkeypatch, asked, texts, None, False)
+    assert {x[:2] for x in got} == {(0, "c:300"), (1, "c:301"), (2, "c:300")} and sum(cost) <= 4
